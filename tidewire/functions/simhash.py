@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -14,37 +13,70 @@ from pyspark.sql import types as T
 
 WORD_CHARS = re.compile(r"\w+")
 GRAM = 4
-_WORDS_KEPT = 1 << 18
-
-
-def _grams(text: str) -> Counter:
-    body = "".join(WORD_CHARS.findall(text.lower()))
-    return Counter(body[i:i + GRAM] for i in range(max(len(body) - GRAM + 1, 1)))
-
-
-def _vote(text: str, known: dict) -> int:
-    if not text:
-        return 0
-    grams = _grams(text)
-    words = np.empty(len(grams), dtype=">u8")
-    for i, gram in enumerate(grams):
-        word = known.get(gram)
-        if word is None:
-            word = int.from_bytes(hashlib.md5(gram.encode("utf-8", "surrogatepass")).digest()[8:], "big")
-            if len(known) < _WORDS_KEPT:
-                known[gram] = word
-        words[i] = word
-    weights = np.fromiter(grams.values(), dtype=np.float64, count=len(grams))
+BLOCK_CHARS = 400_000   # texts are hashed in blocks of about this size
+
+
+def _body(text: str) -> str:
+    return "".join(WORD_CHARS.findall(text.lower()))
+
+
+def _word(gram: str) -> int:
+    return int.from_bytes(hashlib.md5(gram.encode("utf-8", "surrogatepass")).digest()[8:], "big")
+
+
+def _hash_block(bodies: list[str]) -> np.ndarray:
+    """SimHash of every body: the majority of each bit over all its grams."""
+    padded = [b if len(b) >= GRAM else b + "\0" * (GRAM - len(b)) for b in bodies]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letters, place = np.unique(codes, return_inverse=True)
+    base = np.uint64(len(letters))
+    if len(letters) >= 1 << 16:
+        half = len(bodies) // 2
+        if not half:
+            raise ValueError("a text uses more distinct characters than a gram key can hold")
+        return np.concatenate([_hash_block(bodies[:half]), _hash_block(bodies[half:])])
+    sizes = np.array([len(p) for p in padded])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    place = place.astype(np.uint64)
+    keys = np.zeros(len(place) - GRAM + 1, dtype=np.uint64)
+    for k in range(GRAM):
+        keys = keys * base + place[k:len(place) - GRAM + 1 + k]
+    inside = np.ones(len(keys), dtype=bool)
+    for k in range(1, GRAM):
+        at = ends[:-1] - k
+        inside[at] = False
+    counts = sizes - GRAM + 1
+    grams, at, use = np.unique(keys[inside], return_index=True, return_inverse=True)
+    first = np.flatnonzero(inside)[at]
+    joined = "".join(padded)
+    words = np.array([_word(joined[i:i + GRAM].rstrip("\0")) for i in first], dtype=">u8")
     bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
-    ones = weights @ bits
-    packed = np.packbits(ones * 2 > weights.sum()).tobytes()
-    return int.from_bytes(packed, "big", signed=True)
+    own = np.split(use, np.cumsum(counts)[:-1])
+    ones = np.stack([bits[u].sum(axis=0, dtype=np.int64) for u in own])
+    return np.packbits(ones * 2 > counts[:, None], axis=1).view(">i8").ravel().astype(np.int64)
+
+
+def hash_texts(texts: list[str]) -> np.ndarray:
+    out = np.zeros(len(texts), dtype=np.int64)
+    block, where, size = [], [], 0
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        block.append(_body(text))
+        where.append(i)
+        size += len(block[-1]) + GRAM
+        if size >= BLOCK_CHARS:
+            out[where] = _hash_block(block)
+            block, where, size = [], [], 0
+    if block:
+        out[where] = _hash_block(block)
+    return out
 
 
 @F.pandas_udf(T.LongType())
 def _simhash(texts: pd.Series) -> pd.Series:
-    known: dict = {}
-    return pd.Series([_vote(t or "", known) for t in texts], dtype="int64")
+    return pd.Series(hash_texts(texts.tolist()), dtype="int64")
 
 
 def simhash64(text: Column) -> Column:

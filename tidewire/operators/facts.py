@@ -116,42 +116,37 @@ def merge_facts(items: DataFrame, position: str = "position", max_bits: int = 3,
     graph of their article: repeats of one text are a plain aggregate, and only
     components with several texts are folded in order, in bounded segments.
     """
-    facts = (items.where(F.coalesce(F.col("fact"), F.lit("")) != "")
-             .select("article_id", F.col(position).alias("item"), "fact",
-                     F.coalesce("confidence", F.lit(0.0)).alias("confidence")))
-    norm = normalize_fact(F.col("fact"))
-    texts = cut(facts.withColumn("norm", norm).groupBy("article_id", F.md5("norm").alias("text_key"))
-                .agg(F.min("item").alias("node"), F.first("norm").alias("norm")))
-    hashed = cut(texts.select("article_id", "text_key", "node", simhash64(F.col("norm")).alias("simhash")))
-    # texts with an equal hash are similar too: link each to the first of its hash
-    nodes = cut(hashed.groupBy("article_id", "simhash").agg(F.min("node").alias("first")))
-    pairs = cut(near_pairs(nodes, "simhash", "first", scope=["article_id"], max_bits=max_bits))
-    classes = cut(hashed.join(nodes, ["article_id", "simhash"]).select("article_id", "text_key", F.col("first").alias("node")))
+    facts = items.where(F.coalesce(F.col("fact"), F.lit("")) != "")
+    hashed = cut(facts.select("article_id", F.col(position).alias("item"),
+                              F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+                              simhash64(normalize_fact(F.col("fact"))).alias("simhash")))
+    # facts with one hash are alike; the best of them, first one on ties
+    nodes = cut(hashed.groupBy("article_id", "simhash").agg(
+        F.min("item").alias("first"), F.max_by("item", F.struct("confidence", -F.col("item"))).alias("best")))
+    pairs = cut(near_pairs(nodes, "simhash", "first", scope=["article_id"], max_bits=max_bits).select("a", "b"))
+    if pairs.isEmpty():
+        kept = nodes.select(F.col("best").alias(position))
+        return items.join(kept, position, "left_semi")
     labels = components(pairs)
-    # item -> class, component
-    placed = cut(
-        facts.select("article_id", "item", "confidence", F.md5(norm).alias("text_key"))
-        .join(classes, ["article_id", "text_key"]).drop("text_key")
-        .join(labels, "node", "left"))
-    single = (placed.where("label IS NULL").groupBy("node")
-              .agg(F.max_by("item", F.struct("confidence", -F.col("item"))).alias("item")).select("item"))
+    linked = nodes.join(labels, nodes["first"] == labels["node"])
     near = (pairs.select(F.col("a").alias("node"), F.col("b").alias("other"))
             .unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
             .groupBy("node").agg(F.collect_set("other").alias("near")))
-    several = placed.where("label IS NOT NULL").join(near, "node").select(
-        F.col("label").cast("string").alias("group"), "item", "node", "confidence", "near")
+    several = (hashed.join(linked.select("article_id", "simhash", "node", "label"), ["article_id", "simhash"])
+               .join(near, "node")
+               .select(F.col("label").cast("string").alias("group"), "item", "node", "confidence", "near"))
     folded = ordered_fold(several, ["group"], ["item"], _merge_fold, KEPT, _merge_result, segment_rows).select("item")
+    single = nodes.join(labels, nodes["first"] == labels["node"], "left_anti").select(F.col("best").alias("item"))
     kept = single.unionByName(folded)
     return items.join(kept.withColumnRenamed("item", position), position, "left_semi")
 
 
 def similar_facts(items: DataFrame, position: str = "position", max_bits: int = 3) -> DataFrame:
     """Pairs of distinct fact texts of one article within `max_bits`."""
-    norm = normalize_fact(F.col("fact"))
-    texts = items.where("fact <> ''").groupBy("article_id", norm.alias("norm")).agg(F.min(position).alias("node"))
-    hashed = cut(texts.select("article_id", "node", simhash64(F.col("norm")).alias("simhash")))
-    nodes = hashed.groupBy("article_id", "simhash").agg(F.min("node").alias("first"))
-    return near_pairs(cut(nodes), "simhash", "first", scope=["article_id"], max_bits=max_bits)
+    hashed = items.where("fact <> ''").select(
+        "article_id", F.col(position).alias("node"), simhash64(normalize_fact(F.col("fact"))).alias("simhash"))
+    nodes = cut(hashed.groupBy("article_id", "simhash").agg(F.min("node").alias("first")))
+    return near_pairs(nodes, "simhash", "first", scope=["article_id"], max_bits=max_bits)
 
 
 def merge_counts(items: DataFrame, merged: DataFrame, chunk: str = "chunk_index") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewire.runtime import cut
+from tidewire.runtime import by_key, cut
 
 _LOW = (1 << 33) - 1
 
@@ -74,9 +74,9 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
         return made[names]
 
     if large.isEmpty():
-        return df.groupBy(*keys).applyInPandas(whole, out)
+        return by_key(df, *keys).groupBy(*keys).applyInPandas(whole, out)
 
-    small = df.join(large, list(keys), "left_anti").groupBy(*keys).applyInPandas(whole, out)
+    small = by_key(df.join(large, list(keys), "left_anti"), *keys).groupBy(*keys).applyInPandas(whole, out)
     hot = df.join(large.select(*keys), list(keys), "left_semi")
     cutting = cut(number_rows(hot, order, keys, "_position").withColumn(
         "_segment", F.floor((F.col("_position") - 1) / segment_rows).cast("bigint")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.runtime import is_small
+from tidewire.functions.arrays import unfold
 
 LITERAL_RULES = 1000   # up to this many rules are tested as one literal list
 GRAM = 3
@@ -21,15 +23,13 @@ def rule_hits(articles: DataFrame, rules: DataFrame, key: str, field: str) -> Da
     live = rules.where("is_enabled AND pattern <> ''").select(
         "rule_id", F.lower("pattern").alias("pattern"), F.coalesce("priority", F.lit(0)).alias("priority"))
     text = F.lower(F.coalesce(F.col(field), F.lit("")))
-    if is_small(live, LITERAL_RULES):
-        rows = live.collect()
-        if not rows:
-            return articles.select(key).limit(0).crossJoin(live.select("rule_id", "priority").limit(0))
-        listed = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.pattern).alias("pattern"),
-                                    F.lit(r.priority).alias("priority")) for r in rows])
-        hits = articles.select(key, text.alias("_t")).select(
-            key, F.explode(F.filter(listed, lambda r: F.contains(F.col("_t"), r["pattern"]))).alias("r"))
-        return hits.select(key, "r.rule_id", "r.priority")
+    rows = live.limit(LITERAL_RULES + 1).collect()
+    if len(rows) <= LITERAL_RULES:
+        listed = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])),
+                             "array<struct<rule_id: bigint, pattern: string, priority: int>>")
+        # the text is bound once, outside the loop over the rules
+        found = F.flatten(F.transform(F.array(text), lambda t: F.filter(listed, lambda r: F.contains(t, r["pattern"]))))
+        return unfold(articles, [key], found, "at", "r").select(key, "r.rule_id", "r.priority")
     starts = live.withColumn("_g", F.substring("pattern", 1, GRAM))
     grams = articles.select(key, text.alias("_t")).withColumn("_g", F.explode(F.array_distinct(F.flatten(F.array(*[
         F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - (n - 1), F.lit(1))),

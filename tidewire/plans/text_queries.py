@@ -17,13 +17,14 @@ from tidewire.plans.catalog import query
 from tidewire.plans.views import edge
 from tidewire.sources import pages as G
 
+WS_SQL = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _NORMAL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(@u, '#.*$', '', 's'),
   '^((?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?]*)?)([^?]*?)/*((?:;[^?/]*)?)(\?.*)?$', '\1\2\3\4'), '\?$', ''),
   '^(?i:https?)://', 'https://')"""
 DOMAIN_SQL = r"""CASE WHEN regexp_extract(url, 'https?://([^/]+)', 1) = '' THEN url
   ELSE regexp_replace(split_part(regexp_extract(url, 'https?://([^/]+)', 1), ':', 1), '^www\.', '') END"""
 EXCLUDED_SQL = "'#|javascript:|mailto:|\\.jpg|\\.png|\\.gif|\\.pdf|\\.xml|/tag/|/category/|/author/|/page/|/search|/feed'"
-_STRIP = f"regexp_replace(regexp_replace(@t, '^[{T.WS}]+', ''), '[{T.WS}]+$', '')"
+_STRIP = f"regexp_replace(regexp_replace(@t, '^[{WS_SQL}]+', ''), '[{WS_SQL}]+$', '')"
 
 
 
@@ -96,7 +97,7 @@ def dedup_key(spark, d):
     return rows.select("seq", U.dedup_key(F.col("canonical_url"), F.col("url"), F.col("title"), F.col("published_at")).alias("dedup_key"))
 
 
-@query("text_clean", f"""SELECT doc_id, md5({strip_sql(f"regexp_replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '[{T.WS}]*' || chr(10) || '[{T.WS}]*', chr(10), 'g')")}) AS cleaned_md5 FROM documents""")
+@query("text_clean", f"""SELECT doc_id, md5({strip_sql(f"regexp_replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '[{WS_SQL}]*' || chr(10) || '[{WS_SQL}]*', chr(10), 'g')")}) AS cleaned_md5 FROM documents""")
 def text_clean(spark, d):
     return V.read(spark, d, "documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("cleaned_md5"))
 
@@ -134,8 +135,8 @@ def previews(spark, d):
 
 
 @query("lang_tokens", f"""WITH m AS (SELECT doc_id, text, lang, length({strip_sql('text')}) AS shown,
-    len(regexp_extract_all(text, '[一-鿿]')) AS cjk, len(regexp_extract_all(text, '[^{T.WS}]+')) AS words,
-    len(regexp_extract_all(regexp_replace(text, '[一-鿿]', '', 'g'), '[^{T.WS}]+')) AS other FROM (
+    len(regexp_extract_all(text, '[一-鿿]')) AS cjk, len(regexp_extract_all(text, '[^{WS_SQL}]+')) AS words,
+    len(regexp_extract_all(regexp_replace(text, '[一-鿿]', '', 'g'), '[^{WS_SQL}]+')) AS other FROM (
       SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN concat(substr(text, 1, 40), repeat('金融市场新闻', 10)) ELSE text END AS text FROM documents)),
   l AS (SELECT *, CASE WHEN shown = 0 OR cjk / shown > 0.7 THEN 'zh' WHEN cjk / shown < 0.3 THEN 'en' ELSE 'mixed' END AS hint FROM m)
 SELECT doc_id, hint, CAST(CASE hint WHEN 'zh' THEN length(text) WHEN 'en' THEN floor(words * 1.3::DOUBLE)
@@ -153,7 +154,7 @@ def sentence_split(spark, d):
 
 
 NORM_FACT_SQL = f"""regexp_replace(replace(translate(regexp_replace(translate({strip_sql('x')},
-   '。，！？：；“”‘’（）', '.,!?:;""''''()'), '[{T.WS}]+', ' ', 'g'), '一二三四五六七八九零〇', '12345678900'), '十', '10'),
+   '。，！？：；“”‘’（）', '.,!?:;""''''()'), '[{WS_SQL}]+', ' ', 'g'), '一二三四五六七八九零〇', '12345678900'), '十', '10'),
    '([1-9])\\s+1(0)|(0)\\s+10', '\\1\\2\\3', 'g')"""
 
 
@@ -288,7 +289,7 @@ def chunk_rows(spark, d):
 
 @query("chunk_pack", rf"""WITH {V.SENTENCES_SQL}, s AS (
     SELECT doc_id, list(fact ORDER BY idx) AS parts,
-           list(CAST(floor(len(regexp_extract_all(fact, '[^{T.WS}]+')) * 1.3::DOUBLE) AS BIGINT) ORDER BY idx) AS toks
+           list(CAST(floor(len(regexp_extract_all(fact, '[^{WS_SQL}]+')) * 1.3::DOUBLE) AS BIGINT) ORDER BY idx) AS toks
     FROM sentences GROUP BY doc_id),
   w AS (SELECT doc_id, list_reduce(list_prepend({{'s': '', 't': 0::BIGINT, 'open': '', 'n': 0::BIGINT, 'done': []::VARCHAR[]}},
       list_transform(list_zip(parts, toks), lambda z: {{'s': z[1], 't': z[2], 'open': '', 'n': 0::BIGINT, 'done': []::VARCHAR[]}})),
@@ -296,7 +297,7 @@ def chunk_rows(spark, d):
         WHEN x.t > 120 THEN {{'s': '', 't': 0::BIGINT, 'open': '', 'n': 0::BIGINT,
           'done': list_append(CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END, x.s)}}
         WHEN a.n + x.t > 120 THEN {{'s': '', 't': 0::BIGINT, 'open': concat(a.open[-20:], x.s),
-          'n': CASE WHEN a.open = '' THEN x.t ELSE CAST(floor(len(regexp_extract_all(concat(a.open[-20:], x.s), '[^{T.WS}]+')) * 1.3::DOUBLE) AS BIGINT) END,
+          'n': CASE WHEN a.open = '' THEN x.t ELSE CAST(floor(len(regexp_extract_all(concat(a.open[-20:], x.s), '[^{WS_SQL}]+')) * 1.3::DOUBLE) AS BIGINT) END,
           'done': CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END}}
         ELSE {{'s': '', 't': 0::BIGINT, 'open': concat(a.open, x.s), 'n': a.n + x.t, 'done': a.done}} END) AS r FROM s),
   c AS (SELECT doc_id, CASE WHEN r.open = '' THEN r.done ELSE list_append(r.done, r.open) END AS chunks FROM w)

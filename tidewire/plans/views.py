@@ -6,11 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.runtime import spread
+
 LAYERS = ["金融政策监管", "金融经济", "金融大模型技术", "金融科技应用", "未知"]
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+TEXT_TABLES = {"documents", "pages"}   # processed by CPU-heavy steps
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Provided table; its schema is looked up once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    table = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spread(table) if name in TEXT_TABLES else table
 
 
 def edge(df: DataFrame) -> DataFrame:

@@ -40,6 +40,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer partitions than the session has cores.
+
+    For CPU-heavy steps on a small input. A scan of any size worth a cluster
+    has more partitions than cores and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions that adaptive execution does not merge.
+
+    For CPU-heavy steps after a shuffle: small partitions would be merged by
+    size into one task. A grouping on the same keys needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """True when `df` has at most `rows` rows; reads at most `rows` + 1 of them."""
     return df.limit(rows + 1).count() <= rows
