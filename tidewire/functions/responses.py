@@ -31,12 +31,11 @@ CURLY_SINGLE = "‘’"
 
 def unfence(content: Column) -> Column:
     """Body of the first json fence, else of the first plain fence, else the text."""
-    body = F.trim(content)
-    json_part = F.regexp_extract(body, r"(?s)```json(.*?)(?:```|\z)", 1)
-    plain_part = F.regexp_extract(body, r"(?s)```(.*?)(?:```|\z)", 1)
-    return F.trim(
-        F.when(body.contains("```json"), json_part).when(body.contains("```"), plain_part).otherwise(body),
-        F.lit(" \n\r\t"))
+    fence, json_fence = F.lit("```"), F.lit("```json")
+    json_part = F.split_part(F.split_part(content, json_fence, F.lit(2)), fence, F.lit(1))
+    body = (F.when(content.contains("```json"), json_part)
+            .when(content.contains("```"), F.split_part(content, fence, F.lit(2))).otherwise(content))
+    return F.trim(body, F.lit(" \n\r\t"))
 
 
 def clean_json(content: Column) -> Column:

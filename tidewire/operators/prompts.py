@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.text import WORDS_TO_TOKENS, CJK, cjk_count, mixed_tokens, word_count
 from tidewire.operators.numbering import number_rows
 from tidewire.params import DEFAULTS, Params
+from tidewire.runtime import by_key, cut
 
 # ---- fixed values -----------------------------------------------------------
 LAYER_INSTRUCTIONS = {
@@ -134,10 +135,9 @@ def pack_by_tokens(items: DataFrame, by: Sequence[str], tie: Sequence[str] = ("i
     are chained per section, and every segment is then packed on its own.
     """
     ranked = number_rows(items, [F.col("score").desc(), *tie], by, "rank")
-    sized = ranked.withColumn("tokens", mixed_tokens(item_line(F.lit(1))))
     keys = list(by)
-    lean = sized.select(*keys, "rank", "tokens").withColumn(
-        "segment", F.floor((F.col("rank") - 1) / segment_rows).cast("bigint"))
+    lean = cut(ranked.select(*keys, "rank", mixed_tokens(item_line(F.lit(1))).alias("tokens"),
+                             F.floor((F.col("rank") - 1) / segment_rows).cast("bigint").alias("segment")))
     key_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.schema.fields if f.name in keys)
     effect = _segment_map(target)
 
@@ -173,11 +173,15 @@ def pack_by_tokens(items: DataFrame, by: Sequence[str], tie: Sequence[str] = ("i
             else:
                 carry += tokens
             blocks.append(block)
-        return rows[keys].assign(rank=rows["rank"], block=blocks)[[*keys, "rank", "block"]]
-
-    steps = lean.groupBy(*keys, "segment").applyInPandas(
-        summarise, f"{key_type}, segment bigint, low bigint, leave bigint, opens bigint, adds boolean")
-    entry = steps.groupBy(*keys).applyInPandas(chain, f"{key_type}, segment bigint, carry bigint, opened bigint")
-    placed = (lean.join(entry, [*keys, "segment"]).groupBy(*keys, "segment")
-              .applyInPandas(assign, f"{key_type}, rank bigint, block bigint"))
-    return sized.join(placed, [*keys, "rank"])
+        return rows[keys].assign(rank=rows["rank"], tokens=rows["tokens"], block=blocks)
+
+    if lean.where("segment > 0").isEmpty():
+        started = lean.withColumns({"carry": F.lit(0), "opened": F.lit(0)})
+    else:
+        steps = lean.groupBy(*keys, "segment").applyInPandas(
+            summarise, f"{key_type}, segment bigint, low bigint, leave bigint, opens bigint, adds boolean")
+        entry = steps.groupBy(*keys).applyInPandas(chain, f"{key_type}, segment bigint, carry bigint, opened bigint")
+        started = lean.join(entry, [*keys, "segment"])
+    placed = (by_key(started, *keys, "segment").groupBy(*keys, "segment")
+              .applyInPandas(assign, f"{key_type}, rank bigint, tokens bigint, block bigint"))
+    return ranked.join(placed, [*keys, "rank"])

@@ -29,7 +29,8 @@ def parse_responses(responses: DataFrame, content: str = "content") -> DataFrame
 
 def response_items(parsed: DataFrame) -> DataFrame:
     """Items of the good chunks with a position that follows chunk order."""
-    return (unfold(parsed.where("status = 'success'"), ["article_id", "chunk_index"], "items", "at", "item")
+    # failed chunks have no items; a filter here would parse every answer twice
+    return (unfold(parsed, ["article_id", "chunk_index"], "items", "at", "item")
             .select("article_id", "chunk_index", "at", "item.*"))
 
 

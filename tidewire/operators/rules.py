@@ -3,21 +3,48 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.functions.arrays import unfold
 
-LITERAL_RULES = 1000   # up to this many rules are tested as one literal list
+LITERAL_RULES = 10_000   # up to this many rules travel with the tasks
 GRAM = 3
 
 
+def _finder(patterns: list[str]):
+    """Numbers of the patterns a text contains, all of them found in one pass."""
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            from ahocorasick import Automaton
+        except ImportError:
+            for texts in batches:
+                yield pd.Series([[i for i, p in enumerate(patterns) if p in t] for t in texts])
+            return
+        numbers: dict[str, list[int]] = {}
+        for i, p in enumerate(patterns):
+            numbers.setdefault(p, []).append(i)
+        automaton = Automaton()
+        for p, listed in numbers.items():
+            automaton.add_word(p, listed)
+        if numbers:
+            automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([sorted({i for _, found in automaton.iter(t) for i in found}) if numbers else []
+                             for t in texts])
+    return find
+
+
 def rule_hits(articles: DataFrame, rules: DataFrame, key: str, field: str) -> DataFrame:
     """(key, rule_id, priority) of every enabled rule whose pattern is in `field`.
 
-    A small rule set becomes a literal list scanned per row. A larger one is
-    joined on the first characters of its patterns, which every matching text
+    A small rule set travels with the tasks, which search each text once for
+    all patterns. A larger one is joined on the first characters of its patterns, which every matching text
     must contain.
     """
     live = rules.where("is_enabled AND pattern <> ''").select(
@@ -27,9 +54,9 @@ def rule_hits(articles: DataFrame, rules: DataFrame, key: str, field: str) -> Da
     if len(rows) <= LITERAL_RULES:
         listed = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])),
                              "array<struct<rule_id: bigint, pattern: string, priority: int>>")
-        # the text is bound once, outside the loop over the rules
-        found = F.flatten(F.transform(F.array(text), lambda t: F.filter(listed, lambda r: F.contains(t, r["pattern"]))))
-        return unfold(articles, [key], found, "at", "r").select(key, "r.rule_id", "r.priority")
+        found = _finder([r.pattern for r in rows])(text)
+        hits = unfold(articles, [key], found, "at", "n")
+        return hits.withColumn("r", F.element_at(listed, F.col("n") + 1)).select(key, "r.rule_id", "r.priority")
     starts = live.withColumn("_g", F.substring("pattern", 1, GRAM))
     grams = articles.select(key, text.alias("_t")).withColumn("_g", F.explode(F.array_distinct(F.flatten(F.array(*[
         F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - (n - 1), F.lit(1))),

@@ -35,9 +35,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the reliable checkpoint folder and drop its lineage."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared scratch folder and go on from the table.
+
+    Drops the lineage, survives lost executors, and gives the optimiser the
+    true size, which a checkpointed plan with its old estimates would not.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
