@@ -14,7 +14,7 @@ def hours_between(later: Column, earlier: Column) -> Column:
 def recency(published_at: Column, as_of: Column) -> Column:
     """1 at `as_of`, 0 a day earlier, 0.5 when unknown; above 1 for later times."""
     fresh = F.greatest(F.lit(0.0), F.lit(1.0) - hours_between(as_of, published_at) / F.lit(24.0))
-    return F.coalesce(fresh, F.lit(0.5))
+    return F.when(published_at.isNull(), F.lit(0.5)).otherwise(fresh)
 
 
 def score(confidence: Column, published_at: Column, as_of: Column, weight: Column | None = None,
@@ -61,7 +61,7 @@ def planned_send_time(start: Column, batch_no: Column, rate_per_sec: float = 1.0
 
 
 def clamp(value: Column, low: int, high: int) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -58,9 +58,12 @@ def rule_hits(articles: DataFrame, rules: DataFrame, key: str, field: str) -> Da
         hits = unfold(articles, [key], found, "at", "n")
         return hits.withColumn("r", F.element_at(listed, F.col("n") + 1)).select(key, "r.rule_id", "r.priority")
     starts = live.withColumn("_g", F.substring("pattern", 1, GRAM))
-    grams = articles.select(key, text.alias("_t")).withColumn("_g", F.explode(F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - (n - 1), F.lit(1))),
-                    lambda i, n=n: F.substring(F.col("_t"), i, F.lit(n))) for n in range(1, GRAM + 1)])))))
+    def pieces(size: int):
+        places = F.sequence(F.lit(1), F.greatest(F.length("_t") - (size - 1), F.lit(1)))
+        return F.transform(places, lambda i: F.substring(F.col("_t"), i, F.lit(size)))
+
+    grams = articles.select(key, text.alias("_t")).withColumn("_g", F.explode(F.array_distinct(
+        F.flatten(F.array(*[pieces(n) for n in range(1, GRAM + 1)])))))
     return (grams.join(starts, "_g").where(F.contains(F.col("_t"), F.col("pattern")))
             .select(key, "rule_id", "priority").distinct())
 
