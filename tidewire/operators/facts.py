@@ -68,16 +68,16 @@ def fill_by_majority(items: DataFrame, columns: tuple[str, ...] = ("region", "la
 
     Ties go to the label seen first. Counts are combined before the shuffle.
     """
-    out = items
+    labels = F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c), F.lit(UNKNOWN)).alias("v")) for c in columns])
+    counted = (items.select("article_id", F.col(position).alias("_p"), F.explode(labels).alias("_l"))
+               .groupBy("article_id", "_l.c", "_l.v").agg(F.count("*").alias("_n"), F.min("_p").alias("_first")))
+    rank = F.struct("_n", -F.col("_first"))
+    top = counted.groupBy("article_id").agg(*[
+        F.max_by("v", F.when(F.col("c") == name, rank)).alias(f"_top_{name}") for name in columns])
+    out = items.join(top, "article_id")
     for name in columns:
-        label = F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(UNKNOWN))
-        counted = (items.select("article_id", F.coalesce(F.col(name), F.lit(UNKNOWN)).alias("_v"),
-                                F.col(position).alias("_p"))
-                   .groupBy("article_id", "_v").agg(F.count("*").alias("_n"), F.min("_p").alias("_first")))
-        top = counted.groupBy("article_id").agg(
-            F.max_by("_v", F.struct("_n", -F.col("_first"))).alias("_top"))
-        out = (out.join(top, "article_id")
-               .withColumn(name, F.when(label == UNKNOWN, F.col("_top")).otherwise(F.col(name))).drop("_top"))
+        known = F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(UNKNOWN)) != UNKNOWN
+        out = out.withColumn(name, F.when(known, F.col(name)).otherwise(F.col(f"_top_{name}"))).drop(f"_top_{name}")
     return out
 
 

@@ -79,7 +79,8 @@ def best_overall(items: DataFrame, n: int = DEFAULTS.attachment_max_items,
 
 def section_counts(items: DataFrame) -> DataFrame:
     """Items in total, per region and per (region, layer); level 0, 1 or 2."""
-    return (items.rollup(*SECTION).agg(F.count("*").alias("items"), F.grouping_id().alias("_g"))
+    per_section = items.groupBy(*SECTION).agg(F.count("*").alias("items"))
+    return (per_section.rollup(*SECTION).agg(F.sum("items").alias("items"), F.grouping_id().alias("_g"))
             .withColumn("level", F.when(F.col("_g") == 3, 0).when(F.col("_g") == 1, 1).otherwise(2)).drop("_g"))
 
 

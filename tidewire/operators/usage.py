@@ -68,7 +68,9 @@ def by_provider(usage: DataFrame) -> DataFrame:
 
 def usage_rollup(usage: DataFrame) -> DataFrame:
     """Per model, per provider and in total, with the mean cost of a call."""
-    return (usage.rollup("provider_name", "model_name").agg(*_measures(), F.grouping_id().alias("_g"))
+    per_model = usage.groupBy("provider_name", "model_name").agg(*_measures())
+    totals = [F.sum(c).alias(c) for c in (*SUMS, "cost", "calls")]
+    return (per_model.rollup("provider_name", "model_name").agg(*totals, F.grouping_id().alias("_g"))
             .withColumn("level", F.when(F.col("_g") == 3, "total").when(F.col("_g") == 1, "provider").otherwise("model"))
             .withColumn("cost_per_call", F.coalesce(F.try_divide("cost", "calls"), F.lit(0))).drop("_g"))
 

@@ -74,12 +74,36 @@ def queue_done_today(spark, d):
 
 # ---- fetch routes ----
 
-@query("route_switches")
+ROUTES_SQL = """fetches AS (SELECT concat('site', user_id % 40, '.example.com') AS domain, event_id AS seq, epoch_us(ts) AS ts_us,
+    event_type NOT IN ('error', 'signup', 'view') AS ok, user_id % 40 % 2 = 0 AS dflt FROM events),
+  grouped AS (SELECT domain, any_value(dflt) AS dflt, list({'seq': seq, 'at': ts_us, 'ok': ok} ORDER BY seq) AS l FROM fetches GROUP BY domain),
+  walked AS (SELECT domain, list_reduce(list_prepend(
+      {'x': {'seq': 0::BIGINT, 'at': 0::BIGINT, 'ok': true}, 'n': 0::BIGINT, 'route': false, 'held': false, 'since': -9000000000000000::BIGINT,
+       'all': []::STRUCT(seq BIGINT, p BOOLEAN, f BIGINT, s BOOLEAN)[]},
+      list_transform(l, lambda e: {'x': e, 'n': 0::BIGINT, 'route': false, 'held': false, 'since': 0::BIGINT,
+       'all': []::STRUCT(seq BIGINT, p BOOLEAN, f BIGINT, s BOOLEAN)[]})),
+      lambda a, y: CASE
+        WHEN y.x.ok THEN {'x': y.x, 'n': 0::BIGINT, 'route': a.route, 'held': a.held, 'since': a.since, 'all': list_append(a.all,
+          {'seq': y.x.seq, 'p': CASE WHEN y.x.at - a.since < 3600000000 THEN a.held ELSE dflt END, 'f': 0::BIGINT, 's': false})}
+        WHEN (CASE WHEN a.n > 0 AND a.route = (CASE WHEN y.x.at - a.since < 3600000000 THEN a.held ELSE dflt END) THEN a.n + 1 ELSE 1 END) >= 3
+        THEN {'x': y.x, 'n': 0::BIGINT, 'route': a.route, 'held': NOT (CASE WHEN y.x.at - a.since < 3600000000 THEN a.held ELSE dflt END),
+          'since': y.x.at, 'all': list_append(a.all, {'seq': y.x.seq,
+            'p': CASE WHEN y.x.at - a.since < 3600000000 THEN a.held ELSE dflt END, 'f': 3::BIGINT, 's': true})}
+        ELSE {'x': y.x, 'n': CASE WHEN a.n > 0 AND a.route = (CASE WHEN y.x.at - a.since < 3600000000 THEN a.held ELSE dflt END) THEN a.n + 1 ELSE 1 END,
+          'route': CASE WHEN y.x.at - a.since < 3600000000 THEN a.held ELSE dflt END, 'held': a.held, 'since': a.since,
+          'all': list_append(a.all, {'seq': y.x.seq, 'p': CASE WHEN y.x.at - a.since < 3600000000 THEN a.held ELSE dflt END,
+            'f': CASE WHEN a.n > 0 AND a.route = (CASE WHEN y.x.at - a.since < 3600000000 THEN a.held ELSE dflt END) THEN a.n + 1 ELSE 1 END, 's': false})} END).all AS r FROM grouped),
+  routes AS (SELECT domain, unnest(r) AS e FROM walked)"""
+
+
+@query("route_switches", f"""WITH {ROUTES_SQL} SELECT domain, e.seq AS seq, f.ts_us, e.p AS via_proxy, e.f AS failures, e.s AS switched
+FROM routes JOIN fetches f USING (domain) WHERE f.seq = e.seq""")
 def route_switches(spark, d):
     return R.route_switches(V.fetches(spark, d))
 
 
-@query("route_stats")
+@query("route_stats", f"""WITH {ROUTES_SQL} SELECT domain, count(*) AS fetches, count(*) FILTER (WHERE e.s) AS switches,
+  max_by(CASE WHEN e.s THEN 0 ELSE e.f END, e.seq) AS open_failures FROM routes GROUP BY domain""")
 def route_stats(spark, d):
     return R.route_stats(R.route_switches(V.fetches(spark, d)))
 
@@ -123,7 +147,8 @@ def stream_lookback(spark, d):
     return spark.read.parquet(target)
 
 
-@query("stream_route_switches")
+@query("stream_route_switches", f"""WITH {ROUTES_SQL} SELECT domain, e.seq AS seq, f.ts_us, e.p AS via_proxy, e.f AS failures, e.s AS switched
+FROM routes JOIN fetches f USING (domain) WHERE f.seq = e.seq""")
 def stream_route_switches(spark, d):
     raw = _event_stream(spark, d)
     fetches = raw.select(
@@ -133,6 +158,17 @@ def stream_route_switches(spark, d):
     return spark.read.parquet(S.run_available(S.route_switch_stream(fetches), "stream-routes"))
 
 
+@query("stream_queue_state", f"""WITH {V.QUEUE_SQL} SELECT article_id, max_by(status, seq) AS status,
+  count(*) FILTER (WHERE status = 'running') AS attempts, max(ts) AS changed_at FROM queue_events GROUP BY article_id""")
+def stream_queue_state(spark, d):
+    raw = _event_stream(spark, d)
+    events = raw.select(
+        F.col("user_id").alias("article_id"), F.col("event_id").alias("seq"), F.col("ts"),
+        F.expr("CASE event_type WHEN 'view' THEN 'queued' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END").alias("status"))
+    target = S.run_available(S.queue_state_stream(events), "stream-queue", for_each=S.replace_result, mode="complete")
+    return edge(spark.read.parquet(target))
+
+
 # ---- rules ----
 
 RULES_SQL = """watch AS (SELECT s_suppkey AS rule_id, CASE WHEN s_suppkey % 2 = 0 THEN 'keyword' ELSE 'source' END AS type,

@@ -144,7 +144,18 @@ def dedup_body(spark, d):
     return D.dedup_by_body(V.bodies(spark, d), "seq").select("seq")
 
 
-@query("dedup_full")
+FULL_SQL = GRAMS_SQL + f""", {V.BODIES_SQL}, fresh AS (SELECT url, min(seq) AS seq FROM bodies WHERE seq % 50 <> 0
+    AND url NOT IN (SELECT url FROM bodies WHERE seq % 20 = 0) GROUP BY url),
+  old AS (SELECT DISTINCT simhash FROM hashes WHERE doc_id % 50 = 0 AND simhash <> 0),
+  every AS (SELECT simhash, min(doc_id) AS seq FROM hashes JOIN fresh ON fresh.seq = doc_id WHERE simhash <> 0
+    AND simhash NOT IN (SELECT simhash FROM old) GROUP BY simhash),
+  nodes AS (SELECT * FROM every WHERE NOT EXISTS (SELECT 1 FROM old WHERE bit_count(xor(old.simhash, every.simhash)) <= 3)),
+  pairs AS (SELECT a.seq AS a, b.seq AS b FROM nodes a JOIN nodes b ON a.seq < b.seq AND bit_count(xor(a.simhash, b.simhash)) <= 3)""" + GREEDY_SQL
+
+
+@query("dedup_full", f"""WITH {FULL_SQL} SELECT b.seq, b.url, h.simhash,
+  md5(concat(b.url, '|', b.title, '|', strftime(b.published_at, '%Y-%m-%d %H:%M:%S'))) AS dedup_key
+FROM kept JOIN bodies b USING (seq) JOIN hashes h ON h.doc_id = b.seq""")
 def dedup_full(spark, d):
     items = V.bodies(spark, d)
     known = D.body_hashes(items.where("seq % 50 = 0"), "seq", "content_text").select("simhash")

@@ -257,7 +257,18 @@ def prompt_blocks(spark, d):
     return _planned(spark, d).select("item_id", "block", "line_no")
 
 
-@query("prompt_texts")
+@query("prompt_texts", LINES_SQL + """, b AS (
+  SELECT m.region, m.layer, CASE WHEN t.section_tokens <= 44800 THEN 0 ELSE (m.rank - 1) // 20 END AS block, m.rest,
+         CASE WHEN t.section_tokens <= 44800 THEN m.rank ELSE (m.rank - 1) % 20 + 1 END AS line_no
+  FROM m JOIN t USING (region, layer)),
+  j AS (SELECT region, layer, block, count(*) AS items, string_agg(concat(line_no, '.', rest), chr(10) ORDER BY line_no) AS body FROM b GROUP BY ALL),
+  x AS (SELECT region, layer, block, items, concat('【', region, '-', layer, '】', chr(10), CASE layer
+              WHEN '金融政策监管' THEN '重点分析政策对金融机构、资本市场的直接影响，以及监管趋势变化'
+              WHEN '金融经济' THEN '关注市场表现、资金流向、机构动态，分析市场趋势和投资机会'
+              WHEN '金融大模型技术' THEN '关注技术商业化进展、融资动态、对金融行业的潜在影响'
+              WHEN '金融科技应用' THEN '分析具体应用场景、市场机会、竞争格局和商业价值'
+              ELSE '综合分析该领域情报的金融影响和趋势' END, chr(10), '共 ', items, ' 条', chr(10), chr(10), body, chr(10)) AS prompt FROM j)
+SELECT region, layer, block, items, length(prompt) AS chars, md5(prompt) AS prompt_md5 FROM x""")
 def prompt_texts(spark, d):
     return P.section_prompts(_planned(spark, d), ["region", "layer"]).select(
         "region", "layer", "block", "items", F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5"))

@@ -253,7 +253,12 @@ def page_links(spark, d):
     return G.page_links(linked)
 
 
-@query("page_links_dynamic")
+@query("page_links_dynamic", r"""WITH a AS (SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) AS pos FROM (
+    SELECT page_id, url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS h FROM pages)),
+  l AS (SELECT page_id, concat(regexp_extract(url, '^(https?://[^/?#]*)', 1), href) AS link, min(pos) AS pos FROM a GROUP BY ALL)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS at, link FROM l
+WHERE NOT regexp_matches(lower(link), '/tag/|/category/|/author/|/search|/login|/register|\.pdf|\.jpg|\.png|\.gif')
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 20""")
 def page_links_dynamic(spark, d):
     return G.page_links_dynamic(V.read(spark, d, "pages"), ["nav a[href]", "li a[href]"])
 
@@ -270,37 +275,48 @@ def page_anchors(spark, d):
 
 # ---- chunks ----
 
+PACK_SQL = rf"""{V.SENTENCES_SQL}, s AS (
+    SELECT doc_id, list(fact ORDER BY idx) AS parts,
+           list(CAST(floor(len(regexp_extract_all(fact, '[^{WS_SQL}]+')) * 1.3::DOUBLE) AS BIGINT) ORDER BY idx) AS toks
+    FROM sentences GROUP BY doc_id),
+  w AS (SELECT doc_id, list_reduce(list_prepend({{'s': '', 't': 0::BIGINT, 'open': '', 'n': 0::BIGINT, 'done': []::VARCHAR[]}},
+      list_transform(list_zip(parts, toks), lambda z: {{'s': z[1], 't': z[2], 'open': '', 'n': 0::BIGINT, 'done': []::VARCHAR[]}})),
+      lambda a, x: CASE
+        WHEN x.t > @target THEN {{'s': '', 't': 0::BIGINT, 'open': '', 'n': 0::BIGINT,
+          'done': list_append(CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END, x.s)}}
+        WHEN a.n + x.t > @target THEN {{'s': '', 't': 0::BIGINT, 'open': concat(a.open[-20:], x.s),
+          'n': CASE WHEN a.open = '' THEN x.t ELSE CAST(floor(len(regexp_extract_all(concat(a.open[-20:], x.s), '[^{WS_SQL}]+')) * 1.3::DOUBLE) AS BIGINT) END,
+          'done': CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END}}
+        ELSE {{'s': '', 't': 0::BIGINT, 'open': concat(a.open, x.s), 'n': a.n + x.t, 'done': a.done}} END) AS r FROM s),
+  c AS (SELECT doc_id, CASE WHEN r.open = '' THEN r.done ELSE list_append(r.done, r.open) END AS chunks FROM w)"""
+PLAN_SQL = PACK_SQL.replace("@target", "200") + rf""", e AS (
+    SELECT doc_id, text, CAST(floor(len(regexp_extract_all(text, '[^{WS_SQL}]+')) * 1.3::DOUBLE) AS BIGINT) AS tokens FROM documents WHERE text <> ''),
+  p AS (SELECT e.doc_id, tokens, CASE WHEN tokens <= 200 THEN [text] ELSE c.chunks END AS chunks FROM e LEFT JOIN c USING (doc_id))"""
+
+
 SMALL = Params(model_limit=400, budget=0.5, overlap_chars=20, max_chunks=3)
 
 
-@query("chunk_plan")
+@query("chunk_plan", f"""WITH {PLAN_SQL} SELECT doc_id AS seq, 'en' AS lang_hint, tokens, len(chunks) AS total_chunks, len(chunks) > 3 AS degraded,
+  CASE WHEN len(chunks) > 3 THEN 'summary_then_extract' END AS strategy, greatest(len(chunks) - 3, 0) AS overflow,
+  least(len(chunks), 3) AS kept FROM p""")
 def chunk_plan(spark, d):
     planned = C.plan_chunks(V.bodies(spark, d), params=SMALL)
     return planned.select("seq", "lang_hint", "tokens", "total_chunks", "degraded", "strategy", "overflow",
                           F.size("chunks").alias("kept"))
 
 
-@query("chunk_rows")
+@query("chunk_rows", f"""WITH {PLAN_SQL}, q AS (SELECT doc_id, CASE WHEN len(chunks) > 3 THEN list_append(chunks[1:2],
+    concat('[全文概括]', chr(10), '前2段详细内容已处理，剩余', len(chunks) - 2, '段需要概括处理。')) ELSE chunks END AS l FROM p),
+  u AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS chunk_index, unnest(l) AS chunk FROM q)
+SELECT doc_id AS seq, chunk_index, length(chunk) AS chars, md5(chunk) AS chunk_md5 FROM u""")
 def chunk_rows(spark, d):
     planned = C.plan_chunks(V.bodies(spark, d), params=Params(model_limit=400, budget=0.5, overlap_chars=20, max_chunks=3,
                                                               long_text_strategy="headN_plus_overall"))
     return C.chunk_rows(planned, ["seq"]).select("seq", "chunk_index", F.length("chunk").alias("chars"), F.md5("chunk").alias("chunk_md5"))
 
 
-@query("chunk_pack", rf"""WITH {V.SENTENCES_SQL}, s AS (
-    SELECT doc_id, list(fact ORDER BY idx) AS parts,
-           list(CAST(floor(len(regexp_extract_all(fact, '[^{WS_SQL}]+')) * 1.3::DOUBLE) AS BIGINT) ORDER BY idx) AS toks
-    FROM sentences GROUP BY doc_id),
-  w AS (SELECT doc_id, list_reduce(list_prepend({{'s': '', 't': 0::BIGINT, 'open': '', 'n': 0::BIGINT, 'done': []::VARCHAR[]}},
-      list_transform(list_zip(parts, toks), lambda z: {{'s': z[1], 't': z[2], 'open': '', 'n': 0::BIGINT, 'done': []::VARCHAR[]}})),
-      lambda a, x: CASE
-        WHEN x.t > 120 THEN {{'s': '', 't': 0::BIGINT, 'open': '', 'n': 0::BIGINT,
-          'done': list_append(CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END, x.s)}}
-        WHEN a.n + x.t > 120 THEN {{'s': '', 't': 0::BIGINT, 'open': concat(a.open[-20:], x.s),
-          'n': CASE WHEN a.open = '' THEN x.t ELSE CAST(floor(len(regexp_extract_all(concat(a.open[-20:], x.s), '[^{WS_SQL}]+')) * 1.3::DOUBLE) AS BIGINT) END,
-          'done': CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END}}
-        ELSE {{'s': '', 't': 0::BIGINT, 'open': concat(a.open, x.s), 'n': a.n + x.t, 'done': a.done}} END) AS r FROM s),
-  c AS (SELECT doc_id, CASE WHEN r.open = '' THEN r.done ELSE list_append(r.done, r.open) END AS chunks FROM w)
+@query("chunk_pack", f"""WITH {PACK_SQL.replace("@target", "120")}
 SELECT doc_id, generate_subscripts(chunks, 1) - 1 AS chunk_index, md5(unnest(chunks)) AS chunk_md5 FROM c""")
 def chunk_pack(spark, d):
     packed = C.pack_sentences(T.split_semantic(F.col("text")), 120, 20, F.lit("en"))

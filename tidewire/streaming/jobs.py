@@ -87,6 +87,13 @@ def route_switch_stream(fetches: DataFrame, limit: int = DEFAULTS.failures_to_sw
         update, SWITCHES, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def replace_result(target: str):
+    """foreachBatch writer for the complete mode: the newest result replaces the table."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+    return write
+
+
 def queue_state_stream(events: DataFrame) -> DataFrame:
     """Running state per article, to be used with the update or complete mode."""
     return events.groupBy("article_id").agg(
