@@ -44,9 +44,15 @@ SCOPE_DAYS = {"day": 1, "week": 7, "month": 30}
 
 
 def to_local(instant: Column, zone: str = LOCAL_ZONE, source_zone: Column | None = None) -> Column:
-    """Local wall time of an instant. A wall time without zone is already local."""
-    source = F.current_timezone() if source_zone is None else source_zone
-    return F.convert_timezone(source, F.lit(zone), instant.cast("timestamp_ntz"))
+    """Local wall time of an instant, or of a wall time of `source_zone`.
+
+    The result does not depend on the session zone.
+    """
+    if source_zone is not None:
+        return F.convert_timezone(source_zone, F.lit(zone), instant.cast("timestamp_ntz"))
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    utc = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
 def parse_local(text: Column, zone: str = LOCAL_ZONE) -> Column:

@@ -109,6 +109,8 @@ def seed_missing(stored: DataFrame, incoming: DataFrame, key: str, order: str) -
     first = Window.partitionBy(key).orderBy(order)
     ranked = incoming.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     fresh = ranked.join(stored.select(key), key, "left_anti")
-    counts = fresh.agg(F.count("*").alias("inserted")).crossJoin(incoming.agg(F.count("*").alias("total"))).select(
-        "inserted", (F.col("total") - F.col("inserted")).alias("skipped"))
+    flags = fresh.select(F.lit(1).alias("new"), F.lit(0).alias("seen")).unionByName(
+        incoming.select(F.lit(0).alias("new"), F.lit(1).alias("seen")))
+    inserted = F.coalesce(F.sum("new"), F.lit(0))
+    counts = flags.agg(inserted.alias("inserted"), (F.coalesce(F.sum("seen"), F.lit(0)) - inserted).alias("skipped"))
     return fresh, counts

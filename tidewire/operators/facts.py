@@ -46,10 +46,13 @@ def to_stored_items(items: DataFrame) -> DataFrame:
         F.coalesce("finance_relevance", F.lit(1.0)).alias("finance_relevance"))
 
 
-def recode_history(items: DataFrame, status_columns: tuple[str, ...] = ()) -> DataFrame:
-    """Bring old rows to the current codes."""
-    out = (items.withColumn("region", recode(F.col("region"), REGION_CODES))
-           .withColumn("layer", recode(F.col("layer"), LAYER_CODES))
+def recode_history(items: DataFrame, status_columns: tuple[str, ...] = (), back: bool = False) -> DataFrame:
+    """Bring old rows to the current codes, or rows back to the old ones."""
+    def codes(table: dict[str, str]) -> dict[str, str]:
+        return {new: old for old, new in table.items()} if back else table
+
+    out = (items.withColumn("region", recode(F.col("region"), codes(REGION_CODES)))
+           .withColumn("layer", recode(F.col("layer"), codes(LAYER_CODES)))
            .withColumn("finance_relevance", F.coalesce("finance_relevance", F.lit(1.0))))
     for name in status_columns:
         out = out.withColumn(name, F.lower(name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.functions.text import strip
 from tidewire.functions.times import to_local, within_hours
@@ -36,11 +37,14 @@ def content_gate(articles: DataFrame, min_len: int = DEFAULTS.min_content_len,
     return articles.where(enough), articles.where(~enough).withColumn("reason", F.lit("content_too_short"))
 
 
-def new_articles(items: DataFrame, stored: DataFrame, order: str, as_local: bool = True,
-                 title_max: int = DEFAULTS.title_max) -> DataFrame:
-    """Rows to append: first use of each URL that is not stored yet."""
+def new_articles(items: DataFrame, stored: DataFrame, order: str, title_max: int = DEFAULTS.title_max) -> DataFrame:
+    """Rows to append: first use of each URL that is not stored yet.
+
+    Instants become local wall times; wall times are local already.
+    """
     fresh = first_per_key(items, "url", order).join(stored.select("url"), "url", "left_anti")
-    published = to_local(F.col("published_at")) if as_local else F.col("published_at")
+    instant = isinstance(items.schema["published_at"].dataType, T.TimestampType)
+    published = to_local(F.col("published_at")) if instant else F.col("published_at")
     text = F.coalesce("content_text", F.lit(""))
     return fresh.select(
         order, "source_id", F.substring(strip(F.coalesce("title", F.lit(""))), 1, title_max).alias("title"), "url",

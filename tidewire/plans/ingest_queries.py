@@ -171,13 +171,13 @@ SELECT seq, source_id, regexp_replace(regexp_replace(title, '^\\s+', ''), '\\s+$
 def article_store(spark, d):
     items = V.bodies(spark, d)
     stored = items.where("seq % 20 = 0").select("url").distinct()
-    return edge(I.new_articles(items, stored, "seq", as_local=False).drop("content_text"))
+    return edge(I.new_articles(items, stored, "seq").drop("content_text"))
 
 
 @query("article_enqueue", """SELECT DISTINCT (doc_id // 2) * 2 AS article_id, 'queued' AS status, 0 AS priority, 0 AS attempts FROM documents""")
 def article_enqueue(spark, d):
     items = V.bodies(spark, d)
-    fresh = I.new_articles(items, items.limit(0), "seq", as_local=False)
+    fresh = I.new_articles(items, items.limit(0), "seq")
     return I.queue_rows(fresh, "seq")
 
 

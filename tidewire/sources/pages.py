@@ -59,7 +59,7 @@ def page_articles(pages: DataFrame, dynamic: bool = False, as_of: Column | None
     """
     extra = F.lit(None).cast("array<string>") if site_selectors is None else site_selectors
     read = pages.withColumn("_p", _page_reader(dynamic)(F.col("html"), extra))
-    published = F.try_element_at(F.filter(F.transform("_p.dates", parse_local), lambda d: d.isNotNull()), F.lit(1))
+    published = F.try_element_at(F.filter(F.transform("_p.dates", lambda d: parse_local(d)), lambda d: d.isNotNull()), F.lit(1))
     if dynamic and as_of is not None:
         published = F.coalesce(published, as_of.cast("timestamp_ntz"))
     canonical = canonical_or_url(normalize_url(F.col("_p.canonical")), F.col("url"))
