@@ -119,7 +119,7 @@ def _dense_blocks(root: Node) -> str:
         if node.tag not in BLOCKS:
             continue
         own = [c for c in node.children if isinstance(c, str) or c.tag not in BLOCKS | NOISE | SKIPPED_TEXT]
-        text = " ".join(p for c in own for p in ([c.strip()] if isinstance(c, str) else c.pieces(NOISE)) if p)
+        text = " ".join(p for c in own for p in ([c.strip()] if isinstance(c, str) else c.pieces(NOISE | BLOCKS)) if p)
         linked = sum(len(c.text()) for c in own if not isinstance(c, str) and c.tag == "a")
         if len(text) >= 25 and linked * 2 < len(text):
             lines.append(text)
@@ -150,10 +150,14 @@ def _main_region(root: Node) -> str:
 
 
 def main_text(root: Node) -> tuple[str, str]:
-    """Text and the stage that found it; each stage has a minimum length."""
-    for name, stage, least in (("density", _dense_blocks, MIN_TEXT), ("paragraphs", _fullest_block, MIN_TEXT),
-                               ("region", _main_region, MIN_LAST)):
-        text = stage(root).strip()
+    """Text and the stage that found it; each stage has a minimum length.
+
+    The first two stages look inside the article or main element when there is one.
+    """
+    inner = next((n for tag in ("article", "main") for n in root.walk(NOISE) if n.tag == tag), root)
+    for name, stage, least, where in (("density", _dense_blocks, MIN_TEXT, inner),
+                                      ("paragraphs", _fullest_block, MIN_TEXT, inner), ("region", _main_region, MIN_LAST, root)):
+        text = stage(where).strip()
         if len(text) > least:
             return text, name
     return "", "none"

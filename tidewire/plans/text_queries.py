@@ -102,13 +102,14 @@ def text_clean(spark, d):
     return V.read(spark, d, "documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("cleaned_md5"))
 
 
-PLAIN_SQL = r"""plain AS (SELECT page_id, html, array_to_string(list_filter(list_transform(
+PLAIN_SQL = r"""plain AS (SELECT page_id, url, html, array_to_string(list_filter(list_transform(
     string_split(regexp_replace(regexp_replace(html,
       '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!doctype[^>]*>', chr(1), 'g'),
       '</?[A-Za-z][^>]*>', chr(1), 'g'), chr(1)),
     lambda x: regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'),
       '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '^\s+', ''), '\s+$', '')),
     lambda x: x <> ''), ' ') AS txt FROM pages)"""
+ARTICLE_SQL = PLAIN_SQL.replace("FROM pages)", "FROM (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS html FROM pages))")
 
 
 @query("text_plain", f"WITH {PLAIN_SQL} SELECT page_id, md5(txt) AS plain_md5, length(txt) AS chars FROM plain")
@@ -227,9 +228,9 @@ def day_filter(spark, d):
 
 # ---- pages ----
 
-@query("page_article", r"""WITH h AS (SELECT page_id, url, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h FROM pages)
-SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
-  '^\s+', ''), '\s+$', '') AS title, url AS canonical_url FROM h""")
+@query("page_article", "WITH " + ARTICLE_SQL + r""", h AS (SELECT page_id, url, txt, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h FROM plain)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'),
+  '^\s+', ''), '\s+$', '') AS title, url AS canonical_url FROM h WHERE length(txt) >= 100""")
 def page_article(spark, d):
     pages = V.read(spark, d, "pages")
     return G.page_articles(pages).select("page_id", "title", "canonical_url")
