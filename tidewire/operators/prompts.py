@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.text import WORDS_TO_TOKENS, CJK, cjk_count, mixed_tokens, word_count
 from tidewire.operators.numbering import number_rows
-from tidewire.params import DEFAULTS, Params
+from tidewire.params import DEFAULTS, UNKNOWN, Params
 from tidewire.runtime import by_key, cut
 
 # ---- fixed values -----------------------------------------------------------
@@ -22,9 +22,8 @@ LAYER_INSTRUCTIONS = {
     "金融科技应用": "分析具体应用场景、市场机会、竞争格局和商业价值",
     "未知": "综合分析该领域情报的金融影响和趋势",
 }
-LINE_HEAD = "%d. 【%s-%s】(评分: %s, 置信度: %s)\n"
-LINE_FACT = "   事实: %s\n"
-LINE_OPINION = "   观点: %s\n"
+LINE_PARTS = [". 【", "-", "】(评分: ", ", 置信度: ", ")\n   事实: "]
+OPINION_PART = "   观点: "
 # ---- end of fixed values ----------------------------------------------------
 
 # Caller may pass another template; the item lines go on lines of their own.
@@ -32,15 +31,18 @@ SECTION_TEMPLATE = "【{region}-{layer}】\n{instruction}\n共 {count} 条\n\n{i
 
 
 def two_decimals(value: Column) -> Column:
-    return F.format_string("%.2f", F.floor(value * 100 + 0.5) / 100)
+    cents = F.floor(value * 100 + 0.5)
+    shown = F.concat(F.floor(F.abs(cents) / 100).cast("string"), F.lit("."), F.lpad((F.abs(cents) % 100).cast("string"), 2, "0"))
+    return F.when(cents < 0, F.concat(F.lit("-"), shown)).otherwise(shown)
 
 
 def item_line(index: Column) -> Column:
-    head = F.format_string(LINE_HEAD, index, F.col("region"), F.col("layer"),
-                           two_decimals(F.col("score")), two_decimals(F.col("confidence")))
+    values = [index.cast("string"), F.coalesce("region", F.lit(UNKNOWN)), F.coalesce("layer", F.lit(UNKNOWN)),
+              two_decimals(F.coalesce("score", F.lit(0.0))), two_decimals(F.coalesce("confidence", F.lit(0.0)))]
+    head = [part for value, text in zip(values, LINE_PARTS) for part in (value, F.lit(text))]
     opinion = F.coalesce(F.col("opinion"), F.lit(""))
-    return F.concat(head, F.format_string(LINE_FACT, F.col("fact")),
-                    F.when(opinion != "", F.format_string(LINE_OPINION, opinion)).otherwise(""))
+    return F.concat(*head, F.coalesce("fact", F.lit("")), F.lit("\n"),
+                    F.when(opinion != "", F.concat(F.lit(OPINION_PART), opinion, F.lit("\n"))).otherwise(""))
 
 
 def instruction_for(layer: Column) -> Column:
