@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,21 +14,19 @@ SMALL_ROWS = 20_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for checkpoints and intermediate tables: the session's spark.checkpoint.dir.
 
-    The session setting wins. Only a local session without the setting gets a
-    temporary folder of its own.
+    Only a session whose driver is its one executor gets a folder of its own
+    when the setting is missing.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if configured and not current:
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
-    if configured or current:
-        return configured or current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext.getCheckpointDir()
+    return configured
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
