@@ -23,6 +23,7 @@ from tidewire.llm.catalog import query, table
 from tidewire.llm.common import documents_like, map_rows
 
 MEMO_FRAGMENTS = 300_000
+NO_MERGE = (1 << 40, 0)
 
 
 class ForcedBoundaryBpe:
@@ -73,24 +74,22 @@ class ForcedBoundaryBpe:
 
     def _merge_all(self, fragment: str, closing: bool) -> list[int]:
         """Lowest rank first, leftmost first among equals."""
-        vocab, merge = self.vocab, self.merge
+        vocab, find = self.vocab, self.merge.get
         ids = [vocab[c] for c in fragment]
         if closing and self.end:
             ids[-1] = vocab[fragment[-1] + self.end]
-        while len(ids) > 1:
-            best = min((merge[p] + (p,) for p in zip(ids, ids[1:]) if p in merge), default=None)
-            if best is None:
+        steps = [find(p, NO_MERGE) for p in zip(ids, ids[1:])]
+        while steps:
+            best = min(steps)
+            if best is NO_MERGE:
                 break
-            _, new, (left, right) = best
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and ids[i] == left and ids[i + 1] == right:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            at = steps.index(best)
+            ids[at:at + 2] = [best[1]]
+            del steps[at]
+            if at:
+                steps[at - 1] = find((ids[at - 1], ids[at]), NO_MERGE)
+            if at < len(steps):
+                steps[at] = find((ids[at], ids[at + 1]), NO_MERGE)
         return ids
 
     def _piece(self, piece: str) -> list[int]:
