@@ -25,4 +25,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from tidewire.llm import bpe, fingerprint, lines, minhash, packing, pii, token_files, toxicity  # noqa: F401
+    from tidewire.llm import ann, bpe, fingerprint, lines, minhash, packing, pii, token_files, toxicity  # noqa: F401
