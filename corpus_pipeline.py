@@ -1,11 +1,68 @@
-"""A corpus pipeline of five stages; filled in as the operators arrive."""
+"""A corpus pipeline: five stages over `documents`, each written as Parquet and reread by the next.
 
-STAGES = []
+1. toxicity: rows that the classifier rejects go.
+2. line dedup: lines that stand on many sites go from the texts; rows left without text go.
+3. MinHash near-dedup: of each group of near duplicates the row with the smallest doc_id stays.
+4. PII: spans of personal data are replaced by marks.
+5. packing: token sequences of at most 1024 ids; the result of the pipeline.
+
+All but the last return the columns of `documents`. Models are fitted on what the stage is
+given (and on `labels` for toxicity). Null texts pass all filters and pack as one end id;
+rows without a doc_id are never taken for duplicates; an empty table gives no pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.llm import lines, minhash, packing, pii, toxicity, words
+from tidewire.llm.catalog import table
+from tidewire.runtime import cut
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs.select(COLUMNS), model)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.cleaned(docs.select(COLUMNS))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(COLUMNS)
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(COLUMNS)
+    return pii.redacted(docs, pii.fit(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, words.vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_stage),
+    ("minhash", near_duplicate_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+
+# A trained classifier, a trained field and the token packing have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs
