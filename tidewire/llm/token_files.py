@@ -55,55 +55,65 @@ _RATE = np.float32(0.05)
 
 
 class _Lanes:
-    """Models and mixing weights of blocks that run side by side. Encoder and decoder share every step."""
+    """Models and mixing weights of blocks that run side by side. Encoder and decoder share every step.
+
+    Arrays over (value, lane) keep the lanes contiguous, so sums over the sixteen values
+    are plain vector additions.
+    """
 
     def __init__(self, lanes: int):
-        self.counts = [np.zeros((lanes * rows, 16), dtype=np.uint8)
-                       for rows in (_ROWS0, 1 << _SLOT_BITS, 1 << _SLOT_BITS)]
-        self.first = [np.arange(lanes, dtype=np.int64) * rows for rows in (_ROWS0, 1 << _SLOT_BITS, 1 << _SLOT_BITS)]
-        self.weights = np.tile(np.array([0.2, 0.3, 0.5], dtype=np.float32), (lanes * 16, 1))
+        sizes = (_ROWS0, 1 << _SLOT_BITS, 1 << _SLOT_BITS)
+        self.counts = [np.zeros(lanes * rows * 16, dtype=np.uint8) for rows in sizes]
+        self.totals = [np.zeros(lanes * rows, dtype=np.int32) for rows in sizes]
+        self.first = [np.arange(lanes, dtype=np.int64) * rows for rows in sizes]
+        self.weights = [np.full(lanes * 16, w, dtype=np.float32) for w in (0.2, 0.3, 0.5)]
         self.set_of = np.arange(lanes, dtype=np.int64) * 16
-        self.ramp = np.arange(1, 17, dtype=np.int64)
+        self.lane = np.arange(lanes)
+        self.ramp = np.arange(1, 17, dtype=np.float32)[:, None]
 
     def predict(self, n: int, node: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Cumulative frequencies (n, 17) of the next nibble of the first n lanes."""
+        """Cumulative frequencies (17, n) of the next nibble of the first n lanes."""
         mask = (1 << _SLOT_BITS) - 1
         one = (last * 40503 + node * 2654435 + 977) >> 5
         two = (last * 69069 + before * 1664525 + node * 22695477 + 331) >> 7
         self.rows = [self.first[0][:n] + node, self.first[1][:n] + (one & mask), self.first[2][:n] + (two & mask)]
-        self.p, seen = [], []
-        for order in range(3):
-            p = self.counts[order][self.rows[order]].astype(np.float32)
-            total = p.sum(axis=1)
-            seen.append(total)
+        self.p = []
+        seen = [total[rows] for total, rows in zip(self.totals, self.rows)]
+        self.chosen = (self.set_of[:n] + (seen[1] > 0) + (seen[1] > _STEP) + (seen[1] > 4 * _STEP)
+                       + 4 * ((seen[2] > 0).astype(np.int64) + (seen[2] > _STEP) + (seen[2] > 4 * _STEP)))
+        self.w = [w[self.chosen] for w in self.weights]
+        mix = None
+        for counts, rows, total, w in zip(self.counts, self.rows, seen, self.w):
+            p = counts.reshape(-1, 16)[rows].T.astype(np.float32, order="C")
             p += np.float32(0.4)
-            p *= (np.float32(1.0) / (total + np.float32(6.4)))[:, None]
-            self.p.append(p)
-        chosen = self.set_of[:n].copy()
-        for at, scale in ((1, 1), (2, 4)):
-            chosen += scale * ((seen[at] > 0).astype(np.int64) + (seen[at] > _STEP) + (seen[at] > 4 * _STEP))
-        self.chosen = chosen
-        self.w = self.weights[chosen]
-        self.mix = self.p[0] * self.w[:, :1]
-        self.mix += self.p[1] * self.w[:, 1:2]
-        self.mix += self.p[2] * self.w[:, 2:]
-        cumulative = np.zeros((n, 17), dtype=np.int64)
-        cumulative[:, 1:] = np.cumsum(self.mix, axis=1) * np.float32(_TOTAL - 16)
-        cumulative[:, 1:] += self.ramp
-        cumulative[:, 16] = _TOTAL
+            p *= w / (total.astype(np.float32) + np.float32(6.4))
+            self.p.append(p)                # already weighted
+            mix = p.copy() if mix is None else np.add(mix, p, out=mix)
+        self.mix = mix
+        level = np.add.accumulate(mix, axis=0)
+        level *= np.float32(_TOTAL - 16)
+        cumulative = np.empty((17, n), dtype=np.int32)
+        cumulative[0] = 0
+        np.add(np.floor(level, out=level), self.ramp, out=level)
+        cumulative[1:] = level
+        cumulative[16] = _TOTAL
         return cumulative
 
     def learn(self, n: int, nibble: np.ndarray) -> None:
-        lane = np.arange(n)
-        got = self.mix[lane, nibble]
-        for order in range(3):
-            self.w[:, order] *= (np.float32(1) - _RATE) + _RATE * (self.p[order][lane, nibble] / got)
-            counts, rows = self.counts[order], self.rows[order]
-            full = counts[rows, nibble] >= 255 - _STEP
-            if full.any():
-                counts[rows[full]] >>= 1
-            counts[rows, nibble] += _STEP
-        self.weights[self.chosen] = self.w
+        lane = self.lane[:n]
+        got = _RATE / self.mix[nibble, lane]
+        for weights, w, p, counts, totals, rows in zip(
+                self.weights, self.w, self.p, self.counts, self.totals, self.rows):
+            weights[self.chosen] = w * (np.float32(1) - _RATE) + p[nibble, lane] * got
+            at = rows * 16 + nibble
+            full = np.flatnonzero(counts[at] >= 255 - _STEP)
+            if len(full):
+                table = counts.reshape(-1, 16)
+                halved = table[rows[full]] >> 1
+                table[rows[full]] = halved
+                totals[rows[full]] = halved.sum(axis=1)
+            counts[at] += _STEP
+            totals[rows] += _STEP
 
 
 def _node(place: int, prefix: np.ndarray) -> np.ndarray:
@@ -147,7 +157,7 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
         for place in range(4):
             nibble = (ids[t, :n] >> (12 - 4 * place)) & 15
             cumulative = model.predict(n, _node(place, prefix), last[:n], before[:n])
-            start, end = cumulative[lane, nibble], cumulative[lane, nibble + 1]
+            start, end = cumulative[nibble, lane].astype(np.int64), cumulative[nibble + 1, lane]
             unit = sp >> _TOTAL_BITS
             lo += unit * start
             lo &= _MASK
@@ -199,9 +209,9 @@ def _decode_lanes(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         for place in range(4):
             cumulative = model.predict(n, _node(place, prefix), last[:n], before[:n])
             unit = sp >> _TOTAL_BITS
-            target = np.minimum(((value[:n] - lo) & _MASK) // unit, _TOTAL - 1)
-            nibble = (cumulative[:, 1:16] <= target[:, None]).sum(axis=1)
-            start, end = cumulative[lane, nibble], cumulative[lane, nibble + 1]
+            target = np.minimum(((value[:n] - lo) & _MASK) // unit, _TOTAL - 1).astype(np.int32)
+            nibble = np.add.reduce(cumulative[1:16] <= target, axis=0, dtype=np.uint8).astype(np.int64)
+            start, end = cumulative[nibble, lane].astype(np.int64), cumulative[nibble + 1, lane]
             lo += unit * start
             lo &= _MASK
             sp[:] = unit * (end - start)
