@@ -2,9 +2,9 @@
 
 A line (trimmed, not blank) is boilerplate when it occurs on at least `min_sites`
 distinct sites and its texts are otherwise unrelated: the distinct contexts (the longest
-other line of the text) number at least half of its distinct texts. The second test
-leaves copies and near copies of one article alone; they are the business of document
-deduplication. Lines are carried as 64-bit hashes.
+other line of the text) number at least `min_sites`, and half of its distinct texts. The
+second test leaves copies and near copies of one article alone; they are the business of
+document deduplication. Lines are carried as 64-bit hashes.
 
 HyperLogLog sketches of sites, contexts and texts per line are built on the map side and
 merged by aggregation, so a line that a third of all rows hold costs a sketch per task.
@@ -64,14 +64,14 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     guessed = cut(seen.groupBy("line").agg(
         *[estimate(F.hll_sketch_agg(c)).alias(c) for c in ("site", "context", "text")]))
     ratio = 2 * F.col("context") / F.col("text")
-    sure_sites = F.col("site") >= min_sites * (1 + NEAR)
-    sure_spread = ratio >= 1 + NEAR
-    hopeless = (F.col("site") < min_sites * (1 - NEAR)) | (ratio < 1 - NEAR)
+    fewest = F.least("site", "context") / min_sites
+    sure_sites, sure_spread = fewest >= 1 + NEAR, ratio >= 1 + NEAR
+    hopeless = (fewest < 1 - NEAR) | (ratio < 1 - NEAR)
     yes = guessed.where(sure_sites & sure_spread).select("line")
     unsure = guessed.where(~(sure_sites & sure_spread) & ~hopeless).select("line")
     exact = (found.join(unsure, "line").select("line", "site", "context", "text").distinct()
              .groupBy("line").agg(*[F.count_distinct(c).alias(c) for c in ("site", "context", "text")])
-             .where((F.col("site") >= min_sites) & (2 * F.col("context") >= F.col("text"))).select("line"))
+             .where((F.least("site", "context") >= min_sites) & (2 * F.col("context") >= F.col("text"))).select("line"))
     return yes.union(exact)
 
 
@@ -110,6 +110,7 @@ t AS (SELECT r, key, row_number() OVER (PARTITION BY r ORDER BY n DESC, key DESC
 c AS (SELECT k.*, CASE WHEN a.key = k.key THEN b.key ELSE a.key END AS context FROM k
       LEFT JOIN t a ON a.r = k.r AND a.nth = 1 LEFT JOIN t b ON b.r = k.r AND b.nth = 2),
 bad AS (SELECT key FROM c GROUP BY key HAVING count(DISTINCT source) >= {MIN_SITES}
+        AND count(DISTINCT coalesce(context, '')) >= {MIN_SITES}
         AND 2 * count(DISTINCT coalesce(context, '')) >= count(DISTINCT text)),
 f AS (SELECT r, count(*) AS n_removed FROM k WHERE key IN (SELECT key FROM bad) GROUP BY r),
 rest AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) AS text FROM l
