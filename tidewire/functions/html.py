@@ -12,16 +12,10 @@ MIN_TEXT, MIN_LAST = 100, 50
 DATE_KEYS = {"datePublished", "dateCreated", "dateModified", "uploadDate"}
 TITLE_SEPARATORS = [" | ", " - ", " – "]
 STATIC_DATE_SELECTORS = [
-    ("meta", "property", "article:published_time", "content"),
-    ("meta", "name", "pubdate", "content"),
-    ("meta", "name", "date", "content"),
-    ("time", "datetime", None, "datetime"),
+    "meta[property='article:published_time']", "meta[name='pubdate']", "meta[name='date']", "time[datetime]",
 ]
 DYNAMIC_DATE_SELECTORS = [
-    ("meta", "property", "article:published_time", "content"),
-    ("meta", "name", "pubdate", "content"),
-    ("time", "datetime", None, "datetime"),
-    ("time", "pubdate", None, "datetime"),
+    "meta[property='article:published_time']", "meta[name='pubdate']", "time[datetime]", "time[pubdate]",
 ]
 DEFAULT_LINK_SELECTORS = [
     "article a[href]", ".post a[href]", ".entry a[href]", "[class*='article'] a[href]",
@@ -184,10 +178,13 @@ def title(root: Node, dynamic: bool = False) -> str:
     return text
 
 
-def selector_rule(css: str) -> tuple:
-    """(tag, attribute, value, value attribute) of a date selector such as meta[name='date']."""
-    tag, attr, value = re.match(r"^(\w+)\[(\w+)(?:='([^']*)')?\]$", css).groups()
-    return tag, attr, value, "content" if tag == "meta" else "datetime"
+def selector_rule(css: str) -> tuple | None:
+    """(tag, attribute, value, value attribute) of a date selector such as meta[name='date'].
+
+    None for any other form; such a selector finds nothing.
+    """
+    parts = re.match(r"^(\w+)\[(\w+)(?:='([^']*)')?\]$", css)
+    return (*parts.groups(), "content" if parts[1] == "meta" else "datetime") if parts else None
 
 
 def _json_dates(data):
@@ -204,7 +201,8 @@ def _json_dates(data):
 
 def date_candidates(root: Node, dynamic: bool = False, site_selectors=()) -> list[str]:
     """Written dates in order of trust: meta and time tags, then JSON-LD."""
-    rules = [selector_rule(s) for s in site_selectors] + (DYNAMIC_DATE_SELECTORS if dynamic else STATIC_DATE_SELECTORS)
+    listed = [*site_selectors, *(DYNAMIC_DATE_SELECTORS if dynamic else STATIC_DATE_SELECTORS)]
+    rules = [rule for rule in map(selector_rule, listed) if rule]
     found = []
     for tag, attr, value, source in rules:
         node = first(root, tag, attr, value)
@@ -234,7 +232,10 @@ _ATTR = re.compile(r"\[([\w-]+)(?:([*^]?)='([^']*)')?\]")
 
 
 def _matches(node: Node, css: str) -> bool:
-    tag, classes, attrs = _SIMPLE.match(css).groups()
+    parts = _SIMPLE.match(css)
+    if parts is None:
+        return False
+    tag, classes, attrs = parts.groups()
     if tag and node.tag != tag:
         return False
     own = node.attrs.get("class", "").split()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ def _hash_block(bodies: list[str]) -> np.ndarray:
     if len(letters) >= 1 << 16:
         half = len(bodies) // 2
         if not half:
-            raise ValueError("a text uses more distinct characters than a gram key can hold")
+            return _hash_wide(padded[0])
         return np.concatenate([_hash_block(bodies[:half]), _hash_block(bodies[half:])])
     sizes = np.array([len(p) for p in padded])
     ends = np.cumsum(sizes)
@@ -57,6 +58,16 @@ def _hash_block(bodies: list[str]) -> np.ndarray:
     return np.packbits(ones * 2 > counts[:, None], axis=1).view(">i8").ravel().astype(np.int64)
 
 
+def _hash_wide(body: str) -> np.ndarray:
+    """A text with more distinct characters than a packed gram key can hold."""
+    uses = Counter(body[i:i + GRAM] for i in range(len(body) - GRAM + 1))
+    words = np.array([_word(g.rstrip("\0")) for g in uses], dtype=">u8")
+    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
+    weights = np.fromiter(uses.values(), dtype=np.int64)
+    ones = (bits * weights[:, None]).sum(axis=0)
+    return np.packbits(ones * 2 > weights.sum()).view(">i8").astype(np.int64)
+
+
 def hash_texts(texts: list[str]) -> np.ndarray:
     out = np.zeros(len(texts), dtype=np.int64)
     block, where, size = [], [], 0

@@ -15,7 +15,6 @@ CJK = r"[\x{4E00}-\x{9FFF}]"
 
 # ---- fixed values -----------------------------------------------------------
 SENTENCE_MARKS = "。！？!?."
-MARKS = r"!?.[\x{3002}-\x{FF1F}&&[。！？]]"   # the same, wide ones behind one range test
 WIDE_PUNCTUATION = "。，！？：；“”‘’（）"
 ASCII_PUNCTUATION = ".,!?:;\"\"''()"
 CHINESE_DIGITS = "一二三四五六七八九零〇"
@@ -29,6 +28,11 @@ ENTITIES = [
 ]
 # ---- end of fixed values ----------------------------------------------------
 
+# A character class of the sentence marks, the wide ones behind one range test.
+_WIDE_MARKS = "".join(c for c in SENTENCE_MARKS if ord(c) > 127)
+MARKS = ("".join(c for c in SENTENCE_MARKS if ord(c) <= 127)
+         + rf"[\x{{{ord(min(_WIDE_MARKS)):X}}}-\x{{{ord(max(_WIDE_MARKS)):X}}}&&[{_WIDE_MARKS}]]")
+
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{WS}]+|(?<![{WS}])[{WS}]+$", "")
@@ -142,8 +146,3 @@ def token_amount(tokens: Column) -> Column:
 
 def money(amount: Column, digits: int = 2) -> Column:
     return F.format_string(f"%.{digits}f", amount)
-
-
-def union_distinct(*arrays: Column) -> Column:
-    """Ordered union of lists without repeats."""
-    return F.array_distinct(F.concat(*arrays))

@@ -45,10 +45,11 @@ def pack_sentences(sentences: Column, target: Column | int, overlap_chars: int,
 
 
 def plan_chunks(articles: DataFrame, text: str = "content_text", params: Params = DEFAULTS) -> DataFrame:
-    """Add language, token estimate, the chunk list and what was left out.
+    """Add language, token estimate, the chunk list and the chunks put off.
 
     Texts within the budget are one chunk. Beyond `max_chunks` the plan is
-    degraded: the first chunks only, or one less plus a summary marker.
+    degraded: the first chunks only, or one less plus a summary marker; all others
+    are in `deferred`, so that no text is lost.
     """
     target, most = params.token_budget, params.max_chunks
     body = F.col(text)
@@ -64,15 +65,18 @@ def plan_chunks(articles: DataFrame, text: str = "content_text", params: Params
     if params.long_text_strategy == "headN_plus_overall":
         rest = F.format_string(OVERALL_CHUNK.replace("{head}", str(most - 1)).replace("{rest}", "%d"),
                                total - most + 1)
-        shorter = F.concat(F.slice("_all", 1, most - 1), F.array(rest))
+        first, shorter = most - 1, F.concat(F.slice("_all", 1, most - 1), F.array(rest))
     else:
-        shorter = F.slice("_all", 1, most)
+        first, shorter = most, F.slice("_all", 1, most)
+    later = F.slice("_all", F.lit(first + 1), F.greatest(total - first, F.lit(0)))
     return (
         planned.withColumn("total_chunks", total)
         .withColumn("degraded", over)
         .withColumn("strategy", F.when(over, F.lit(params.long_text_strategy)))
         .withColumn("overflow", F.when(over, total - most).otherwise(0))
         .withColumn("chunks", F.when(over, shorter).otherwise(F.col("_all")))
+        .withColumn("deferred_from", F.when(over, first))
+        .withColumn("deferred", F.when(over, later).otherwise(F.array().cast("array<string>")))
         .drop("_all")
     )
 
@@ -80,3 +84,9 @@ def plan_chunks(articles: DataFrame, text: str = "content_text", params: Params
 def chunk_rows(planned: DataFrame, keep: list[str]) -> DataFrame:
     """One row per chunk with its 0-based index."""
     return unfold(planned, keep, "chunks", "chunk_index", "chunk")
+
+
+def deferred_rows(planned: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per chunk put off, with its 0-based index in the whole text."""
+    rows = unfold(planned, [*keep, "deferred_from"], "deferred", "_at", "chunk")
+    return rows.withColumn("chunk_index", F.col("deferred_from") + F.col("_at")).drop("_at", "deferred_from")

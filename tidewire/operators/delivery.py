@@ -120,9 +120,3 @@ def delivery_outcome(log: DataFrame) -> DataFrame:
 
 def latest(df: DataFrame, order: str, n: int, tie: str) -> DataFrame:
     return df.orderBy(F.col(order).desc(), tie).limit(n)
-
-
-def ranked_within(df: DataFrame, by: str, order: list, n: int, name: str = "rank") -> DataFrame:
-    """First `n` rows of each group, limited below the shuffle."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)

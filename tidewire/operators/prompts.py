@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,8 +23,8 @@ LAYER_INSTRUCTIONS = {
     "金融科技应用": "分析具体应用场景、市场机会、竞争格局和商业价值",
     "未知": "综合分析该领域情报的金融影响和趋势",
 }
-LINE_PARTS = [". 【", "-", "】(评分: ", ", 置信度: ", ")\n   事实: "]
-OPINION_PART = "   观点: "
+ITEM_LINE = "{index}. 【{region}-{layer}】(评分: {score}, 置信度: {confidence})\n   事实: {fact}\n"
+OPINION_LINE = "   观点: {opinion}\n"
 # ---- end of fixed values ----------------------------------------------------
 
 # Caller may pass another template; the item lines go on lines of their own.
@@ -36,13 +37,19 @@ def two_decimals(value: Column) -> Column:
     return F.when(cents < 0, F.concat(F.lit("-"), shown)).otherwise(shown)
 
 
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """The template with its {names} replaced, as one concatenation."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[part] if i % 2 else F.lit(part) for i, part in enumerate(parts) if part])
+
+
 def item_line(index: Column) -> Column:
-    values = [index.cast("string"), F.coalesce("region", F.lit(UNKNOWN)), F.coalesce("layer", F.lit(UNKNOWN)),
-              two_decimals(F.coalesce("score", F.lit(0.0))), two_decimals(F.coalesce("confidence", F.lit(0.0)))]
-    head = [part for value, text in zip(values, LINE_PARTS) for part in (value, F.lit(text))]
     opinion = F.coalesce(F.col("opinion"), F.lit(""))
-    return F.concat(*head, F.coalesce("fact", F.lit("")), F.lit("\n"),
-                    F.when(opinion != "", F.concat(F.lit(OPINION_PART), opinion, F.lit("\n"))).otherwise(""))
+    line = filled(ITEM_LINE, {
+        "index": index.cast("string"), "region": F.coalesce("region", F.lit(UNKNOWN)),
+        "layer": F.coalesce("layer", F.lit(UNKNOWN)), "score": two_decimals(F.coalesce("score", F.lit(0.0))),
+        "confidence": two_decimals(F.coalesce("confidence", F.lit(0.0))), "fact": F.coalesce("fact", F.lit(""))})
+    return F.concat(line, F.when(opinion != "", filled(OPINION_LINE, {"opinion": opinion})).otherwise(""))
 
 
 def instruction_for(layer: Column) -> Column:

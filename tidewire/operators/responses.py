@@ -9,8 +9,6 @@ from tidewire.functions.arrays import unfold
 from tidewire.functions.responses import parse_response
 from tidewire.params import DEFAULT_MODELS, DEFAULT_PROVIDER
 
-CHUNK_KEYS = ("article_id", "chunk_index")
-
 
 def parse_responses(responses: DataFrame, content: str = "content") -> DataFrame:
     """One row per chunk: items, keywords, status and error."""

@@ -2,70 +2,57 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewire.functions.arrays import unfold
+from tidewire.runtime import cut
 
-LITERAL_RULES = 10_000   # up to this many rules travel with the tasks
 GRAM = 3
 
 
-def _finder(patterns: list[str]):
-    """Numbers of the patterns a text contains, all of them found in one pass."""
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            from ahocorasick import Automaton
-        except ImportError:
-            for texts in batches:
-                yield pd.Series([[i for i, p in enumerate(patterns) if p in t] for t in texts])
-            return
-        numbers: dict[str, list[int]] = {}
-        for i, p in enumerate(patterns):
-            numbers.setdefault(p, []).append(i)
-        automaton = Automaton()
-        for p, listed in numbers.items():
-            automaton.add_word(p, listed)
-        if numbers:
-            automaton.make_automaton()
-        for texts in batches:
-            yield pd.Series([sorted({i for _, found in automaton.iter(t) for i in found}) if numbers else []
-                             for t in texts])
-    return find
+def _grams(text: Column) -> Column:
+    """Distinct pieces of GRAM characters; a shorter text is one piece."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(GRAM))))
+
+
+def _short_pieces(text: Column) -> Column:
+    """Distinct pieces of fewer than GRAM characters, for patterns that short."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+
+    def pieces(size: int) -> Column:
+        return F.transform(places, lambda i: F.substring(text, i, F.lit(size)))
+
+    return F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, GRAM)])))
 
 
 def rule_hits(articles: DataFrame, rules: DataFrame, key: str, field: str) -> DataFrame:
     """(key, rule_id, priority) of every enabled rule whose pattern is in `field`.
 
-    A small rule set travels with the tasks, which search each text once for
-    all patterns. A larger one is joined on the first characters of its patterns, which every matching text
-    must contain.
+    A text that holds a pattern holds each of its pieces of GRAM characters. Pieces
+    of texts are kept only where some pattern has them, and counted; each pattern is
+    then looked up by its rarest piece alone, and what that finds is checked. Common
+    pieces such as those of frequent words are keys only of patterns that have no
+    other. One path for any number of rules.
     """
     live = rules.where("is_enabled AND pattern <> ''").select(
         "rule_id", F.lower("pattern").alias("pattern"), F.coalesce("priority", F.lit(0)).alias("priority"))
-    text = F.lower(F.coalesce(F.col(field), F.lit("")))
-    rows = live.limit(LITERAL_RULES + 1).collect()
-    if len(rows) <= LITERAL_RULES:
-        listed = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])),
-                             "array<struct<rule_id: bigint, pattern: string, priority: int>>")
-        found = _finder([r.pattern for r in rows])(text)
-        hits = unfold(articles, [key], found, "at", "n")
-        return hits.withColumn("r", F.element_at(listed, F.col("n") + 1)).select(key, "r.rule_id", "r.priority")
-    starts = live.withColumn("_g", F.substring("pattern", 1, GRAM))
-    def pieces(size: int):
-        places = F.sequence(F.lit(1), F.greatest(F.length("_t") - (size - 1), F.lit(1)))
-        return F.transform(places, lambda i: F.substring(F.col("_t"), i, F.lit(size)))
-
-    grams = articles.select(key, text.alias("_t")).withColumn("_g", F.explode(F.array_distinct(
-        F.flatten(F.array(*[pieces(n) for n in range(1, GRAM + 1)])))))
-    return (grams.join(starts, "_g").where(F.contains(F.col("_t"), F.col("pattern")))
-            .select(key, "rule_id", "priority").distinct())
+    wanted = live.select("pattern").distinct().select("pattern", F.explode(_grams(F.col("pattern"))).alias("gram"))
+    wanted = cut(wanted)
+    texts = articles.select(key, F.lower(F.coalesce(F.col(field), F.lit(""))).alias("_t"))
+    short = wanted.where(F.length("gram") < GRAM).limit(1).count() > 0
+    pieces = _grams(F.col("_t"))
+    if short:
+        pieces = F.array_union(pieces, _short_pieces(F.col("_t")))
+    posted = cut(texts.select(key, F.explode(pieces).alias("gram")).join(
+        wanted.select("gram").distinct(), "gram", "left_semi"))
+    uses = posted.groupBy("gram").agg(F.count("*").alias("uses"))
+    complete = wanted.join(uses, "gram", "left").groupBy("pattern").agg(
+        F.min_by("gram", F.struct("uses", "gram")).alias("gram"), F.count("*").alias("n"), F.count("uses").alias("found"))
+    rarest = complete.where("n = found").select("pattern", "gram")      # a piece that no text holds rules its pattern out
+    found = (posted.join(rarest, "gram").join(texts, key)
+             .where(F.contains(F.col("_t"), F.col("pattern"))).select(key, "pattern"))
+    return found.join(live, "pattern").select(key, "rule_id", "priority").distinct()
 
 
 def apply_rules(articles: DataFrame, watch: DataFrame, block: DataFrame, key: str, text: str,

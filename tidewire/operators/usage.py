@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidewire.functions.scoring import cost, split_tokens
 from tidewire.functions.times import trailing_days
 from tidewire.params import FALLBACK_PRICE, PRICES
-from tidewire.runtime import is_small
 
 SUMS = ("prompt_tokens", "completion_tokens", "total_tokens")
 
@@ -22,9 +21,8 @@ def with_price(usage: DataFrame, prices: DataFrame | None = None) -> DataFrame:
 
     Provider is matched in any case, model as written.
     """
-    table = price_table(usage.sparkSession) if prices is None else prices
-    if prices is None or is_small(prices):
-        table = F.broadcast(table)
+    # the fixed table may be broadcast, any other is left to the optimiser
+    table = F.broadcast(price_table(usage.sparkSession)) if prices is None else prices
     exact = table.select(F.col("provider").alias("_p"), F.col("model").alias("_m"),
                          F.col("price_in").alias("_ein"), F.col("price_out").alias("_eout"))
     default = table.where("model = 'default'").select(
@@ -87,3 +85,11 @@ def providers_with_models(usage: DataFrame) -> DataFrame:
 def by_period(usage: DataFrame, unit: str) -> DataFrame:
     """Tokens and cost per day, week or month."""
     return usage.groupBy(F.date_trunc(unit, "created_at").alias("period")).agg(*_measures())
+
+
+def by_periods(usage: DataFrame, units: tuple[str, ...] = ("day", "week", "month")) -> DataFrame:
+    """Several units at once, from one scan: every row of the daily table counts in each unit."""
+    every = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.date_trunc(u, "period").alias("period")) for u in units]))
+    totals = [F.sum(c).alias(c) for c in (*SUMS, "cost", "calls")]
+    return (by_period(usage, "day").select(every.alias("at"), *SUMS, "cost", "calls")
+            .groupBy("at.unit", "at.period").agg(*totals))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import dedup, delivery, facts, ingest, report, responses
+from tidewire.operators.numbering import number_rows
 from tidewire.params import DEFAULTS, Params
 from tidewire.runtime import cut
 
@@ -26,7 +27,7 @@ def daily_run(spark: SparkSession, crawled: DataFrame, answers: DataFrame, recip
     found = responses.response_items(parsed).join(
         ready.select(F.col("seq").alias("article_id"), "published_at", "source_id"), "article_id")
     if merge:
-        ordered = found.withColumn("position", F.col("article_id") * 1_000_000 + F.col("chunk_index") * 10_000 + F.col("at"))
+        ordered = number_rows(found, ["article_id", "chunk_index", "at"], (), "position")
         found = facts.fill_by_majority(facts.merge_facts(ordered))
     good = facts.drop_low_quality(found, params.confidence_threshold, params.stored_fact_min_len)
     items = (good.withColumn("source_weight", F.lit(1.0))

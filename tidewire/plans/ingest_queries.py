@@ -166,7 +166,7 @@ def dedup_full(spark, d):
 # ---- storage ----
 
 @query("article_store", f"""WITH {V.BODIES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS r FROM bodies)
-SELECT seq, source_id, regexp_replace(regexp_replace(title, '^\\s+', ''), '\\s+$', '') AS title, url, published_at, length(content_text) AS content_len, url AS canonical_url,
+SELECT seq, source_id, substr(regexp_replace(regexp_replace(title, '^\\s+', ''), '\\s+$', ''), 1, 500) AS title, url, published_at, length(content_text) AS content_len, url AS canonical_url,
        'raw' AS processing_status FROM n WHERE r = 1 AND url NOT IN (SELECT url FROM bodies WHERE seq % 20 = 0)""")
 def article_store(spark, d):
     items = V.bodies(spark, d)

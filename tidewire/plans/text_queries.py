@@ -42,12 +42,12 @@ def url_normalized(spark, d):
 
 
 @query("url_domain_class", f"""WITH p AS (SELECT page_id, {DOMAIN_SQL} AS domain FROM
-  (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'http://www.finance.qq.com:8080/a' WHEN 1 THEN 'https://www.bbc.co.uk/x' ELSE url END AS url FROM pages))
+  (SELECT page_id, unnest([url, concat('http://www.finance.qq.com:8080/', page_id), concat('https://www.bbc.co.uk/', page_id)]) AS url FROM pages))
 SELECT page_id, domain, CASE WHEN domain LIKE '%finance.qq.com' THEN 'domestic' WHEN domain LIKE '%bbc.co.uk' THEN 'foreign'
        ELSE 'unknown' END AS kind FROM p""")
 def url_domain_class(spark, d):
-    url = F.expr("CASE page_id % 5 WHEN 0 THEN 'http://www.finance.qq.com:8080/a' WHEN 1 THEN 'https://www.bbc.co.uk/x' ELSE url END")
-    pages = V.read(spark, d, "pages").select("page_id", U.domain_of(url).alias("domain"))
+    urls = F.array(F.col("url"), F.concat(F.lit("http://www.finance.qq.com:8080/"), "page_id"), F.concat(F.lit("https://www.bbc.co.uk/"), "page_id"))
+    pages = V.read(spark, d, "pages").select("page_id", F.explode(urls).alias("url")).select("page_id", U.domain_of(F.col("url")).alias("domain"))
     return pages.withColumn("kind", U.domain_class(F.col("domain")))
 
 
@@ -138,12 +138,12 @@ def previews(spark, d):
 @query("lang_tokens", f"""WITH m AS (SELECT doc_id, text, lang, length({strip_sql('text')}) AS shown,
     len(regexp_extract_all(text, '[一-鿿]')) AS cjk, len(regexp_extract_all(text, '[^{WS_SQL}]+')) AS words,
     len(regexp_extract_all(regexp_replace(text, '[一-鿿]', '', 'g'), '[^{WS_SQL}]+')) AS other FROM (
-      SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN concat(substr(text, 1, 40), repeat('金融市场新闻', 10)) ELSE text END AS text FROM documents)),
+      SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN concat(text, repeat('金融市场新闻', 10 + doc_id % 7 * 200)) ELSE text END AS text FROM documents)),
   l AS (SELECT *, CASE WHEN shown = 0 OR cjk / shown > 0.7 THEN 'zh' WHEN cjk / shown < 0.3 THEN 'en' ELSE 'mixed' END AS hint FROM m)
 SELECT doc_id, hint, CAST(CASE hint WHEN 'zh' THEN length(text) WHEN 'en' THEN floor(words * 1.3::DOUBLE)
   ELSE cjk + floor(other * 1.3::DOUBLE) END AS BIGINT) AS tokens FROM l""")
 def lang_tokens(spark, d):
-    text = F.expr("CASE WHEN doc_id % 5 = 0 THEN concat(substr(text, 1, 40), repeat('金融市场新闻', 10)) ELSE text END")
+    text = F.expr("CASE WHEN doc_id % 5 = 0 THEN concat(text, repeat('金融市场新闻', 10 + doc_id % 7 * 200)) ELSE text END")
     docs = V.read(spark, d, "documents").select("doc_id", text.alias("t")).withColumn("hint", T.detect_language(F.col("t")))
     return docs.select("doc_id", "hint", T.estimate_tokens(F.col("t"), F.col("hint")).alias("tokens"))
 
@@ -159,10 +159,10 @@ NORM_FACT_SQL = f"""regexp_replace(replace(translate(regexp_replace(translate({s
    '([1-9])\\s+1(0)|(0)\\s+10', '\\1\\2\\3', 'g')"""
 
 
-@query("fact_normalized", f"""WITH f AS (SELECT doc_id, concat(substr(text, 1, 80), '，三 十（二〇 ', doc_id % 10, '）！') AS x FROM documents)
+@query("fact_normalized", f"""WITH f AS (SELECT doc_id, concat(text, '，三 十（二〇 ', doc_id % 10, '）！') AS x FROM documents)
 SELECT doc_id, md5(regexp_replace(regexp_replace({NORM_FACT_SQL}, '(\\d)\\s+(\\d)', '\\1\\2', 'g'), '(\\d)\\s+(\\d)', '\\1\\2', 'g')) AS norm_md5 FROM f""")
 def fact_normalized(spark, d):
-    fact = F.concat(F.substring("text", 1, 80), F.lit("，三 十（二〇 "), F.col("doc_id") % 10, F.lit("）！"))
+    fact = F.concat("text", F.lit("，三 十（二〇 "), F.col("doc_id") % 10, F.lit("）！"))
     return V.read(spark, d, "documents").select("doc_id", F.md5(T.normalize_fact(fact)).alias("norm_md5"))
 
 
@@ -317,6 +317,15 @@ def chunk_rows(spark, d):
     return C.chunk_rows(planned, ["seq"]).select("seq", "chunk_index", F.length("chunk").alias("chars"), F.md5("chunk").alias("chunk_md5"))
 
 
+@query("deferred_chunks", f"""WITH {PLAN_SQL}
+SELECT * FROM (SELECT doc_id AS seq, generate_subscripts(chunks, 1) - 1 AS chunk_index, md5(unnest(chunks)) AS chunk_md5 FROM p)
+WHERE chunk_index >= 3""")
+def deferred_chunks(spark, d):
+    """The chunks that a degraded plan puts off; with those of the plan they are the whole text."""
+    rows = C.deferred_rows(C.plan_chunks(V.bodies(spark, d), params=SMALL), ["seq"])
+    return rows.select("seq", "chunk_index", F.md5("chunk").alias("chunk_md5"))
+
+
 @query("chunk_pack", f"""WITH {PACK_SQL.replace("@target", "120")}
 SELECT doc_id, generate_subscripts(chunks, 1) - 1 AS chunk_index, md5(unnest(chunks)) AS chunk_md5 FROM c""")
 def chunk_pack(spark, d):
@@ -327,18 +336,18 @@ def chunk_pack(spark, d):
 
 # ---- model responses ----
 
-@query("response_parse", f"""WITH {V.RESPONSES_SQL}
+@query("response_parse", f"""WITH {V.ANSWERED_SQL}
 SELECT doc_id, CASE WHEN good THEN 'success' ELSE 'failed' END AS status,
-       CASE WHEN good THEN least(3, (length(body) + 39) // 40) ELSE 0 END AS item_count,
+       (SELECT count(*) FROM answered n WHERE n.doc_id = answers.doc_id) AS item_count,
        CASE WHEN good THEN concat('k', doc_id, ',', lang) ELSE '' END AS keywords FROM answers""")
 def response_parse(spark, d):
     parsed = M.parse_responses(V.responses(spark, d))
     return parsed.select("doc_id", "status", F.size("items").alias("item_count"), F.array_join("keywords", ",").alias("keywords"))
 
 
-@query("response_items", f"""WITH {V.RESPONSES_SQL}, i AS (SELECT *, unnest([0, 1, 2]) AS i FROM answers WHERE good)
-SELECT article_id, chunk_index, i AS at, md5(substr(body, i * 40 + 1, 40)) AS fact_md5, '金融科技' AS layer,
-       round((doc_id + i) % 10 / 10::DOUBLE, 6) AS confidence FROM i WHERE length(body) > i * 40""")
+@query("response_items", f"""WITH {V.ANSWERED_SQL}
+SELECT article_id, chunk_index, i AS at, md5(fact) AS fact_md5, '金融科技' AS layer,
+       round((doc_id + i) % 10 / 10::DOUBLE, 6) AS confidence FROM answered""")
 def response_items(spark, d):
     return M.response_items(M.parse_responses(V.responses(spark, d))).select(
         "article_id", "chunk_index", "at", F.md5("fact").alias("fact_md5"), "layer", F.round("confidence", 6).alias("confidence"))
@@ -351,8 +360,8 @@ def response_keywords(spark, d):
         "article_id", F.array_join("keywords", ",").alias("keywords"))
 
 
-@query("items_stored", f"""WITH {V.RESPONSES_SQL}, i AS (SELECT *, unnest([0, 1, 2]) AS i FROM answers WHERE good),
-  f AS (SELECT article_id, substr(body, i * 40 + 1, 40) AS fact, (doc_id + i) % 10 / 10::DOUBLE AS confidence FROM i WHERE length(body) > i * 40)
+@query("items_stored", f"""WITH {V.ANSWERED_SQL},
+  f AS (SELECT article_id, fact, (doc_id + i) % 10 / 10::DOUBLE AS confidence FROM answered)
 SELECT article_id, '国内' AS region, '金融科技应用' AS layer, md5(fact) AS fact_md5, round(confidence, 6) AS confidence
 FROM f WHERE confidence >= 0.6 AND length(fact) >= 30""")
 def items_stored(spark, d):

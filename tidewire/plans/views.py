@@ -107,14 +107,14 @@ SCORED_SQL = f"""{ARTICLES_SQL}, {ITEMS_SQL}, {SOURCES_SQL}, scored AS (
 def bodies(spark, d):
     return read(spark, d, "documents").select(
         F.col("doc_id").alias("seq"), F.concat(F.lit("https://news.example.com/"), F.expr("doc_id DIV 2")).alias("url"),
-        F.substring("text", 1, 60).alias("title"), F.col("text").alias("content_text"),
+        F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content_text"),
         F.lit(None).cast("string").alias("canonical_url"),
         F.regexp_extract("source", r"(\d+)", 1).cast("bigint").alias("source_id"), F.col("source").alias("source_name"),
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(doc_id % 30, doc_id % 24)").alias("published_at"))
 
 
 BODIES_SQL = """bodies AS (
-  SELECT doc_id AS seq, concat('https://news.example.com/', doc_id // 2) AS url, substr(text, 1, 60) AS title,
+  SELECT doc_id AS seq, concat('https://news.example.com/', doc_id // 2) AS url, split_part(text, chr(10), 1) AS title,
          text AS content_text, CAST(NULL AS VARCHAR) AS canonical_url,
          CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS source_id, source AS source_name,
          TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 30 AS INTEGER))
@@ -132,7 +132,7 @@ def facts(spark, d):
     layers = F.array(*[F.lit(x) for x in LAYERS])
     return (unfold(read(spark, d, "documents"), ["doc_id"], split_semantic(F.col("text")), "at", "fact")
             .select(F.expr("doc_id DIV 5").alias("article_id"), (F.col("doc_id") % 5).alias("chunk_index"),
-                    (F.col("doc_id") * 100000 + F.col("at")).alias("position"), "fact",
+                    (F.shiftleft(F.col("doc_id"), 31) + F.col("at")).alias("position"), "fact",
                     F.expr("((doc_id * 7 + at * 13) % 50 + 50) / 100.0D").alias("confidence"),
                     F.element_at(regions, ((F.col("doc_id") + F.col("at")) % 4 + 1).cast("int")).alias("region"),
                     F.element_at(layers, ((F.col("doc_id") * 3 + F.col("at")) % 5 + 1).cast("int")).alias("layer")))
@@ -146,7 +146,7 @@ SENTENCES_SQL = r"""sentences AS (
     FROM documents))"""
 
 FACTS_SQL = f"""{SENTENCES_SQL}, facts AS (
-  SELECT doc_id // 5 AS article_id, doc_id % 5 AS chunk_index, doc_id * 100000 + idx AS position, fact,
+  SELECT doc_id // 5 AS article_id, doc_id % 5 AS chunk_index, doc_id * 2147483648 + idx AS position, fact,
          ((doc_id * 7 + idx * 13) % 50 + 50) / 100.0::DOUBLE AS confidence,
          ['国内', '国外', '未知', '国内'][CAST((doc_id + idx) % 4 AS INTEGER) + 1] AS region,
          ['金融政策监管', '金融经济', '金融大模型技术', '金融科技应用', '未知'][CAST((doc_id * 3 + idx) % 5 AS INTEGER) + 1] AS layer
@@ -160,14 +160,14 @@ def keyword_articles(spark, d):
     return read(spark, d, "documents").select(
         F.col("doc_id").alias("article_id"),
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(doc_id % 30, doc_id % 24)").alias("published_at"),
-        F.when(F.col("doc_id") % 9 != 0, F.slice(words, 1, 20)).alias("keywords"))
+        F.when(F.col("doc_id") % 9 != 0, words).alias("keywords"))
 
 
 KEYWORDS_SQL = """keyword_articles AS (
   SELECT doc_id AS article_id, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 30 AS INTEGER))
            + to_hours(CAST(doc_id % 24 AS INTEGER)) AS published_at,
          CASE WHEN doc_id % 9 <> 0 THEN list_transform(list_filter(list_transform(w,
-             lambda x, i: {'x': x, 'i': i}), lambda t: list_position(w, t.x) = t.i), lambda t: t.x)[1:20] END AS keywords
+             lambda x, i: {'x': x, 'i': i}), lambda t: list_position(w, t.x) = t.i), lambda t: t.x) END AS keywords
   FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-öø-ÿ]{4,}', 0) AS w FROM documents))"""
 
 
@@ -297,9 +297,12 @@ def fetches(spark, d):
 # ---- model responses: documents written as JSON answers ----
 
 def responses(spark, d):
+    """One item per sentence of the text."""
+    from tidewire.functions.text import split_semantic
+
     body = F.translate("text", "“”‘’`﻿\u0000", "")
-    part = F.transform(F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.length(body) > i * 40), lambda i: F.struct(
-        F.substring(body, i * 40 + 1, F.lit(40)).alias("fact"), F.lit("").alias("opinion"), F.lit("国内").alias("region"),
+    part = F.transform(split_semantic(body), lambda s, i: F.struct(
+        s.alias("fact"), F.lit("").alias("opinion"), F.lit("国内").alias("region"),
         F.lit("金融科技").alias("layer"), F.lit("").alias("evidence_span"),
         ((F.col("doc_id") + i) % 10 / 10).alias("confidence"), F.lit(1.0).alias("finance_relevance")))
     answer = F.to_json(F.struct(part.alias("items"), F.array(F.concat(F.lit("k"), F.col("doc_id")), F.col("lang")).alias("keywords")))
@@ -321,6 +324,10 @@ RESPONSES_SQL = """answers AS (
          n_chars AS prompt_tokens, doc_id % 100 AS completion_tokens
   FROM documents)"""
 
+ANSWERED_SQL = RESPONSES_SQL + ", " + SENTENCES_SQL.replace("sentences AS", "said AS").replace(
+    "FROM documents", "FROM (SELECT doc_id, body AS text FROM answers)") + """, answered AS (
+  SELECT a.*, s.idx AS i, s.fact FROM answers a JOIN said s USING (doc_id) WHERE good)"""
+
 
 # ---- source registry, settings and logs derived from suppliers, customers, events ----
 

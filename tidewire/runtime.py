@@ -9,9 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows a side may have before it may be broadcast or turned into a literal.
-SMALL_ROWS = 20_000
-
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables: the session's spark.checkpoint.dir.
@@ -61,8 +58,3 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     size into one task. A grouping on the same keys needs no further shuffle.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
-def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """True when `df` has at most `rows` rows; reads at most `rows` + 1 of them."""
-    return df.limit(rows + 1).count() <= rows

@@ -32,10 +32,13 @@ def _page_reader(dynamic: bool):
     def read(markup: pd.Series, selectors: pd.Series) -> pd.DataFrame:
         rows = []
         for page, extra in zip(markup, selectors):
-            root = H.parse(page or "")
-            text, method = H.main_text(root)
-            rows.append((H.title(root, dynamic), text, method, H.canonical(root),
-                         H.date_candidates(root, dynamic, () if extra is None else list(extra))))
+            try:
+                root = H.parse(page or "")
+                text, method = H.main_text(root)
+                rows.append((H.title(root, dynamic), text, method, H.canonical(root),
+                             H.date_candidates(root, dynamic, () if extra is None else list(extra))))
+            except Exception as fault:      # one bad page is a row with a reason, not the end of the job
+                rows.append((None, "", f"unreadable: {type(fault).__name__}", None, []))
         return pd.DataFrame(rows, columns=["title", "text", "method", "canonical", "dates"])
     return read
 
@@ -45,7 +48,10 @@ def _links(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
     for markup, selectors in batches:
         out = []
         for page, listed in zip(markup, selectors):
-            found = H.select_links(H.parse(page or ""), list(listed))
+            try:
+                found = H.select_links(H.parse(page or ""), list(listed))
+            except Exception:               # the page has no links that can be read
+                found = []
             out.append([{"selector": n, "href": h} for n, h in found])
         yield pd.Series(out)
 
