@@ -77,9 +77,14 @@ def _hex(number: Column, digits: int) -> Column:
     return F.lpad(F.lower(F.hex(number)), digits, "0")
 
 
-def in_band(all_terms: Column, known: Column) -> Column:
-    """The terms that the lexicon holds, sorted."""
-    return F.array_sort(F.filter(all_terms, lambda t: F.array_contains(F.get(known, _slot(t)), t)))
+def in_band(lists: Column, known: Column) -> Column:
+    """Of each list of terms those that the lexicon holds, sorted.
+
+    `known` stands here once, so that the optimiser moves the subquery into the expression
+    and no row carries the lexicon.
+    """
+    return F.transform(lists, lambda terms: F.array_sort(F.filter(
+        terms, lambda t: F.array_contains(F.get(known, _slot(t)), t))))
 
 
 def slots(kept: Column) -> Column:
@@ -163,11 +168,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                       F.substring("next_text", F.lit(1), half))
     made = (rows.withColumn("edited", F.when(F.col("guest") == 0, edited))
             .select("range", "guest", "doc_id", F.char_length("text").cast("bigint").alias("n_chars"),
-                    F.sha2("edited", 256).alias("edited_sha256"), known.alias("known"), "text",
+                    F.sha2("edited", 256).alias("edited_sha256"), "text",
                     terms(F.col("text")).alias("terms"), terms(F.col("edited")).alias("edited_terms"))
+            .withColumn("known", known)
+            .withColumn("both", in_band(F.array("terms", "edited_terms"), F.col("known")))
             .select("range", "guest", "doc_id", "n_chars", "edited_sha256", "text", "terms", "edited_terms",
-                    in_band(F.col("terms"), F.col("known")).alias("kept"),
-                    in_band(F.col("edited_terms"), F.col("known")).alias("edited_kept")))
+                    F.get("both", F.lit(0)).alias("kept"), F.get("both", F.lit(1)).alias("edited_kept")))
 
     def whole(kept: str, all_terms: str) -> Column:
         return _hex(F.xxhash64(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.array_sort(all_terms))), 16)
