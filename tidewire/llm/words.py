@@ -2,11 +2,12 @@
 
 A byte-pair tokenizer with a regex pre-tokenizer encodes every pre-token on its
 own, and both public vocabularies start a new pre-token after white space, so
-ids(text) is the concatenation of ids(chunk) over the white-space chunks. Chunks
-repeat far more often than texts do; a task asks the library once for each chunk
-that it has not met yet. A chunk counts only when all its characters are plain
-Latin, where cutting before it is certain not to change the library's result.
-A text with any other chunk, or with odd white space, goes to the library whole.
+ids(text) is the concatenation of ids(chunk) over the white-space chunks, and
+ids(chunk) that of its pre-tokens. Both repeat far more often than texts do; a task
+asks the library's model once for each pre-token that it has not met yet. A chunk
+counts only when all its characters are plain Latin, where the cuts and the lower case
+are certain to be the library's. A text with any other chunk, or with odd white space,
+goes to the library whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,17 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ſ]+")
 _EDGE = "\t\n\r\xa0"
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 
-MEMO_WORDS = 300_000     # chunks a task remembers; later ones are asked for again, once per batch
+# The pre-tokenizer patterns of the two public vocabularies, for plain Latin characters.
+_LETTERS, _NUMBERS, _SPACE = "a-zA-ZªµºÀ-ÖØ-öø-įı-ſ", "0-9²³¹¼-¾", "\t\n\r \xa0"
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_LOWER = re.compile(f"{_CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
+_SPACED = re.compile(f"{_CONTRACTIONS}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACE}{_LETTERS}{_NUMBERS}]+"
+                     f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+# Byte-level vocabularies write a byte as itself if it is printable, else as the next character from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+MEMO_WORDS = 400_000     # chunks a task remembers; later ones are asked for again, once per batch
 FIRST = "\x00"           # marks a chunk that no space precedes
 
 
@@ -55,19 +66,15 @@ class ChunkMemo:
 
     def values(self, chunks: list[str]) -> list | None:
         known = self.known
-        try:
-            out = [known[c] for c in chunks]
-        except KeyError:
-            fresh = [c for c in dict.fromkeys(chunks) if c not in known]
-            good = [c for c in fresh if self.ok(c)]
-            if len(good) < len(fresh):
+        out = list(map(known.get, chunks))
+        if None in out:
+            fresh = list({c: None for c, v in zip(chunks, out) if v is None})
+            if not all(map(self.ok, fresh)):
                 return None
-            made = dict(zip(good, self.make(good)))
+            made = dict(zip(fresh, self.make(fresh)))
             if len(known) < MEMO_WORDS:
                 known.update(made)
-                out = [known[c] for c in chunks]
-            else:
-                out = [known[c] if c in known else made[c] for c in chunks]
+            out = [made[c] if v is None else v for c, v in zip(chunks, out)]
         return out
 
 
@@ -82,15 +89,22 @@ class WordTokenizer:
         self.library.no_padding()
         self.chunks = lower_chunks if lower else spaced_chunks
         self.memo = ChunkMemo(self._fresh, plain_lower_chunk if lower else plain_spaced_chunk)
-        self.lower = lower
+        self.lower, self.pattern, self.model = lower, _LOWER if lower else _SPACED, self.library.model
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))
+        ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        if len(self.pieces) < MEMO_WORDS:
+            self.pieces[piece] = ids
+        return ids
 
     def _fresh(self, chunks: list[str]) -> list[bytes]:
-        words = chunks if self.lower else [c[1:] if c[0] == FIRST else " " + c for c in chunks]
-        whole = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(whole.ids, dtype="<u4"), np.array(whole.word_ids, dtype=np.int64)
-        ends = np.searchsorted(of, np.arange(len(words)), side="right").tolist()
-        raw = ids.tobytes()
-        return [raw[4 * a:4 * b] for a, b in zip([0, *ends], ends)]
+        known, ask, split, out = self.pieces, self._piece, self.pattern.findall, []
+        for chunk in chunks:
+            word = chunk.lower() if self.lower else chunk[1:] if chunk[0] == FIRST else " " + chunk
+            out.append(b"".join([known[p] if p in known else ask(p) for p in split(word)]))
+        return out
 
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         out = []
