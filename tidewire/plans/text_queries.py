@@ -248,7 +248,14 @@ def page_article_dynamic(spark, d):
     return edge(rows.select("page_id", "title", "published_at", F.length("content_text").alias("chars")))
 
 
-@query("page_links")
+@query("page_links", rf"""WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin,
+    unnest(h) AS href, generate_subscripts(h, 1) AS pos FROM (SELECT page_id, url,
+      list_prepend('/news/top', regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1)) AS h FROM pages)),
+  u AS (SELECT page_id, pos, {normal_sql("concat(origin, trim(href))")} AS link FROM a WHERE trim(href) LIKE '/%'),
+  v AS (SELECT page_id, link, min(pos) AS pos FROM u WHERE NOT regexp_matches(lower(link), {EXCLUDED_SQL.replace(chr(92)*2, chr(92))})
+        AND regexp_matches(lower(link), '/news|/blog|/press|/story|/article') GROUP BY ALL)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS at, link FROM v
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 50""")
 def page_links(spark, d):
     linked = V.read(spark, d, "pages").withColumn("html", F.concat(F.lit("<div class='post-list'><h2><a href='/news/top'>t</a></h2>"), "html", F.lit("</div>")))
     return G.page_links(linked)
