@@ -11,10 +11,11 @@
    full sets, and confirmed links join classes into components.
 3. Buckets that still hold several components are searched again: every pair across
    components is estimated, in blocks of bounded size, and confirmed if it may link.
-   Pairs inside one component cannot change the result.
+   Pairs inside one component cannot change the result. Here the estimate is a finer one,
+   from the low bit of 4096 minima, so few pairs that do not link need their texts.
 
-At the threshold of 0.75 a pair misses all 32 bands with probability 5e-6 and fails the
-estimate's margin of 0.25 (over five standard deviations) about as rarely.
+At the threshold of 0.75 a pair misses all 32 bands with probability 5e-6; the margins
+below it are over five standard deviations of either estimate.
 
 Null and empty texts have no shingles and are linked with nothing; so are rows without
 a doc_id. Repeated rows are classed together and each returned. Ties cannot occur: the
@@ -38,6 +39,7 @@ WORDS = 5
 PERCENT = 75             # least similarity, in hundredths
 BANDS, ROWS = 32, 4
 MARGIN = 0.25            # an estimate may lie so far below the threshold
+FINE_BITS, FINE_MARGIN = 4096, 0.055
 BLOCK = 1024             # representatives of a bucket compared at a time
 SLICE_BYTES = 1 << 22
 
@@ -46,6 +48,8 @@ _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _A = _rng.integers(0, 1 << 32, _HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, _HASHES, dtype=np.uint32)
+_FINE_A = _rng.integers(0, 1 << 32, FINE_BITS, dtype=np.uint32) | np.uint32(1)
+_FINE_B = _rng.integers(0, 1 << 32, FINE_BITS, dtype=np.uint32)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -119,15 +123,15 @@ def _shingle_slice(raws: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
+def minima(sets: list[np.ndarray], a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
     """(sets, hashes) smallest values; every set must have a member."""
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(sets), _HASHES), dtype=np.uint32)
+    out = np.empty((len(sets), len(a)), dtype=np.uint32)
     value = np.empty_like(x)
-    for k in range(_HASHES):
-        np.multiply(x, _A[k], out=value)
-        value += _B[k]
+    for k in range(len(a)):
+        np.multiply(x, a[k], out=value)
+        value += b[k]
         out[:, k] = np.minimum.reduceat(value, starts)
     return out
 
@@ -148,6 +152,29 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits << (2 * np.arange(32, dtype=np.uint64)), axis=2).view(np.int64)
 
 
+def _portions(sets: list[np.ndarray], most: int):
+    """Runs (start, end) of sets that hold about `most` members at the most."""
+    at = 0
+    while at < len(sets):
+        to, size = at, 0
+        while to < len(sets) and (to == at or size + len(sets[to]) <= most):
+            size += len(sets[to])
+            to += 1
+        yield at, to
+        at = to
+
+
+def fine(texts: DataFrame) -> DataFrame:
+    """doc_id, fine: the low bits of many minima, packed; for texts with words."""
+    def run(doc_id, text):
+        sets, out = shingle_sets(text), []
+        for at, to in _portions(sets, 1 << 16):
+            bits = (minima(sets[at:to], _FINE_A, _FINE_B) & np.uint32(1)).astype(np.uint8)
+            out += [row.tobytes() for row in np.packbits(bits, axis=1)]
+        return {"doc_id": doc_id, "fine": out}
+    return map_rows(texts, ["doc_id", "text"], run, "doc_id bigint, fine binary")
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key, bands, s0..s3; sketches are null for empty sets."""
     def run(doc_id, text):
@@ -156,19 +183,13 @@ def sketched(docs: DataFrame) -> DataFrame:
         out = {"doc_id": doc_id, "n_shingles": [len(s) for s in sets],
                "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                "bands": [None] * len(sets), **{f"s{k}": [None] * len(sets) for k in range(4)}}
-        at = 0
-        while at < len(full):       # a bounded number of shingles at a time
-            to, size = at, 0
-            while to < len(full) and (to == at or size + len(sets[full[to]]) <= SLICE_BYTES // 8):
-                size += len(sets[full[to]])
-                to += 1
+        for at, to in _portions([sets[i] for i in full], SLICE_BYTES // 8):
             low = minima([sets[i] for i in full[at:to]])
             keys, signature = band_keys(low).tolist(), packed(low).tolist()
             for i, k, s in zip(full[at:to], keys, signature):
                 out["bands"][i] = k
                 for n in range(4):
                     out[f"s{n}"][i] = s[n]
-            at = to
         return out
     return map_rows(docs.select(*documents_like()), ["doc_id", "text"], run,
                     "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>,"
@@ -241,30 +262,33 @@ def components(links: DataFrame) -> DataFrame:
 def _across(members: DataFrame) -> DataFrame:
     """Pairs (a, b) across components of a bucket whose estimate may reach the threshold.
 
-    members: key, doc_id, component, s0..s3, size (of the bucket). Buckets are cut into
-    blocks; every pair of blocks is one group of bounded size, compared in numpy.
+    members: key, doc_id, component, fine, bands, size (of the bucket). Buckets are cut
+    into blocks; every pair of blocks is one group of bounded size, compared in numpy. A
+    pair that shares several buckets is given out in the first of them.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     spread = members.withColumn("block", own).select(
         "*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "doc_id", "component", "s0", "s1", "s2", "s3")
+        "block", "doc_id", "component", "fine", "bands")
 
     def compare(rows: dict[str, np.ndarray], i: int, j: int):
         left, right = np.flatnonzero(rows["block"] == i), np.flatnonzero(rows["block"] == j)
-        signature = np.stack([rows[f"s{k}"].view(np.uint64) for k in range(4)], axis=1)
+        signature = np.frombuffer(b"".join(rows["fine"]), dtype=np.uint64).reshape(len(rows["fine"]), -1)
+        bands = np.stack(rows["bands"])
         for start in range(0, len(left), 64):
             part = left[start:start + 64]
-            x = signature[part][:, None] ^ signature[right][None]
-            differing = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_FIVES)).sum(axis=2)
-            good = (1 - differing / _HASHES - 0.25) / 0.75 >= _least_estimate()
+            differing = np.bitwise_count(signature[part][:, None] ^ signature[right][None]).sum(axis=2)
+            good = 1 - 2 * differing / FINE_BITS >= PERCENT / 100 - FINE_MARGIN
             good &= rows["component"][part][:, None] != rows["component"][right][None]
             good &= (rows["doc_id"][part][:, None] > rows["doc_id"][right][None]) | (i != j)
-            p, q = np.nonzero(good)
-            yield rows["doc_id"][part[p]], rows["doc_id"][right[q]]
+            p, q = (index[side] for index, side in zip((part, right), np.nonzero(good)))
+            shared = bands[p] == bands[q]
+            first = bands[p, shared.argmax(axis=1)] == rows["key"][0] if len(p) else np.zeros(0, dtype=bool)
+            yield rows["doc_id"][p[first]], rows["doc_id"][q[first]]
 
-    names = ["key", "i", "j", "block", "doc_id", "component", "s0", "s1", "s2", "s3"]
+    names = ["key", "i", "j", "block", "doc_id", "component", "fine", "bands"]
 
     def run(batches):
         def emit(held):
@@ -286,7 +310,7 @@ def _across(members: DataFrame) -> DataFrame:
             yield from emit(held)
 
     return (spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(run, "a bigint, b bigint").distinct())
+            .mapInArrow(run, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -316,7 +340,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "key", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
         "low <> high").select("key")
-    open_members = labelled.join(mixed, "key").join(signatures, "doc_id")
+    open_members = cut(labelled.join(mixed, "key"))
+    finer = cut(fine(texts.join(open_members.select("doc_id").distinct(), "doc_id", "left_semi")))
+    open_members = open_members.join(finer, "doc_id").join(reps.select("doc_id", "bands"), "doc_id")
     more = cut(_confirmed(cut(_across(open_members)), texts))
     if not more.isEmpty():
         joined = components(links.union(more))
