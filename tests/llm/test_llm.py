@@ -264,6 +264,18 @@ def test_line_threshold_is_exact(spark):
     assert {r["text"].split("\n")[-1] for r in lines.cleaned(docs).collect() if r["doc_id"] < 4} == {"line on four"}
 
 
+def left(spark, texts, sources):
+    return [r["text"] for r in lines.cleaned(documents(spark, texts, sources=sources)).orderBy("doc_id").collect()]
+
+
+def test_long_shared_line_hides_no_other(spark):
+    notice, notes, menu = "a long legal notice " * 5, "another long passage " * 4, "home news contact"
+    texts = [f"short {i}\n{notice}\n{menu}\nlast {i}" for i in range(12)]
+    texts += [f"brief {i}\n{notice}\n{notes}" for i in range(12)]
+    assert left(spark, texts, [f"site{i}" for i in range(12)]) == [f"short {i}\nlast {i}" for i in range(12)] + [
+        f"brief {i}" for i in range(12)]
+
+
 def test_fingerprints(spark, none):
     rng = random.Random(9)
     texts = [t for t in ODD if t is not None] + [None] + [prose(rng, rng.randint(5, 300)) for _ in range(60)]

@@ -1,15 +1,14 @@
 """Removal of lines that stand on many sites.
 
 A line (trimmed, not blank) is boilerplate when it occurs on at least `min_sites`
-distinct sites and its texts are otherwise unrelated: the distinct contexts (the longest
-other line of the text) number at least `min_sites`, and half of its distinct texts. The
-second test leaves copies and near copies of one article alone; they are the business of
-document deduplication. Lines are carried as 64-bit hashes.
+distinct sites and in as many distinct texts. The second test leaves exact copies of one
+article alone; they are the business of document deduplication. What else stands in the
+texts of a line plays no part. Lines are carried as 64-bit hashes.
 
-HyperLogLog sketches of sites, contexts and texts per line are built on the map side and
-merged by aggregation, so a line that a third of all rows hold costs a sketch per task.
-Where an estimate lies near its threshold, exact distinct counts decide. Lines that occur
-fewer than `min_sites` times are left out before any sketch is made.
+HyperLogLog sketches of sites and texts per line are built on the map side and merged by
+aggregation, so a line that a third of all rows hold costs a sketch per task. Where an
+estimate lies near its threshold, exact distinct counts decide. Lines that occur fewer
+than `min_sites` times are left out before any sketch is made.
 
 Documents keep their other lines in order. A document that had text and has none left is
 dropped. Null and empty texts stay as they are; a null site is no site. Repeated rows
@@ -41,18 +40,12 @@ def _row_key() -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """row, text, line, site, context of every line that is not blank."""
+    """row, text, site, line of every line that is not blank."""
     lines = F.filter(_lines(F.col("text")), lambda x: F.trim(x) != "")
-    by_length = F.reverse(F.array_sort(F.transform(
-        F.array_distinct(F.transform(lines, lambda x: F.trim(x))), lambda x: F.struct(F.char_length(x).alias("n"), x.alias("line")))))
     listed = docs.where(F.col("text").isNotNull()).select(
         _row_key().alias("row"), F.xxhash64("text").alias("text"), F.col("source").alias("site"),
-        F.transform(lines, _key).alias("lines"),
-        F.transform(F.slice(by_length, 1, 2), lambda s: F.xxhash64(s["line"])).alias("longest"))
-    each = listed.select("row", "text", "site", "longest", F.explode("lines").alias("line"))
-    other = F.when(F.get("longest", F.lit(0)) == F.col("line"), F.get("longest", F.lit(1))).otherwise(
-        F.get("longest", F.lit(0)))
-    return each.select("row", "text", "site", "line", F.coalesce(other, F.lit(0).cast("bigint")).alias("context"))
+        F.transform(lines, _key).alias("lines"))
+    return listed.select("row", "text", "site", F.explode("lines").alias("line"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -60,18 +53,14 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     found = occurrences(docs)
     often = cut(found.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line"))
     seen = found.join(often, "line")
-    estimate = F.hll_sketch_estimate
     guessed = cut(seen.groupBy("line").agg(
-        *[estimate(F.hll_sketch_agg(c)).alias(c) for c in ("site", "context", "text")]))
-    ratio = 2 * F.col("context") / F.col("text")
-    fewest = F.least("site", "context") / min_sites
-    sure_sites, sure_spread = fewest >= 1 + NEAR, ratio >= 1 + NEAR
-    hopeless = (fewest < 1 - NEAR) | (ratio < 1 - NEAR)
-    yes = guessed.where(sure_sites & sure_spread).select("line")
-    unsure = guessed.where(~(sure_sites & sure_spread) & ~hopeless).select("line")
-    exact = (found.join(unsure, "line").select("line", "site", "context", "text").distinct()
-             .groupBy("line").agg(*[F.count_distinct(c).alias(c) for c in ("site", "context", "text")])
-             .where((F.least("site", "context") >= min_sites) & (2 * F.col("context") >= F.col("text"))).select("line"))
+        *[F.hll_sketch_estimate(F.hll_sketch_agg(c)).alias(c) for c in ("site", "text")]))
+    fewest = F.least("site", "text") / min_sites
+    yes = guessed.where(fewest >= 1 + NEAR).select("line")
+    unsure = guessed.where((fewest >= 1 - NEAR) & (fewest < 1 + NEAR)).select("line")
+    exact = (found.join(unsure, "line").select("line", "site", "text").distinct()
+             .groupBy("line").agg(*[F.count_distinct(c).alias(c) for c in ("site", "text")])
+             .where(F.least("site", "text") >= min_sites).select("line"))
     return yes.union(exact)
 
 
