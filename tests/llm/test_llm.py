@@ -276,6 +276,13 @@ def test_long_shared_line_hides_no_other(spark):
         f"brief {i}" for i in range(12)]
 
 
+def test_near_copies_veto_no_line(spark):
+    rng, footer = random.Random(22), "footer of all sites"
+    texts = [f"{prose(rng, 30)}\n{footer}" for _ in range(20)]
+    copies = [f"{'the one long line of the article ' * 9}\nvisitor {i}\n{footer}" for i in range(100)]
+    assert all(footer not in t for t in left(spark, texts + copies, [f"site{i}" for i in range(20)]))
+
+
 def test_fingerprints(spark, none):
     rng = random.Random(9)
     texts = [t for t in ODD if t is not None] + [None] + [prose(rng, rng.randint(5, 300)) for _ in range(60)]
