@@ -229,6 +229,21 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
 
 
+def test_links_of_short_texts_pass_the_second_stage(spark):
+    """Texts of 7 to 28 words at a similarity of exactly 0.75, neither of them the pivot of their bucket."""
+    rng, rows = random.Random(21), []
+    for i in range(600):
+        m = i % 6 + 1
+        text = [f"{rng.choice(WORDS)}{rng.randint(0, 10**9)}" for _ in range(4 * m + 4)]
+        rows += [(2 * i, " ".join(text[:3 * m + 4])), (2 * i + 1, " ".join(text))]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = F.expr("doc_id div 2").alias("key")
+    members = minhash.fine(texts).select(
+        key, "doc_id", F.col("doc_id").alias("component"), "fine", F.array(key).alias("bands"), F.lit(3).alias("size"))
+    got = {(r["a"], r["b"]) for r in minhash._across(members).collect()}
+    assert {(2 * i + 1, 2 * i) for i in range(600)} <= got
+
+
 def test_signature_estimate():
     rng = np.random.default_rng(7)
     pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)

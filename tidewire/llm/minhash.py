@@ -1,7 +1,7 @@
 """Near-duplicate groups by b-bit MinHash, band candidates and full-set confirmation.
 
 1. Every text becomes the set of its five-word shingles (64-bit hashes). 128 minima
-   give 32 band keys of four minima each; the low two bits of each minimum are packed
+   give 32 band keys of four minima each; two bits of each mixed minimum are packed
    into four longs. Equal sets are one class with its smallest doc_id as representative,
    so copies never meet in a pair.
 2. Representatives that share a band key are candidates. In each bucket all are paired
@@ -12,7 +12,10 @@
 3. Buckets that still hold several components are searched again: every pair across
    components is estimated, in blocks of bounded size, and confirmed if it may link.
    Pairs inside one component cannot change the result. Here the estimate is a finer one,
-   from the low bit of 4096 minima, so few pairs that do not link need their texts.
+   from a bit of 4096 mixed minima, so few pairs that do not link need their texts.
+
+The kept bits are those of a mixed value, seeded per hash: the low bits of a * x + b depend
+on the low bits of x alone, so those of different minima would agree in all hashes at once.
 
 At the threshold of 0.75 a pair misses all 32 bands with probability 5e-6; the margins
 below it are over five standard deviations of either estimate.
@@ -50,6 +53,7 @@ _A = _rng.integers(0, 1 << 32, _HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, _HASHES, dtype=np.uint32)
 _FINE_A = _rng.integers(0, 1 << 32, FINE_BITS, dtype=np.uint32) | np.uint32(1)
 _FINE_B = _rng.integers(0, 1 << 32, FINE_BITS, dtype=np.uint32)
+_SEED, _FINE_SEED = (_rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (_HASHES, FINE_BITS))
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -146,9 +150,19 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _bits(low: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
+    """The highest `n` bits of the minima, mixed with a seed per hash."""
+    x = low ^ seed
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x >>= np.uint32(32 - n)
+    return x
+
+
 def packed(low: np.ndarray) -> np.ndarray:
-    """(sets, 4) longs with the low two bits of all minima."""
-    bits = (low & np.uint32(3)).astype(np.uint64).reshape(len(low), 4, 32)
+    """(sets, 4) longs with two bits of all minima."""
+    bits = _bits(low, _SEED, 2).astype(np.uint64).reshape(len(low), 4, 32)
     return np.bitwise_or.reduce(bits << (2 * np.arange(32, dtype=np.uint64)), axis=2).view(np.int64)
 
 
@@ -165,12 +179,14 @@ def _portions(sets: list[np.ndarray], most: int):
 
 
 def fine(texts: DataFrame) -> DataFrame:
-    """doc_id, fine: the low bits of many minima, packed; for texts with words."""
+    """doc_id, fine: a bit of many minima, packed; for texts with words."""
     def run(doc_id, text):
         sets, out = shingle_sets(text), []
         for at, to in _portions(sets, 1 << 16):
-            bits = (minima(sets[at:to], _FINE_A, _FINE_B) & np.uint32(1)).astype(np.uint8)
-            out += [row.tobytes() for row in np.packbits(bits, axis=1)]
+            low = minima(sets[at:to], _FINE_A, _FINE_B)
+            for start in range(0, len(low), 256):
+                bits = _bits(low[start:start + 256], _FINE_SEED, 1).astype(np.uint8)
+                out += [row.tobytes() for row in np.packbits(bits, axis=1)]
         return {"doc_id": doc_id, "fine": out}
     return map_rows(texts, ["doc_id", "text"], run, "doc_id bigint, fine binary")
 
@@ -200,7 +216,7 @@ _FIVES = 0x5555555555555555
 
 
 def estimate(a: str, b: str) -> Column:
-    """Similarity from the share of agreeing low bits, corrected for agreement by chance."""
+    """Similarity from the share of agreeing bits, corrected for agreement by chance."""
     differing = F.lit(0)
     for k in range(4):
         x = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
