@@ -32,3 +32,8 @@ def test_entry(spark):
 
     assert set(oracle_sql()) <= set(queries())
     assert entry(spark).limit(1).count() == 1
+
+
+def test_keyword_merge_reads_all_articles(spark):
+    used = {name: catalog.QUERIES[name](spark, SF).groupBy().sum("freq").first()[0] for name in ("keyword_merged", "keyword_freq")}
+    assert used["keyword_merged"] == used["keyword_freq"]
