@@ -557,3 +557,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert "<EMAIL>" in seen["pii"][31]["text"] and set(seen["pii"]) == set(seen["minhash"])
     assert set(seen["packing"]) == set(seen["pii"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept.count()
+
+
+def test_near_duplicate_stage_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    a, b, c = (prose(rng, 30) for _ in range(3))
+    rows = [(1, a), (1, a), (2, a), (2, b), (3, c), (None, a), (None, a), (4, None), (4, None), (5, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    want = [(1, a), (2, b), (3, c), (None, a), (None, a), (4, None), (4, None), (5, " ")]
+    assert sorted(got, key=str) == sorted(want, key=str)
