@@ -25,4 +25,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from tidewire.llm import ann, bpe, fingerprint, lines, minhash, packing, pages, pii, token_files, toxicity  # noqa: F401
+    from tidewire.llm import (  # noqa: F401
+        ann, bpe, fingerprint, lines, minhash, packing, pages, phrases, pii, runs, token_files, toxicity)
