@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     from tidewire.llm import (  # noqa: F401
-        ann, bpe, fingerprint, lines, minhash, packing, pages, phrases, pii, runs, token_files, toxicity)
+        ann, bpe, fingerprint, groupjoin, lines, minhash, packing, pages, phrases, pii, runs, token_files, toxicity)

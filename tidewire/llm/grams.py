@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewire.llm.minhash import _BYTE, _Q, _SPACE, _mixed, _position_powers
 
@@ -42,3 +44,25 @@ def taken_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np
     bounds = offsets[::order] - np.arange(len(rows) + 1)
     return pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()),
                                                           pa.py_buffer(out[~last].tobytes())])
+
+
+class Bits:
+    """A bitmap of 64-bit hashes by their leading bits: never false for a hash that is in it."""
+
+    def __init__(self, raw: bytes):
+        self.raw = np.frombuffer(raw, dtype=np.uint8)
+        self.shift = np.uint64(64 - (len(raw) * 8 - 1).bit_length())
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> self.shift
+        return (self.raw[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def collected_bits(numbers: DataFrame, bits: int) -> bytes:
+    """The bitmap of the numbers in column `bit` (from 1): 2**bits bits, whatever the table's size."""
+    kept = numbers.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    raw = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for bucket, part in kept.collect():      # at most 2**bits / 32768 rows of 4 kB
+        raw[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(bytes(part), dtype=np.uint8)
+    return raw.tobytes()

@@ -83,8 +83,8 @@ def _position_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[size]
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of `words` words of each text."""
     out: list[np.ndarray] = []
     held, size = [], 0
     for text in texts:
@@ -92,12 +92,12 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         held.append(raw)
         size += len(raw)
         if size >= SLICE_BYTES:
-            out += _shingle_slice(held)
+            out += _shingle_slice(held, words)
             held, size = [], 0
-    return out + _shingle_slice(held)
+    return out + _shingle_slice(held, words)
 
 
-def _shingle_slice(raws: list[bytes]) -> list[np.ndarray]:
+def _shingle_slice(raws: list[bytes], words: int) -> list[np.ndarray]:
     if not raws:
         return []
     data = np.frombuffer(b" ".join(raws) + b" ", dtype=np.uint8)
@@ -108,15 +108,15 @@ def _shingle_slice(raws: list[bytes]) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[:len(data)], dtype=np.uint64)])
         word = _mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-        shingle = word[:len(word) - WORDS + 1].copy() if len(word) >= WORDS else word[:0]
-        for k in range(1, WORDS):
-            shingle = shingle * _Q + word[k:len(word) - WORDS + 1 + k] if len(shingle) else shingle
+        shingle = word[:len(word) - words + 1].copy() if len(word) >= words else word[:0]
+        for k in range(1, words):
+            shingle = shingle * _Q + word[k:len(word) - words + 1 + k] if len(shingle) else shingle
         shingle = _mixed(shingle)
         first = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raws]))
         out = []
         for a, b in zip(first.tolist(), first[1:].tolist()):
-            if b - a >= WORDS:
-                out.append(np.unique(shingle[a:b - WORDS + 1]))
+            if b - a >= words:
+                out.append(np.unique(shingle[a:b - words + 1]))
             elif b > a:
                 whole = np.uint64(b - a)
                 for w in word[a:b]:

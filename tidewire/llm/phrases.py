@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.catalog import query, table
-from tidewire.llm.grams import gram_hashes, taken_words, words_of
+from tidewire.llm.grams import Bits, collected_bits, gram_hashes, taken_words, words_of
 from tidewire.runtime import cut
 
 MOST_WORDS = 5
@@ -70,18 +70,7 @@ def _lang_hash(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-class _Bits:
-    """The bitmap of the phrases that may be frequent."""
-
-    def __init__(self, raw: bytes):
-        self.raw = np.frombuffer(raw, dtype=np.uint8)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - BITS)
-        return (self.raw[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def _counted(parts: list[bytes], langs: list[str], order: int, bits: _Bits | None) -> pa.RecordBatch:
+def _counted(parts: list[bytes], langs: list[str], order: int, bits: Bits | None) -> pa.RecordBatch:
     """Combined counts of the phrases of `order` words in a few portions of text."""
     data, starts, ends, word = words_of(parts)
     first = np.cumsum([0] + [len(p) + 1 for p in parts])
@@ -108,7 +97,7 @@ def counts_of_order(docs: DataFrame, order: int, bits: bytes | None) -> DataFram
     known = docs.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def run(batches):
-        have = _Bits(known.value) if known is not None else None
+        have = Bits(known.value) if known is not None else None
         for batch in batches:
             parts, langs, size = [], [], 0
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
@@ -138,13 +127,7 @@ def bitmap(stream: DataFrame, order: int) -> bytes:
                 at = gram_hashes(word, order, np.repeat(seeds, order))[::order] >> np.uint64(64 - BITS)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64) + 1)], ["bit"])
 
-    bits = stream.select("lang", "phrase").mapInArrow(run, "bit bigint")
-    kept = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    raw = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-    for bucket, part in kept.collect():      # at most 2**BITS / 32768 rows of 4 kB
-        raw[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(bytes(part), dtype=np.uint8)
-    return raw.tobytes()
+    return collected_bits(stream.select("lang", "phrase").mapInArrow(run, "bit bigint"), BITS)
 
 
 def count_stream(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
