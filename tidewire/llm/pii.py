@@ -1,10 +1,10 @@
 """Personal data: fixed base patterns plus a semi-Markov conditional random field.
 
 The base patterns (email, ip, card, phone) are always reported. The field adds what
-they cannot describe. It looks at windows around digits and at-signs, scores whole
-candidate segments of bounded length by span features (shape, digit groups, checks,
-neighbours) and a transition between segment types, and one dynamic program picks
-boundaries and types together. It is trained here: the base patterns and key=value
+they cannot describe. It looks at windows around digits, at-signs and spelt-out signs
+("(at)", "[.]", " dot "), scores whole candidate segments of bounded length by span
+features (shape, digit groups, checks, neighbours) and a transition between segment types,
+and one dynamic program picks boundaries and types together. It is trained here: the base patterns and key=value
 secrets label windows of a bounded sample of texts, and a part of the labelled spans
 is rewritten into variants that the patterns miss (no country code, dotted cards,
 spelt-out addresses).
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.catalog import query, table
 from tidewire.llm.common import documents_like, map_rows
+from tidewire.runtime import cut
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -93,12 +94,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # ---- windows and segments ---------------------------------------------------------------------------------------
 
-_HITS = re.compile(r"[0-9@]+")
+_HITS = re.compile(r"[0-9@]+|\((?i:at)\)|\[(?i:at)\]|\[\.\]|(?<= )(?i:dot)(?= )")
 _TOKENS = re.compile(r"\w+|[^\w\s]")
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Places around digits and at-signs, cut at white space, merged when they touch."""
+    """Places around digits, at-signs and spelt-out signs, cut at white space, merged when they touch."""
     out: list[list[int]] = []
     for m in _HITS.finditer(text):
         start, end = max(0, m.start() - SIDE), min(len(text), m.end() + SIDE)
@@ -154,23 +155,36 @@ def _span_features(span: str, tokens: list[str], before: str, after: str) -> lis
 
 @dataclass
 class Window:
-    """Tokens of a window and its candidate segments (end token, length - 1, is it an entity)."""
+    """Tokens of a window and its candidate segments, as flat arrays."""
     bounds: list[tuple[int, int]]
-    segments: list[tuple[int, int, bool]]
-    features: list[list[int]]
+    place: np.ndarray        # (segments, 2): end token, length - 1
+    entity: np.ndarray       # is the segment an entity
+    sizes: np.ndarray        # its number of features
+    features: np.ndarray     # of all segments in turn
+
+
+def _spelt(lower: list[str], i: int) -> bool:
+    """A word that may stand for a sign: `dot`, or `at` and a dot in brackets."""
+    if lower[i] == "dot":
+        return True
+    return lower[i] in ("at", ".") and 0 < i < len(lower) - 1 and lower[i - 1] + lower[i + 1] in ("()", "[]")
 
 
 def look(text: str, start: int, end: int) -> Window:
     bounds = [(m.start(), m.end()) for m in _TOKENS.finditer(text, start, end)]
     tokens = [text[a:b] for a, b in bounds]
     lower = [t.lower()[:12] for t in tokens]
-    evidence = [any("0" <= c <= "9" or c == "@" for c in t) for t in tokens]
+    spelt = [_spelt(lower, i) for i in range(len(tokens))]
+    evidence = [spelt[i] or any("0" <= c <= "9" or c == "@" for c in t) for i, t in enumerate(tokens)]
     seen = np.concatenate([[0], np.cumsum(evidence)]).astype(int).tolist()
-    segments, features = [], []
+    signs = np.concatenate([[0], np.cumsum(spelt)]).astype(int).tolist()
+    place, entity, sizes, features = [], [], [], []
     for i in range(len(tokens)):
         before = (lower[i - 1] if i else "^") + ("_" if i and bounds[i - 1][1] < bounds[i][0] else "")
-        segments.append((i, 0, False))
-        features.append([_f("other"), _f(f"other={_token_class(tokens[i])}")])
+        place.append((i, 0))
+        entity.append(False)
+        sizes.append(2)
+        features += (_f("other"), _f(f"other={_token_class(tokens[i])}"))
         if not (tokens[i][0].isalnum() or tokens[i] in "+("):
             continue
         for j in range(i, min(len(tokens), i + LONGEST)):
@@ -178,9 +192,17 @@ def look(text: str, start: int, end: int) -> Window:
                 continue
             after = ("_" if j + 1 < len(tokens) and bounds[j][1] < bounds[j + 1][0] else "") + (
                 _token_class(tokens[j + 1]) if j + 1 < len(tokens) else "$")
-            segments.append((j, j - i, True))
-            features.append(_span_features(text[bounds[i][0]:bounds[j][1]], tokens[i:j + 1], before, after))
-    return Window(bounds, segments, features)
+            made = _span_features(text[bounds[i][0]:bounds[j][1]], tokens[i:j + 1], before, after)
+            if signs[j + 1] > signs[i]:
+                words = ["*" if t.isalnum() and t not in ("at", "dot") else t for t in lower[i:j + 1]]
+                made += [_f(f"spelt={' '.join(words)}"), _f(f"spelt ends={' '.join(words[:2])}|{' '.join(words[-2:])}"),
+                         _f(f"signs={'at' in words}|{words.count('dot')}")]
+            place.append((j, j - i))
+            entity.append(True)
+            sizes.append(len(made))
+            features += made
+    return Window(bounds, np.array(place, dtype=np.int32).reshape(-1, 2), np.array(entity, dtype=bool),
+                  np.array(sizes, dtype=np.int32), np.array(features, dtype=np.uint16))
 
 
 # ---- the field --------------------------------------------------------------------------------------------------
@@ -196,23 +218,19 @@ class Batch:
     def __init__(self, held: list[Window]):
         self.count = len(held)
         self.width = max(len(w.bounds) for w in held) + 1        # at least one padding token
-        place, ids, sizes, entity = [], [], [], []
-        for b, w in enumerate(held):
-            for (end, length, is_entity), features in zip(w.segments, w.features):
-                place.append((b, end, length))
-                entity.append(is_entity)
-                ids += features
-                sizes.append(len(features))
-        self.place = tuple(np.array(place, dtype=np.int64).reshape(-1, 3).T)
-        self.ids, self.entity = np.array(ids, dtype=np.int64), np.array(entity, dtype=bool)
-        self.of = np.repeat(np.arange(len(sizes)), sizes)
-        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if sizes else np.zeros(0, np.int64)
+        window = np.repeat(np.arange(len(held)), [len(w.sizes) for w in held])
+        self.place = (window, *np.concatenate([w.place for w in held]).T.astype(np.int64))
+        self.ids = np.concatenate([w.features for w in held])
+        self.entity = np.concatenate([w.entity for w in held])
+        sizes = np.concatenate([w.sizes for w in held])
+        self.of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.starts = np.cumsum(sizes) - sizes
         self.pads = [(b, t) for b, w in enumerate(held) for t in range(len(w.bounds), self.width)]
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         s = np.full((self.count, self.width, LONGEST, len(TYPES)), NEVER)
         if len(self.ids):
-            each = np.add.reduceat(weights[self.ids], self.starts, axis=0)
+            each = np.add.reduceat(weights[self.ids], self.starts, axis=0)     # every segment has features
             each[self.entity, 0] = NEVER
             each[~self.entity, 1:] = NEVER
             np.maximum.at(s, self.place, each)       # a one-token segment is a candidate both ways
@@ -375,56 +393,68 @@ def _examples(texts: list[str]) -> list[tuple[str, list[tuple[str, int, int]]]]:
     return out
 
 
-def _gold_arrays(held: list[Window], golds: list[dict], batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Example:
+    """A training window with the gold type of every segment (-1: not in the gold labelling) and its transitions."""
+    window: Window
+    kinds: np.ndarray
+    moves: np.ndarray
+
+
+def _example(text: str, gold: list[tuple[str, int, int]]) -> Example | None:
+    """None for windows that are too long or whose gold spans are no candidate segments."""
+    window = look(text, 0, len(text))
+    if not window.bounds or len(window.bounds) > 80:
+        return None
+    first = {a: i for i, (a, _) in enumerate(window.bounds)}
+    last = {b: i for i, (_, b) in enumerate(window.bounds)}
+    placed = {(first.get(a), last.get(b)): TYPES.index(kind) for kind, a, b in gold}
+    inside = {i for a, b in placed if a is not None and b is not None for i in range(a, b + 1)}
+    kinds = np.full(len(window.entity), -1, dtype=np.int8)
+    for at, ((end, length), entity) in enumerate(zip(window.place.tolist(), window.entity.tolist())):
+        if entity:
+            kinds[at] = placed.get((end - length, end), -1)
+        elif end not in inside:
+            kinds[at] = 0
+    if (kinds > 0).sum() != len(placed):
+        return None
+    moves, t, previous = np.zeros((len(TYPES), len(TYPES)), dtype=np.int32), 0, 0
+    at = {a: (b, kind) for (a, b), kind in placed.items()}
+    while t < len(window.bounds):
+        end, kind = at.get(t, (t, 0))
+        moves[previous, kind] += 1
+        t, previous = end + 1, kind
+    moves[previous, 0] += 1                  # to the padding
+    return Example(window, kinds, moves)
+
+
+def _gold(part: list[Example], batch: Batch) -> tuple[np.ndarray, np.ndarray]:
     """Gold type of every candidate segment as one-hot rows, and gold transition counts."""
-    rows, trans, at = np.zeros((len(batch.entity), len(TYPES))), np.zeros((len(TYPES), len(TYPES))), 0
-    for window, gold in zip(held, golds):
-        inside, y = set(), {}
-        for (first, last), kind in gold.items():
-            inside.update(range(first, last + 1))
-            y[first] = (last, TYPES.index(kind))
-        for end, length, is_entity in window.segments:
-            first = end - length
-            if is_entity and (first, end) in gold:
-                rows[at, TYPES.index(gold[first, end])] = 1
-            elif not is_entity and end not in inside:
-                rows[at, 0] = 1
-            at += 1
-        t, previous = 0, 0
-        while t < batch.width:
-            last, kind = y.get(t, (t, 0))
-            trans[previous, kind] += 1
-            t, previous = last + 1, kind
-    return rows, trans
-
-
-def train(texts: list[str], epochs: int = 10, rate: float = 0.3, l2: float = 1e-4) -> Field:
-    """Maximise the conditional likelihood of the labelled windows (AdaGrad, fixed order)."""
+    kinds = np.concatenate([e.kinds for e in part])
+    rows = np.zeros((len(kinds), len(TYPES)))
+    rows[np.flatnonzero(kinds >= 0), kinds[kinds >= 0]] = 1
+    moves = np.sum([e.moves for e in part], axis=0).astype(float)
+    moves[0, 0] += len(batch.pads) - len(part)
+    return rows, moves
+
+
+def train(examples: list[Example], epochs: int = 10, rate: float = 0.3, l2: float = 1e-4) -> Field:
+    """Maximise the conditional likelihood of the labelled windows (AdaGrad, fixed order).
+
+    Batches are laid out when they are used, so memory holds the flat windows and one batch.
+    """
     weights = np.zeros((1 << FEATURE_BITS, len(TYPES)))
     trans = np.zeros((len(TYPES), len(TYPES)))
-    held, golds = [], []
-    for text, gold in _examples(texts):
-        window = look(text, 0, len(text))
-        first = {a: i for i, (a, _) in enumerate(window.bounds)}
-        last = {b: i for i, (_, b) in enumerate(window.bounds)}
-        candidates = {(end - length, end) for end, length, e in window.segments if e}
-        placed = {(first.get(a), last.get(b)): kind for kind, a, b in gold}
-        if window.bounds and len(window.bounds) <= 80 and all(p in candidates for p in placed):
-            held.append(window)
-            golds.append(placed)
-    if not any(golds):
+    if not any((e.kinds > 0).any() for e in examples):
         weights[_f("other"), 0] = 10.0       # nothing to learn from: everything is other
         return Field(weights, trans)
-    order = sorted(range(len(held)), key=lambda i: len(held[i].bounds))
-    batches = []
-    for at in range(0, len(order), 128):
-        part = [held[i] for i in order[at:at + 128]]
-        batch = Batch(part)
-        batches.append((batch, _gold_arrays(part, [golds[i] for i in order[at:at + 128]], batch)))
+    order = sorted(examples, key=lambda e: len(e.window.bounds))
+    parts = [order[at:at + 128] for at in range(0, len(order), 128)]
     squares, squares_t = np.full_like(weights, 1e-6), np.full_like(trans, 1e-6)
     for epoch in range(epochs):
-        for batch, gold in (batches if epoch % 2 else batches[::-1]):
-            grad, grad_t = _gradient(batch, gold, weights, trans)
+        for part in (parts if epoch % 2 else parts[::-1]):
+            batch = Batch([e.window for e in part])
+            grad, grad_t = _gradient(batch, _gold(part, batch), weights, trans)
             grad -= l2 * weights
             squares += grad ** 2
             squares_t += grad_t ** 2
@@ -433,6 +463,28 @@ def train(texts: list[str], epochs: int = 10, rate: float = 0.3, l2: float = 1e-
     return Field(weights, trans)
 
 
+def examples(texts: list[str]) -> list[Example]:
+    """Windows with their labels, and the variants of those that hold labelled spans."""
+    return [e for text, gold in _examples(texts) if (e := _example(text, gold)) is not None]
+
+
+_PACKED = "bounds binary, place binary, entity binary, sizes binary, features binary, kinds binary, moves binary"
+
+
+def _packed(text):
+    held = examples(text)
+    return {"bounds": [np.array(e.window.bounds, dtype=np.int32).tobytes() for e in held],
+            **{n: [getattr(e.window, n).tobytes() for e in held] for n in ("place", "entity", "sizes", "features")},
+            "kinds": [e.kinds.tobytes() for e in held], "moves": [e.moves.tobytes() for e in held]}
+
+
+def _unpacked(row) -> Example:
+    array = lambda n, kind: np.frombuffer(bytes(row[n]), dtype=kind)      # noqa: E731
+    window = Window([(int(a), int(b)) for a, b in array("bounds", np.int32).reshape(-1, 2)], array("place", np.int32).reshape(-1, 2),
+                    array("entity", bool), array("sizes", np.int32), array("features", np.uint16))
+    return Example(window, array("kinds", np.int8), array("moves", np.int32).reshape(len(TYPES), -1))
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Field:
     """Train on windows of a bounded sample of the texts."""
     share = min(1.0, sample_docs / max(1, docs.count()))
@@ -444,8 +496,10 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = S
     chosen = docs.select(*documents_like()).where(
         F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     found = map_rows(chosen, ["doc_id", "text"], cut_out, "doc_id bigint, text string")
-    rows = found.orderBy(F.xxhash64("text"), "text").limit(sample_windows).select("text").collect()
-    return train([r["text"] for r in rows])
+    taken = cut(found.select("text").orderBy(F.xxhash64("text"), "text").limit(sample_windows))
+    # features are made by the executors; the driver gets a few kB of flat arrays per window
+    made = map_rows(taken.repartition(taken.sparkSession.sparkContext.defaultParallelism, "text"), ["text"], _packed, _PACKED)
+    return train([_unpacked(row) for row in made.orderBy("features", "kinds", "bounds").toLocalIterator()])
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
