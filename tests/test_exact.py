@@ -228,11 +228,37 @@ def test_rule_hits_against_brute_force(spark):
     docs = spark.createDataFrame(texts, "k bigint, t string, s string")
     rule = spark.createDataFrame([(1, "ALPHA 1", True, 1), (2, "a2", True, 2), (3, "zz", True, 3), (4, "m", True, 4), (5, "a", False, 5)],
                                  "rule_id bigint, pattern string, is_enabled boolean, priority int")
-    found = sorted(tuple(r) for r in rules.rule_hits(docs, rule, "k", "t").collect())
+    found = sorted(tuple(r) for r in rules.rule_hits(docs, rule, "k", "t").select("k", "rule_id", "priority").collect())
     want = sorted((k, r, p) for k, t, _ in texts for r, pat, p in ((1, "alpha 1", 1), (2, "a2", 2), (3, "zz", 3), (4, "m", 4)) if pat in t)
     assert found == want
 
 
+def test_rule_hits_random_patterns(spark):
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("aB😀 ç") for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, ""]
+    patterns = ["".join(rng.choice("ab😀 Ç") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+    rule = spark.createDataFrame([(i, p, True, None, "x") for i, p in enumerate(patterns)],
+                                 "rule_id bigint, pattern string, is_enabled boolean, priority int, more string")
+    hits = rules.rule_hits(docs, rule, "k", "t")
+    assert hits.columns == ["k", "rule_id", "priority", "more"]
+    want = sorted((k, i) for k, t in enumerate(texts) for i, p in enumerate(patterns) if p.lower() in (t or "").lower())
+    assert sorted((r.k, r.rule_id) for r in hits.collect()) == want and want
+    assert rules.rule_hits(docs, rule.limit(0), "k", "t").count() == 0 and rules.rule_hits(docs.limit(0), rule, "k", "t").count() == 0
+
+
+def test_rule_pieces_are_linear_in_the_text(spark):
+    import time
+
+    seconds = []
+    for size in (50_000, 50_000, 200_000, 800_000):
+        df = spark.range(1, numPartitions=1).select(F.expr(f"repeat('abc déf ', {size // 8})").alias("t"))
+        start = time.time()
+        assert df.select(F.size(rules._text_pieces(F.col("t")))).first()[0] == 10 + 9 + 7
+        seconds.append(time.time() - start)
+    assert seconds[2] < 2 and seconds[3] < 4
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(["一二", "三四", "五六"],)], "s array<string>")
     chunks = df.select(chunking.pack_sentences(F.col("s"), 5, 2, F.lit("zh")).alias("c")).first().c

@@ -5,65 +5,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions.arrays import unfold
 from tidewire.runtime import cut
 
 GRAM = 3
+SLOTS = 1 << 16          # bits of the filter of wanted pieces
+SALTS = 16               # portions of the texts that meet one piece
 
 
-def _grams(text: Column) -> Column:
-    """Distinct pieces of GRAM characters; a shorter text is one piece."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1)))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(GRAM))))
+def _pattern_pieces(pattern: Column) -> Column:
+    """Distinct pieces of GRAM characters; a shorter pattern is one piece."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(pattern) - (GRAM - 1), F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(pattern, i, F.lit(GRAM))))
 
 
-def _short_pieces(text: Column) -> Column:
-    """Distinct pieces of fewer than GRAM characters, for patterns that short."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+def _text_pieces(text: Column) -> Column:
+    """Distinct pieces of one to GRAM characters, in one pass over the text.
 
-    def pieces(size: int) -> Column:
-        return F.transform(places, lambda i: F.substring(text, i, F.lit(size)))
+    The padding lets a piece begin at the last character; shorter pieces are the
+    beginnings of the distinct long ones.
+    """
+    padded = F.concat(text, F.lit("\0" * (GRAM - 1)))
+    long = F.array_distinct(F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(long, lambda x: F.array(*[F.left(x, F.lit(n)) for n in range(1, GRAM + 1)]))))
 
-    return F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, GRAM)])))
 
+def _slot(piece: Column) -> Column:
+    return F.pmod(F.xxhash64(piece), F.lit(SLOTS)).cast("int")
 
-def rule_hits(articles: DataFrame, rules: DataFrame, key: str, field: str) -> DataFrame:
-    """(key, rule_id, priority) of every enabled rule whose pattern is in `field`.
 
-    A text that holds a pattern holds each of its pieces of GRAM characters. Pieces
-    of texts are kept only where some pattern has them, and counted; each pattern is
-    then looked up by its rarest piece alone, and what that finds is checked. Common
-    pieces such as those of frequent words are keys only of patterns that have no
-    other. One path for any number of rules.
+def _bit_set(pieces: DataFrame) -> list[int]:
+    """SLOTS bits as longs, whatever the number of pieces."""
+    slot = _slot(F.col("gram"))
+    words = pieces.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
+    known = {r["word"]: r["bits"] for r in words.collect()}       # at most SLOTS / 64 rows
+    return [known.get(k, 0) for k in range(SLOTS // 64)]
+
+
+def _posted(texts: DataFrame, key: str, pieces: DataFrame) -> DataFrame:
+    """(key, gram) of the pieces of every text that may be among `pieces`."""
+    bits = F.lit(_bit_set(pieces)).cast("array<bigint>")
+
+    def may_be_wanted(piece: Column) -> Column:
+        slot = _slot(piece)
+        return F.getbit(F.get(bits, F.shiftright(slot, 6)), slot.bitwiseAND(63)) == 1
+
+    return unfold(texts, [key], F.filter(_text_pieces(F.col("_t")), may_be_wanted), "_at", "gram").drop("_at")
+
+
+def rule_hits(articles: DataFrame, rules: DataFrame, key: str, field: str) -> DataFrame:
+    """(key, columns of the rule) for every enabled rule whose pattern is in `field`.
+
+    A text that holds a pattern holds each of its pieces of GRAM characters. Texts are
+    read twice: the first pass only counts the pieces that patterns have, the second
+    gives out the rarest piece of each pattern, and what that finds is checked. A bit
+    set of fixed size keeps other pieces from becoming rows. Texts meet a piece in
+    portions, so a common piece whose pattern has no other is not one group. One path
+    for any number of rules and any length of pattern and text.
     """
-    live = rules.where("is_enabled AND pattern <> ''").select(
-        "rule_id", F.lower("pattern").alias("pattern"), F.coalesce("priority", F.lit(0)).alias("priority"))
-    wanted = live.select("pattern").distinct().select("pattern", F.explode(_grams(F.col("pattern"))).alias("gram"))
-    wanted = cut(wanted)
+    live = rules.where("is_enabled AND pattern <> ''").withColumn("pattern", F.lower("pattern")).withColumn(
+        "priority", F.coalesce("priority", F.lit(0)))
+    wanted = cut(live.select("pattern").distinct().select("pattern", F.explode(_pattern_pieces(F.col("pattern"))).alias("gram")))
     texts = articles.select(key, F.lower(F.coalesce(F.col(field), F.lit(""))).alias("_t"))
-    short = wanted.where(F.length("gram") < GRAM).limit(1).count() > 0
-    pieces = _grams(F.col("_t"))
-    if short:
-        pieces = F.array_union(pieces, _short_pieces(F.col("_t")))
-    posted = cut(texts.select(key, F.explode(pieces).alias("gram")).join(
-        wanted.select("gram").distinct(), "gram", "left_semi"))
-    uses = posted.groupBy("gram").agg(F.count("*").alias("uses"))
+    uses = _posted(texts, key, wanted).groupBy("gram").agg(F.count("*").alias("uses"))
     complete = wanted.join(uses, "gram", "left").groupBy("pattern").agg(
         F.min_by("gram", F.struct("uses", "gram")).alias("gram"), F.count("*").alias("n"), F.count("uses").alias("found"))
-    rarest = complete.where("n = found").select("pattern", "gram")      # a piece that no text holds rules its pattern out
-    found = (posted.join(rarest, "gram").join(texts, key)
-             .where(F.contains(F.col("_t"), F.col("pattern"))).select(key, "pattern"))
-    return found.join(live, "pattern").select(key, "rule_id", "priority").distinct()
+    rarest = cut(complete.where("n = found").select("pattern", "gram"))     # a piece that no text holds rules its pattern out
+    dealt = rarest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = _posted(texts, key, rarest).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    found = (met.join(dealt, ["gram", "_salt"]).join(texts, key)
+             .where(F.contains(F.col("_t"), F.col("pattern"))).select(key, "pattern").distinct())
+    return found.join(live, "pattern").drop("pattern", "is_enabled")
 
 
 def apply_rules(articles: DataFrame, watch: DataFrame, block: DataFrame, key: str, text: str,
                 source: str) -> DataFrame:
     """Hide blocked articles and give watched ones the highest priority that matches."""
-    def hits(rules: DataFrame) -> DataFrame:
-        return rule_hits(articles, rules.where("type = 'keyword'"), key, text).unionByName(
-            rule_hits(articles, rules.where("type = 'source'"), key, source))
-
-    blocked = hits(block.withColumn("priority", F.lit(0))).select(key).distinct()
-    watched = hits(watch).groupBy(key).agg(F.max("priority").alias("watch_priority"))
-    return (articles.join(blocked, key, "left_anti").join(watched, key, "left")
+    rules = watch.select("rule_id", "type", "pattern", "is_enabled", "priority", F.lit(False).alias("_block")).union(
+        block.select("rule_id", "type", "pattern", "is_enabled", F.lit(0), F.lit(True)))
+    hits = rule_hits(articles, rules.where("type = 'keyword'"), key, text).unionByName(
+        rule_hits(articles, rules.where("type = 'source'"), key, source))
+    verdict = hits.groupBy(key).agg(F.bool_or("_block").alias("_hide"), F.max(F.when(~F.col("_block"), F.col("priority"))).alias("watch_priority"))
+    return (articles.join(verdict, key, "left").where(~F.coalesce("_hide", F.lit(False))).drop("_hide")
             .withColumn("pinned", F.col("watch_priority").isNotNull())
             .withColumn("watch_priority", F.coalesce("watch_priority", F.lit(0))))
