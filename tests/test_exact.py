@@ -170,6 +170,28 @@ def test_keyword_merge(spark):
     assert got == brute_words(words, freq) and len(got) < len(words)
 
 
+@pytest.mark.parametrize("above", [0.75, 0.8, 0.9])
+def test_similar_words_of_all_lengths(spark, above):
+    """Words of 1 to 40 letters, a quarter of them with a common beginning, against all pairs."""
+    rng = random.Random(40)
+    words = []
+    for n in range(1, 41):
+        words.append(("abcabc" if n % 4 == 0 else "") + "".join(rng.choice("abcdé") for _ in range(n)))
+        for _ in range(7):
+            v = list(words[-1])
+            for _ in range(rng.randint(1, 4)):
+                if rng.random() < 0.5 and len(v) > 1:
+                    del v[rng.randrange(len(v))]
+                else:
+                    v.insert(rng.randrange(len(v) + 1), rng.choice("abcdé"))
+            words.append("".join(v))
+    words = list(dict.fromkeys(words))
+    df = spark.createDataFrame(list(enumerate(words)), "place bigint, word string")
+    got = [(r.a, r.b) for r in keywords.similar_words(df, above).select("a", "b").collect()]
+    want = {(i, j) for j in range(len(words)) for i in range(j) if SequenceMatcher(None, words[i], words[j]).ratio() > above}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 @pytest.mark.parametrize("segment_rows", [1, 7, 500_000])
 def test_pack_by_tokens(spark, segment_rows):
     rng = random.Random(4)
