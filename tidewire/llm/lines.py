@@ -48,29 +48,33 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return listed.select("row", "text", "site", F.explode("lines").alias("line"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """line: hashes of the lines to remove."""
+def _frequent(docs: DataFrame, min_sites: int) -> DataFrame:
+    """The occurrences of lines that occur often enough to be boilerplate."""
     found = occurrences(docs)
     often = cut(found.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line"))
-    seen = found.join(often, "line")
+    return cut(found.join(often, "line"))
+
+
+def boilerplate(seen: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """line: hashes of the lines to remove, of the occurrences (row, text, site, line)."""
     guessed = cut(seen.groupBy("line").agg(
         *[F.hll_sketch_estimate(F.hll_sketch_agg(c)).alias(c) for c in ("site", "text")]))
     fewest = F.least("site", "text") / min_sites
     yes = guessed.where(fewest >= 1 + NEAR).select("line")
     unsure = guessed.where((fewest >= 1 - NEAR) & (fewest < 1 + NEAR)).select("line")
-    exact = (found.join(unsure, "line").select("line", "site", "text").distinct()
+    exact = (seen.join(unsure, "line").select("line", "site", "text").distinct()
              .groupBy("line").agg(*[F.count_distinct(c).alias(c) for c in ("site", "text")])
              .where(F.least("site", "text") >= min_sites).select("line"))
     return yes.union(exact)
 
 
 def _marked(docs: DataFrame, min_sites: int) -> DataFrame:
-    """The rows of `docs` with the hashes of their boilerplate lines in `_bad` (null if none)."""
-    lines = cut(boilerplate(docs, min_sites))
-    bad = (occurrences(docs).select("row", "line").join(lines, "line").groupBy(F.col("row").alias("_row"))
-           .agg(F.collect_set("line").alias("_bad")))
-    keyed = docs.withColumn("_row", _row_key())
-    return keyed.join(bad, "_row", "left").drop("_row")
+    """doc: the rows of `docs` as structs, so that no name of theirs can clash; bad: hashes of their boilerplate lines."""
+    seen = _frequent(docs, min_sites)
+    lines = cut(boilerplate(seen, min_sites))
+    bad = seen.select("row", "line").join(lines, "line").groupBy("row").agg(F.collect_set("line").alias("bad"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _row_key().alias("row"))
+    return keyed.join(bad, "row", "left").select("doc", "bad")
 
 
 def _kept(text: Column, bad: Column) -> Column:
@@ -79,13 +83,13 @@ def _kept(text: Column, bad: Column) -> Column:
 
 def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """The rows of `docs`, all columns, without boilerplate lines."""
-    text = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("_bad")))
-    out = _marked(docs, min_sites).withColumn("_text", text)
-    emptied = F.col("_bad").isNotNull() & (F.trim(F.regexp_replace("_text", r"\s+", "")) == "")
-    out = out.where(~emptied).withColumn("text", F.col("_text"))
+    text, bad = F.col("doc.text"), F.col("bad")
+    out = _marked(docs, min_sites).select("doc", "bad", F.when(bad.isNull(), text).otherwise(_kept(text, bad)).alias("left"))
+    emptied = bad.isNotNull() & (F.trim(F.regexp_replace("left", r"\s+", "")) == "")
+    made = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.coalesce(F.char_length("left").cast(docs.schema["n_chars"].dataType), F.col("doc.n_chars"))
+    return out.where(~emptied).select(*[made.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE = f"""
@@ -94,13 +98,7 @@ l AS (SELECT r, doc_id, text, source, u.line, u.pos FROM d,
       LATERAL (SELECT unnest(string_split(text, chr(10))) AS line,
                       generate_subscripts(string_split(text, chr(10)), 1) AS pos) u),
 k AS (SELECT *, trim(line, ' ') AS key FROM l WHERE trim(line, ' ') <> ''),
-o AS (SELECT r, key, length(key) AS n FROM k GROUP BY r, key),
-t AS (SELECT r, key, row_number() OVER (PARTITION BY r ORDER BY n DESC, key DESC) AS nth FROM o),
-c AS (SELECT k.*, CASE WHEN a.key = k.key THEN b.key ELSE a.key END AS context FROM k
-      LEFT JOIN t a ON a.r = k.r AND a.nth = 1 LEFT JOIN t b ON b.r = k.r AND b.nth = 2),
-bad AS (SELECT key FROM c GROUP BY key HAVING count(DISTINCT source) >= {MIN_SITES}
-        AND count(DISTINCT coalesce(context, '')) >= {MIN_SITES}
-        AND 2 * count(DISTINCT coalesce(context, '')) >= count(DISTINCT text)),
+bad AS (SELECT key FROM k GROUP BY key HAVING count(DISTINCT source) >= {MIN_SITES} AND count(DISTINCT text) >= {MIN_SITES}),
 f AS (SELECT r, count(*) AS n_removed FROM k WHERE key IN (SELECT key FROM bad) GROUP BY r),
 rest AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) AS text FROM l
          WHERE trim(line, ' ') = '' OR trim(line, ' ') NOT IN (SELECT key FROM bad) GROUP BY r)
@@ -114,8 +112,8 @@ FROM d LEFT JOIN f ON f.r = d.r LEFT JOIN rest ON rest.r = d.r
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the number of lines removed and the digest of the text that is left."""
     marked = _marked(table(spark, sf_dir, "documents"), MIN_SITES)
-    bad = F.col("_bad")
-    removed = F.size(F.filter(_lines(F.col("text")), lambda x: F.array_contains(bad, _key(x)) & (F.trim(x) != "")))
+    text, bad = F.col("doc.text"), F.col("bad")
+    removed = F.size(F.filter(_lines(text), lambda x: F.array_contains(bad, _key(x)) & (F.trim(x) != "")))
     return marked.select(
-        "doc_id", F.when(bad.isNull(), 0).otherwise(removed).cast("bigint").alias("n_removed"),
-        F.sha2(F.when(bad.isNull(), F.col("text")).otherwise(_kept(F.col("text"), bad)), 256).alias("text_sha256"))
+        "doc.doc_id", F.when(bad.isNull(), 0).otherwise(removed).cast("bigint").alias("n_removed"),
+        F.sha2(F.when(bad.isNull(), text).otherwise(_kept(text, bad)), 256).alias("text_sha256"))
