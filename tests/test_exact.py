@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.simhash import hash_texts, simhash64
 from tidewire.functions.text import normalize_fact
 from tidewire.operators import admin, chunking, dedup, delivery, facts, keywords, prompts, queue, routes, rules
-from tidewire.operators.numbering import number_rows
+from tidewire.operators.numbering import carried, in_ranges, number_rows
 from tidewire.operators.similar import dropped_by_leaders, near_pairs
 from tidewire.params import Params
 
@@ -56,6 +56,21 @@ def test_leaders_match_sequential_pass(spark):
     assert lost == set(range(91)) - set(kept)
 
 
+def test_leaders_of_a_long_chain(spark, monkeypatch):
+    """A chain of 100 000 in few rounds, with branches and a node of two neighbours at its end."""
+    from tidewire.operators import similar
+
+    n, rounds = 100_000, []
+    chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    more = spark.createDataFrame([(n - 1, n + 5), (50, n + 5), (n + 5, n + 6), (7, n + 9), (7, n + 9)], "a bigint, b bigint")
+    real = similar.cut
+    monkeypatch.setattr(similar, "cut", lambda df: rounds.append(df.columns) or real(df))
+    lost = {r.node for r in similar.dropped_by_leaders(chain.union(more)).collect()}
+    # n - 1 is odd and dropped; 50 is kept and drops n + 5, which frees n + 6; 7 is dropped and leaves n + 9
+    assert lost == set(range(1, n, 2)) | {n + 5}
+    assert sum("moved" in columns for columns in rounds) <= 25
+
+
 def test_dedup_by_body_matches_sequential_pass(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(20)]
@@ -213,36 +228,40 @@ def test_pack_by_tokens(spark, segment_rows):
         assert any(r.tokens > 100 for r in ranked)
 
 
-def brute_routes(events, default):
-    count = route = held = since = None
-    out = []
-    for at, ok in events:
-        proxy = held if since is not None and at - since < 3_600_000_000 else default
-        switched = False
-        if ok:
-            count = None
-        else:
-            count, route = (count + 1 if count is not None and route == proxy else 1), proxy
-            if count >= 3:
-                held, since, count, switched = not proxy, at, None, True
-        out.append((proxy, switched))
-    return out
-
-
-@pytest.mark.parametrize("segment_rows", [4, 500_000])
-def test_routes(spark, segment_rows):
-    rng = random.Random(6)
+@pytest.mark.parametrize("gap", [1_200_000_000, 60_000_000, 5_000_000_000])
+def test_routes(spark, gap):
+    """One domain with most rows; clocks that run backwards now and then; a null domain."""
+    rng = random.Random(gap)
     rows, at = [], 0
-    for i in range(200):
-        at += rng.randint(1, 1_200_000_000)
-        rows.append((f"d{0 if rng.random() < .7 else 1 + i % 3}", i, at, rng.random() < 0.3, False))
+    for i in range(400):
+        at += rng.randint(1, gap) if rng.random() < 0.9 else -rng.randint(1, gap)
+        domain = None if rng.random() < 0.05 else f"d{0 if rng.random() < .9 else 1 + i % 3}"
+        rows.append((domain, i, at, rng.random() < (0.3 if i % 100 < 50 else 0.8), rng.random() < 0.1))
     df = spark.createDataFrame(rows, "domain string, seq bigint, ts_us bigint, ok boolean, default_proxy boolean")
-    got = {r.seq: (r.via_proxy, r.switched) for r in routes.route_switches(df, segment_rows=segment_rows).collect()}
+    got = {r.seq: (r.via_proxy, r.failures, r.switched) for r in routes.route_switches(df).collect()}
+    assert len(got) == len(rows)
     for name in {r[0] for r in rows}:
-        mine = [r for r in rows if r[0] == name]
-        for r, want in zip(mine, brute_routes([(m[2], m[3]) for m in mine], False)):
-            assert got[r[1]] == want
-    assert any(v[1] for v in got.values())
+        state = {}
+        for _, seq, at, ok, default in (r for r in rows if r[0] == name):
+            state, proxy, switched = routes.next_state(state, at, ok, default, 3, routes.HOUR_US)
+            assert got[seq] == (proxy, 3 if switched else state.get("count", 0), switched)
+    assert any(v[2] for v in got.values())
+    islands = routes.with_islands(df, routes.HOUR_US).where("domain = 'd0'").groupBy("island").count().collect()
+    assert len(islands) > (20 if gap > 10**9 else 0)
+
+
+def test_carried_values(spark):
+    rng = random.Random(61)
+    rows = [(i, "hot" if rng.random() < 0.8 else f"g{i % 3}", None if rng.random() < 0.5 else rng.randint(0, 99)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, g string, v int")
+    placed = in_ranges(df, ["id"], ["g"])
+    v = F.col("v")
+    got = {r.id: (r.a, r.b, r.c) for r in carried(placed, ["g"], a=("last", v), b=("max", v), c=("min", v)).collect()}
+    for g in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == g]
+        for k, r in enumerate(mine):
+            ahead, rest = [x[2] for x in mine[:k] if x[2] is not None], [x[2] for x in mine[k:] if x[2] is not None]
+            assert got[r[0]] == (ahead[-1] if ahead else None, max(ahead, default=None), min(rest, default=None))
 
 
 def test_rule_hits_against_brute_force(spark):
@@ -334,3 +353,49 @@ def test_stream_matches_batch(spark):
     batch = catalog.QUERIES["route_switches"](spark, d).select(key).toPandas().sort_values("seq", ignore_index=True)
     stream = catalog.QUERIES["stream_route_switches"](spark, d).select(key).toPandas().sort_values("seq", ignore_index=True)
     pd.testing.assert_frame_equal(batch, stream)
+
+
+def test_route_state_expires(spark, tmp_path):
+    """State rows fall to zero once the holds are over; a domain with open failures keeps its row."""
+    from tidewire.streaming import jobs
+
+    hour, source = routes.HOUR_US, str(tmp_path / "in")
+    fields = "domain string, seq bigint, ts_us bigint, ok boolean, default_proxy boolean"
+    batches = [[("a", k, k * 1_000_000, False, False) for k in range(3)] + [("b", 3, 1_000_000, True, False)],
+               [("a", 5, 1_800_000_000, True, False), ("c", 6, 1_800_000_000, False, False)],
+               [("c", 7, 2 * hour, True, False)], [("d", 8, 4 * hour, True, False)], [("d", 9, 5 * hour, True, False)]]
+    for rows in batches:
+        rows = [(d, n, 1_700_000_000_000_000 + at, ok, default) for d, n, at, ok, default in rows]
+        spark.createDataFrame(rows, fields).coalesce(1).write.mode("append").parquet(source)
+    files = sorted(tmp_path.glob("in/*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    assert len(files) == len(batches)
+    spark.conf.set(jobs.STATE_STORE, jobs.ROCKS)
+    try:
+        stream = jobs.route_switch_stream(jobs.landed(spark, source, "*", fields, files_per_batch=1), late="0 seconds")
+        query = (stream.writeStream.option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True)
+                 .format("parquet").option("path", str(tmp_path / "out")).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(jobs.STATE_STORE)
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    got = {r.seq: (r.via_proxy, r.failures, r.switched) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[2] == (False, 3, True) and got[5] == (True, 0, False) and got[6] == (False, 1, False) and len(got) == 9
+    assert max(kept) >= 2 and kept[-1] == 0
+
+
+def test_history_reads_only_buckets_of_known_keys(spark, tmp_path, monkeypatch):
+    from tidewire.streaming import jobs
+
+    target, touched = str(tmp_path / "seen"), []
+    real = jobs.touched_buckets
+    monkeypatch.setattr(jobs, "touched_buckets", lambda fresh, filters: touched.append(real(fresh, filters)) or touched[-1])
+    write = jobs.append_unseen(target, "url", "seq", buckets=16)
+    frames = [[(k, f"u{k}") for k in range(400)], [(k, f"v{k}") for k in range(40)] + [(99, "u7"), (100, "v3")], [(1, f"w{k % 5}") for k in range(9)]]
+    for number, rows in ((0, frames[0]), (1, frames[1]), (2, frames[2]), (1, frames[1])):      # the second batch is run again
+        write(spark.createDataFrame(rows, "seq bigint, url string"), number)
+    got = spark.read.parquet(target)
+    assert sorted(r.url for r in got.collect()) == sorted(f"{c}{k}" for c, n in (("u", 400), ("v", 40), ("w", 5)) for k in range(n))
+    bucket = got.where("url = 'u7'").first().bucket
+    assert touched == [[bucket], [], [bucket]]
+    files = got.where(F.col("bucket").isin(touched[0]) & (F.col("batch_id") != 1)).select(F.input_file_name().alias("f")).distinct()
+    assert all(f"bucket={bucket}/" in r.f for r in files.collect()) and files.count() < len(got.inputFiles()) / 10

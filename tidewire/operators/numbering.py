@@ -19,6 +19,54 @@ def _as_columns(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def in_ranges(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = ()) -> DataFrame:
+    """The rows in range partitions on (group, order), written once, with `_part` and `_at` (place in it)."""
+    keys = [F.col(c).asc() for c in by]
+    order_cols = _as_columns(order)
+    return cut(
+        df.repartitionByRange(*keys, *order_cols)
+        .sortWithinPartitions(*keys, *order_cols)
+        .withColumn("_at", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(_LOW))
+
+
+def carried(placed: DataFrame, by: Sequence[str], **values: tuple[str, Column]) -> DataFrame:
+    """Add running values over groups of any size that `in_ranges` has spread over partitions.
+
+    Each value is (kind, column): `last` is the last one of the earlier rows that is not
+    null, `max` the largest of the earlier rows, `min` the smallest from the row on. A
+    window sees one partition of a group; one row per (partition, group) carries the rest.
+    """
+    ahead = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    onward = Window.partitionBy("_part", *by).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    parts = Window.partitionBy(*[f"_by_{c}" for c in by]).orderBy("_of")
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*[f"_by_{c}" for c in by]).orderBy(F.desc("_of")).rowsBetween(Window.unboundedPreceding, -1)
+    near, edge, far, both = [], [], [], []
+    for name, (kind, value) in values.items():
+        if kind == "last":
+            near.append(F.last(value, True).over(ahead).alias(f"_near_{name}"))
+            edge.append(F.max_by(value, F.when(value.isNotNull(), F.col("_at"))).alias(name))
+            far.append(F.last(name, True).over(earlier).alias(f"_far_{name}"))
+            both.append(F.coalesce(f"_near_{name}", f"_far_{name}").alias(name))
+        elif kind == "max":
+            near.append(F.max(value).over(ahead).alias(f"_near_{name}"))
+            edge.append(F.max(value).alias(name))
+            far.append(F.max(name).over(earlier).alias(f"_far_{name}"))
+            both.append(F.greatest(f"_near_{name}", f"_far_{name}").alias(name))
+        else:
+            near.append(F.min(value).over(onward).alias(f"_near_{name}"))
+            edge.append(F.min(value).alias(name))
+            far.append(F.min(name).over(later).alias(f"_far_{name}"))
+            both.append(F.least(f"_near_{name}", f"_far_{name}").alias(name))
+    edges = placed.groupBy("_part", *by).agg(*edge).select(
+        F.col("_part").alias("_of"), *[F.col(c).alias(f"_by_{c}") for c in by], *values)
+    edges = edges.select("_of", *[f"_by_{c}" for c in by], *far)
+    rows = placed.select("*", *near)
+    match = [rows["_part"] == edges["_of"]] + [rows[c].eqNullSafe(edges[f"_by_{c}"]) for c in by]
+    return cut(rows.join(edges, match).select(*placed.columns, *both))
+
+
 def number_rows(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (),
                 name: str = "position") -> DataFrame:
     """Add the 1-based position of a row in its group.
@@ -27,13 +75,7 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], by: Sequence[str]
     spreads over many tasks; only one count per (partition, group) is combined.
     `order` must end in a unique key.
     """
-    keys = [F.col(c).asc() for c in by]
-    order_cols = _as_columns(order)
-    placed = cut(
-        df.repartitionByRange(*keys, *order_cols)
-        .sortWithinPartitions(*keys, *order_cols)
-        .withColumn("_at", F.monotonically_increasing_id())
-    ).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(_LOW))
+    placed = in_ranges(df, order, by)
     counts = placed.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", *[F.col(c).alias(f"_by_{c}") for c in by], "_first",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.operators.numbering import ordered_fold
+from tidewire.operators.numbering import carried, in_ranges
 from tidewire.params import DEFAULTS
 
 SWITCHES = T.StructType([
@@ -39,21 +39,48 @@ def next_state(state: dict, at: int, ok: bool, default_proxy: bool, limit: int,
     return {**state, "count": count, "route": proxy}, proxy, False
 
 
+def with_islands(fetches: DataFrame, hold_us: int) -> DataFrame:
+    """Add `island`: the seq of the first fetch of a stretch that no earlier fetch of the domain can influence.
+
+    A success clears the count, and only a third failure in a row can switch. So a stretch
+    begins after a success, where every later fetch is a full hold after any such failure.
+    """
+    placed = in_ranges(fetches, ["seq"], ["domain"])
+    placed = carried(placed, ["domain"], before=("last", F.col("ok")))
+    placed = carried(placed, ["domain"], before2=("last", F.col("before")))
+    third = ~F.col("ok") & ~F.coalesce("before", F.lit(True)) & ~F.coalesce("before2", F.lit(True))
+    placed = carried(placed, ["domain"], risky=("max", F.when(third, F.col("ts_us"))), soonest=("min", F.col("ts_us")))
+    free = F.col("risky").isNull() | (F.col("soonest") - F.col("risky") >= hold_us)
+    begins = F.when(F.coalesce("before", F.lit(True)) & free, F.col("seq"))
+    placed = carried(placed.withColumn("begins", begins), ["domain"], begun=("last", F.col("begins")))
+    return placed.select(*fetches.columns, F.coalesce("begins", "begun").alias("island"))
+
+
 def route_switches(fetches: DataFrame, limit: int = DEFAULTS.failures_to_switch,
-                   hours: int = DEFAULTS.switch_hours, segment_rows: int = 500_000) -> DataFrame:
-    """Route and failure count at every fetch of (domain, seq, ts_us, ok, default_proxy)."""
+                   hours: int = DEFAULTS.switch_hours) -> DataFrame:
+    """Route and failure count at every fetch of (domain, seq, ts_us, ok, default_proxy).
+
+    Domains are folded by islands, so a busy domain is many groups, and rows stream
+    through the fold, so an island of any length needs no memory. `limit` is 3 or more.
+    """
+    if limit < 3:
+        raise ValueError("islands hold for limits from 3")
     hold = hours * HOUR_US
 
-    def fold(rows: pd.DataFrame, state: str):
-        current = json.loads(state) if state else {}
-        made = []
-        for seq, at, ok, default in zip(rows["seq"], rows["ts_us"], rows["ok"], rows["default_proxy"]):
-            current, proxy, switched = next_state(current, int(at), bool(ok), bool(default), limit, hold)
-            made.append((None, seq, at, proxy, limit if switched else current.get("count", 0), switched))
-        return pd.DataFrame(made, columns=SWITCHES.fieldNames()), json.dumps(current)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_island, current = None, {}
+        for rows in batches:
+            made = []
+            for domain, island, seq, at, ok, default in rows.itertuples(index=False):
+                if (domain, island) != at_island:
+                    at_island, current = (domain, island), {}
+                current, proxy, switched = next_state(current, int(at), bool(ok), bool(default), limit, hold)
+                made.append((domain, seq, at, proxy, limit if switched else current.get("count", 0), switched))
+            yield pd.DataFrame(made, columns=SWITCHES.fieldNames())
 
-    return ordered_fold(fetches.select("domain", "seq", "ts_us", "ok", "default_proxy"), ["domain"], ["seq"],
-                        fold, SWITCHES, segment_rows=segment_rows)
+    dealt = with_islands(fetches.select("domain", "seq", "ts_us", "ok", "default_proxy"), hold)
+    return (dealt.select("domain", "island", "seq", "ts_us", "ok", "default_proxy").repartition("domain", "island")
+            .sortWithinPartitions("domain", "island", "seq").mapInPandas(fold, SWITCHES))
 
 
 def route_stats(switches: DataFrame) -> DataFrame:

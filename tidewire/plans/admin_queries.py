@@ -147,6 +147,17 @@ def stream_lookback(spark, d):
     return spark.read.parquet(target)
 
 
+@query("stream_late_rows", """SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN event_id % 50 = 0 THEN 'no_time'
+    WHEN ts >= TIMESTAMP '2024-01-29 00:00:00' THEN 'kept' ELSE 'too_old' END AS outcome FROM events) GROUP BY outcome
+UNION ALL SELECT 'stored', count(*) FROM events WHERE event_id % 50 <> 0 AND ts >= TIMESTAMP '2024-01-29 00:00:00'""")
+def stream_late_rows(spark, d):
+    at = F.when(F.col("event_id") % 50 != 0, F.col("ts").cast("timestamp"))
+    stream = _event_stream(spark, d).select("event_id", at.alias("ts"))
+    target = S.run_available(stream, "stream-late", for_each=S.count_recent("ts", F.expr("timestamp'2024-01-30 00:00:00'")))
+    counts = spark.read.parquet(f"{target}-counts").groupBy("outcome").agg(F.sum("n").alias("n"))
+    return counts.unionByName(spark.read.parquet(target).agg(F.lit("stored").alias("outcome"), F.count("*").alias("n")))
+
+
 @query("stream_route_switches", f"""WITH {ROUTES_SQL} SELECT domain, e.seq AS seq, f.ts_us, e.p AS via_proxy, e.f AS failures, e.s AS switched
 FROM routes JOIN fetches f USING (domain) WHERE f.seq = e.seq""")
 def stream_route_switches(spark, d):
@@ -155,7 +166,7 @@ def stream_route_switches(spark, d):
         F.concat(F.lit("site"), F.col("user_id") % 40, F.lit(".example.com")).alias("domain"), F.col("event_id").alias("seq"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), (~F.col("event_type").isin("error", "signup", "view")).alias("ok"),
         (F.col("user_id") % 40 % 2 == 0).alias("default_proxy"))
-    return spark.read.parquet(S.run_available(S.route_switch_stream(fetches), "stream-routes"))
+    return spark.read.parquet(S.run_available(S.route_switch_stream(fetches), "stream-routes", timers=True))
 
 
 @query("stream_queue_state", f"""WITH {V.QUEUE_SQL} SELECT article_id, max_by(status, seq) AS status,
