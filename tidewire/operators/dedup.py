@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewire.functions.bits import bit_set, may_hold
 from tidewire.functions.simhash import simhash64
 from tidewire.functions.urls import dedup_key
 from tidewire.operators.similar import dropped_by_leaders, near_pairs
@@ -33,6 +36,20 @@ def dedup_by_url(items: DataFrame, order: str, known: DataFrame | None = None, u
     return fresh.join(known.where(F.col(url).isNotNull()).select(url), url, "left_anti")
 
 
+def known_references(stored: DataFrame, keep: Sequence[str] = (), fresh: DataFrame | None = None,
+                     url: str = "url", simhash: str = "simhash") -> DataFrame:
+    """Stored rows that have an address or a hash, those columns alone.
+
+    With `fresh`, only rows whose address or hash may be among the fresh ones: bit sets of
+    the fresh keys thin out the history in its scan, before anything is shuffled. A row
+    that is left may still match nothing; a join decides.
+    """
+    rows = stored.where(F.col(url).isNotNull() | F.col(simhash).isNotNull()).select(*keep, url, simhash)
+    if fresh is None:
+        return rows
+    return rows.where(may_hold(bit_set(fresh, url), F.col(url)) | may_hold(bit_set(fresh, simhash), F.col(simhash)))
+
+
 def body_hashes(items: DataFrame, order: str, text: str) -> DataFrame:
     """(order, simhash) of the rows that have a body, written once."""
     return cut(items.where(F.coalesce(F.col(text), F.lit("")) != "")

@@ -12,7 +12,11 @@ from tidewire.operators.delivery import latest
 from tidewire.plans import views as V
 from tidewire.plans.catalog import query
 from tidewire.plans.daily import daily_run as run_daily
+from tidewire.plans.daily import run_stored
+from tidewire.plans.ingest_queries import GRAMS_SQL, GREEDY_SQL
 from tidewire.plans.views import edge
+from tidewire.runtime import scratch_path
+from tidewire.sources.tables import drop_before, write_months
 from tidewire.streaming import jobs as S
 
 AS_OF = "timestamp_ntz'2024-01-31 00:00:00'"
@@ -274,6 +278,20 @@ def rows_retained(spark, d):
         log.select(F.lit("delivery").alias("kind"), F.col("event_id").alias("id")))
 
 
+@query("months_retained", """SELECT 'articles' AS kind, o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 180 DAY
+UNION ALL SELECT 'delivery', event_id FROM events WHERE ts >= TIMESTAMP '2024-04-10' - INTERVAL 90 DAY""")
+def months_retained(spark, d):
+    """The same rows from tables that are partitioned by month and lose whole months."""
+    parts = []
+    for kind, name, key, at, as_of, days in (("articles", "orders", "o_orderkey", "o_orderdate", "timestamp_ntz'2001-08-01'", 180),
+                                             ("delivery", "events", "event_id", "ts", "timestamp_ntz'2024-04-10'", 90)):
+        path = scratch_path(spark, f"months-{kind}")
+        write_months(V.read(spark, d, name).select(key, at), path, at)
+        drop_before(spark, path, at, F.expr(as_of), days)
+        parts.append(spark.read.parquet(path).select(F.lit(kind).alias("kind"), F.col(key).alias("id")))
+    return parts[0].unionByName(parts[1])
+
+
 @query("rows_toggled", f"""WITH {V.REGISTRY_SQL} SELECT source_id, CASE WHEN source_id % 3 = 0 THEN NOT enabled ELSE enabled END AS flipped,
   CASE WHEN source_id % 3 = 0 THEN false ELSE enabled END AS disabled FROM registry""")
 def rows_toggled(spark, d):
@@ -316,6 +334,24 @@ def table_counts(spark, d):
         ("articles", "orders"), ("items", "lineitem"), ("sources", "supplier"), ("usage", "events"))})
 
 
+DAILY_SQL = GRAMS_SQL + f""", {V.BODIES_SQL}, fresh AS (SELECT url, min(seq) AS seq FROM bodies GROUP BY url),
+  nodes AS (SELECT simhash, min(doc_id) AS seq FROM hashes JOIN fresh ON fresh.seq = doc_id WHERE simhash <> 0 GROUP BY simhash),
+  pairs AS (SELECT a.seq AS a, b.seq AS b FROM nodes a JOIN nodes b ON a.seq < b.seq AND bit_count(xor(a.simhash, b.simhash)) <= 3)""" + GREEDY_SQL
+
+
 @query("daily_run")
 def daily_run(spark, d):
     return run_daily(spark, V.bodies(spark, d), V.responses(spark, d), V.recipients(spark, d))
+
+
+@query("daily_tables", f"""WITH {DAILY_SQL}, ready AS (SELECT seq FROM kept JOIN bodies USING (seq)
+    WHERE length(regexp_replace(regexp_replace(content_text, '^\\s+', ''), '\\s+$', '')) >= 120)
+SELECT 'articles' AS name, seq AS id FROM kept UNION ALL SELECT 'extraction_queue', seq FROM ready""")
+def daily_tables(spark, d):
+    """Articles and queue as two runs of one day have left them: the second finds the day in the manifest."""
+    root = scratch_path(spark, "daily")
+    for _ in range(2):
+        run_stored(spark, root, "2024-01-31", V.bodies(spark, d), V.responses(spark, d), V.recipients(spark, d),
+                   F.expr("timestamp'2024-02-01 06:00:00'"))
+    table = lambda name, key: spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("name"), F.col(key).alias("id"))
+    return table("articles", "seq").unionByName(table("extraction_queue", "article_id"))

@@ -74,12 +74,6 @@ def source_lookup(spark, d):
     return R.lookup(V.read(spark, d, "supplier"), "s_suppkey", 7).select("s_suppkey", "s_name")
 
 
-@query("known_references", "SELECT doc_id, concat('https://news.example.com/', doc_id // 2) AS url FROM documents WHERE doc_id % 3 <> 0")
-def known_references(spark, d):
-    return V.read(spark, d, "documents").where("doc_id % 3 <> 0").select(
-        "doc_id", F.concat(F.lit("https://news.example.com/"), F.expr("doc_id DIV 2")).alias("url"))
-
-
 @query("seed_counts", f"""WITH {V.RECIPIENTS_SQL}, have AS (SELECT DISTINCT lower(trim(email)) AS email FROM recipients WHERE seq % 2 = 0)
 SELECT count(DISTINCT email) FILTER (WHERE email NOT IN (SELECT email FROM have)) AS inserted,
        count(*) - count(DISTINCT email) FILTER (WHERE email NOT IN (SELECT email FROM have)) AS skipped FROM recipients""")
@@ -109,6 +103,36 @@ GRAMS_SQL = r"""w AS (SELECT doc_id, coalesce(array_to_string(regexp_extract_all
              FROM votes GROUP BY doc_id)"""
 
 
+REFERENCES_SQL = GRAMS_SQL + """, refs AS (SELECT d.doc_id, CASE WHEN d.doc_id % 3 <> 0 THEN concat('https://news.example.com/', d.doc_id // 2) END AS url,
+  CASE WHEN d.doc_id % 2 = 0 THEN h.simhash END AS simhash FROM documents d LEFT JOIN hashes h USING (doc_id))"""
+
+
+def _references(spark, d):
+    """Stored articles of which some have no address and some no hash yet."""
+    hashed = F.when((F.col("doc_id") % 2 == 0) & (F.col("text") != ""), simhash64(F.col("text")))
+    return V.read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.concat(
+        F.lit("https://news.example.com/"), F.expr("doc_id DIV 2"))).alias("url"), hashed.alias("simhash"))
+
+
+@query("known_references", f"WITH {REFERENCES_SQL} SELECT doc_id, url, simhash FROM refs WHERE url IS NOT NULL OR simhash IS NOT NULL")
+def known_references(spark, d):
+    return D.known_references(_references(spark, d), ["doc_id"])
+
+
+@query("known_matches", f"""WITH {REFERENCES_SQL}, fresh AS (SELECT doc_id AS seq, concat('https://news.example.com/', doc_id * 3) AS url, simhash
+  FROM documents JOIN hashes USING (doc_id))
+SELECT f.seq, EXISTS (SELECT 1 FROM refs r WHERE r.url = f.url) AS url_known, EXISTS (SELECT 1 FROM refs r WHERE r.simhash = f.simhash) AS body_known FROM fresh f""")
+def known_matches(spark, d):
+    """Which fresh rows the store has already, by address or by body."""
+    fresh = cut(V.read(spark, d, "documents").where("text <> ''").select(
+        F.col("doc_id").alias("seq"), F.concat(F.lit("https://news.example.com/"), F.col("doc_id") * 3).alias("url"),
+        simhash64(F.col("text")).alias("simhash")))
+    known = cut(D.known_references(_references(spark, d), fresh=fresh))
+    flag = lambda c: known.where(F.col(c).isNotNull()).select(c).distinct().withColumn(f"_{c}", F.lit(True))     # noqa: E731
+    return fresh.join(flag("url"), "url", "left").join(flag("simhash"), "simhash", "left").select(
+        "seq", F.coalesce("_url", F.lit(False)).alias("url_known"), F.coalesce("_simhash", F.lit(False)).alias("body_known"))
+
+
 @query("simhash_docs", f"WITH {GRAMS_SQL} SELECT doc_id, simhash FROM hashes")
 def simhash_docs(spark, d):
     docs = V.read(spark, d, "documents").where("text <> ''")

@@ -30,6 +30,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there such a file or folder, on whatever file system the path names?"""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared scratch folder and go on from the table.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.runtime import cut
 
 TABLES = {
     "sources": "source_id BIGINT, source_name STRING, type STRING, url STRING, enabled BOOLEAN, concurrency INT,"
@@ -47,3 +50,35 @@ def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Rewrite only the partitions present in `df`; others stay."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
+
+
+def write_months(df: DataFrame, path: str, at: str) -> None:
+    """Append rows to a table partitioned by the month of `at`; rows without a time have a partition of their own."""
+    append(df.withColumn("month", F.date_format(at, "yyyy-MM")), path, ["month"])
+
+
+def drop_before(spark: SparkSession, path: str, at: str, as_of: Column, days: int) -> tuple[list[str], str | None]:
+    """Drop the rows of a month-partitioned table whose time is more than `days` before `as_of`.
+
+    Months that lie wholly before go as folders, without being read; only the month in
+    which the limit falls is rewritten. Rows without a time stay, as they would under
+    DELETE. Returns the months dropped and the month rewritten.
+    """
+    limit = spark.range(1).select((as_of - F.expr(f"INTERVAL {days} DAYS")).alias("t")).select(
+        F.date_format("t", "yyyy-MM").alias("month"), F.col("t")).first()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    months = {s.getPath().getName().removeprefix("month="): s.getPath() for s in fs.listStatus(folder)
+              if s.isDirectory() and s.getPath().getName().startswith("month=") and s.getPath().getName()[6:7].isdigit()}
+    gone = sorted(m for m in months if m < limit["month"])
+    for month in gone:
+        fs.delete(months[month], True)
+    if limit["month"] not in months:
+        return gone, None
+    edge = spark.read.parquet(path).where((F.col("month") == limit["month"]) & (F.col(at) >= F.lit(limit["t"])))
+    kept = cut(edge)
+    if kept.isEmpty():
+        fs.delete(months[limit["month"]], True)
+    else:
+        replace_partitions(kept, path, ["month"])
+    return gone, limit["month"]

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewire.operators.routes import HOUR_US, SWITCHES, next_state
 from tidewire.params import DEFAULTS
-from tidewire.runtime import cut, scratch_path
+from tidewire.runtime import cut, exists, scratch_path
 
 
 def landed(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -33,11 +33,6 @@ def first_seen(stream: DataFrame, key: list[str], at: str, hours: int = DEFAULTS
     return stream.withWatermark(at, f"{hours} hours").dropDuplicatesWithinWatermark(key)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 SEEN_BUCKETS = 64
 FILTER_BITS = 32768      # of one bucket; a bitmap of 4 kB
 
