@@ -140,6 +140,36 @@ def test_merge_facts(spark, segment_rows):
     assert got == want and len(want) < 120
 
 
+def test_merge_fold_is_linear():
+    """A component of one clique with many repeats against the plain rule, and its time at two sizes."""
+    import json
+    import time
+
+    import numpy as np
+
+    rng = random.Random(12)
+
+    def made(n):
+        nodes = [rng.randrange(40) for _ in range(n)]
+        return pd.DataFrame({"item": range(n), "node": nodes, "confidence": [rng.randint(0, 9) / 10 for _ in range(n)],
+                             "near": [np.array([x for x in range(40) if x != v and (x + v) % 3]) for v in nodes]})
+
+    rows = made(2000)
+    kept = []
+    for item, node, conf, near in rows.itertuples(index=False):
+        match = next((k for k in kept if k[1] == node or k[1] in near), None)
+        if match is None or conf > match[2]:
+            if match:
+                kept.remove(match)
+            kept.append([item, node, conf])
+    half, state = facts._merge_fold(rows[:700], "")
+    assert json.loads(facts._merge_fold(rows[700:], state)[1]) == kept and half is None
+    many = pd.DataFrame({"item": range(100_000), "node": range(100_000), "confidence": 0.5, "near": [np.array([], dtype=int)] * 100_000})
+    start = time.time()
+    facts._merge_fold(many, "")
+    assert time.time() - start < 5
+
+
 def test_merge_fixture(spark):
     df = spark.createDataFrame([
         (1, 0, "公司发布了新产品", 0.6, "国内", "未知"), (1, 1, "公司发布了新产品", 0.9, "国内", "金融经济"), (1, 2, "央行宣布降息", 0.7, "未知", "金融经济")],

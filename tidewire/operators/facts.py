@@ -91,17 +91,26 @@ KEPT = T.StructType([
 
 
 def _merge_fold(rows: pd.DataFrame, state: str) -> tuple[None, str]:
-    """Arrival-order merge of one similarity component; the state is the kept list."""
-    kept = json.loads(state) if state else []
-    for item, node, conf, near in zip(rows["item"], rows["node"], rows["confidence"], rows["near"]):
-        near_nodes = set(near) | {node}
-        match = next((k for k in kept if k[1] in near_nodes), None)
-        if match is None:
-            kept.append([int(item), int(node), float(conf)])
-        elif conf > match[2]:
-            kept.remove(match)
-            kept.append([int(item), int(node), float(conf)])
-    return None, json.dumps(kept)
+    """Arrival-order merge of one similarity component; the state is the kept list.
+
+    An index from node to the kept facts of that node finds the earliest kept fact that
+    is near, so a fact costs as many steps as its node has neighbours.
+    """
+    kept = dict(enumerate(json.loads(state) if state else []))
+    of_node: dict[int, list[int]] = {}
+    for place, fact in kept.items():
+        of_node.setdefault(fact[1], []).append(place)
+    place = len(kept)
+    for item, node, conf, near in zip(rows["item"].tolist(), rows["node"].tolist(), rows["confidence"].tolist(), rows["near"]):
+        match = min((of_node[n][0] for n in (node, *near.tolist()) if of_node.get(n)), default=None)
+        if match is not None:
+            if conf <= kept[match][2]:
+                continue
+            of_node[kept.pop(match)[1]].remove(match)
+        kept[place] = [item, node, conf]
+        of_node.setdefault(node, []).append(place)
+        place += 1
+    return None, json.dumps(list(kept.values()))
 
 
 def _merge_result(state: str) -> pd.DataFrame:
