@@ -184,6 +184,14 @@ def stream_queue_state(spark, d):
     return edge(spark.read.parquet(target))
 
 
+@query("stream_queue_rows", f"WITH {V.QUEUE_SQL} SELECT article_id, status, priority, attempts, last_error, started_at, finished_at FROM queue")
+def stream_queue_rows(spark, d):
+    """The whole queue row from a stream: its parts are aggregates that need no order, so the batch form runs as it is."""
+    rows = Q.queue_state(V.queue_events(spark, d, _event_stream(spark, d)))
+    target = S.run_available(rows, "stream-queue-rows", for_each=S.replace_result, mode="complete")
+    return edge(spark.read.parquet(target))
+
+
 # ---- rules ----
 
 RULES_SQL = """watch AS (SELECT s_suppkey AS rule_id, CASE WHEN s_suppkey % 2 = 0 THEN 'keyword' ELSE 'source' END AS type,

@@ -256,8 +256,8 @@ DELIVERY_SQL = """delivery AS (
 
 # ---- queue events ----
 
-def queue_events(spark, d):
-    return read(spark, d, "events").select(
+def queue_events(spark, d, events=None):
+    return (read(spark, d, "events") if events is None else events).select(
         F.col("user_id").alias("article_id"), F.col("event_id").alias("seq"), F.col("ts"),
         F.expr("CASE event_type WHEN 'view' THEN 'queued' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END").alias("status"),
         F.expr("CASE WHEN event_type = 'error' THEN concat('error ', event_id) END").alias("error"),
