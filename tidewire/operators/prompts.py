@@ -72,12 +72,12 @@ def plan_section_prompts(items: DataFrame, by: Sequence[str], tie: Sequence[str]
 
     A section whose whole prompt fits the token budget is one prompt, any other
     is cut in blocks of a fixed number of items. The estimate is a sum of
-    per-item counts, so no section text is built to measure it.
+    per-item counts, so no section text is built to measure it; counts alone are
+    ranked, and texts join their place at the end. `tie` is unique in a section.
     """
-    ranked = number_rows(items, [F.col("score").desc(), *tie], by, "rank")
-    line = item_line(F.col("rank"))
-    sized = ranked.withColumn("_cjk", cjk_count(line)).withColumn(
-        "_words", word_count(F.regexp_replace(line, CJK, "")))
+    line = item_line(F.lit(1))           # the number of an item is one word, whatever it is
+    sizes = items.select(*by, *tie, "score", cjk_count(line).alias("_cjk"), word_count(F.regexp_replace(line, CJK, "")).alias("_words"))
+    sized = number_rows(sizes, [F.col("score").desc(), *tie], by, "rank")
     frame = _template_text(template, F.col("items"))
     totals = (
         sized.groupBy(*by).agg(F.count("*").alias("items"), F.sum("_cjk").alias("c"), F.sum("_words").alias("w"))
@@ -86,10 +86,11 @@ def plan_section_prompts(items: DataFrame, by: Sequence[str], tie: Sequence[str]
         .drop("c", "w"))
     fits = F.col("section_tokens") <= params.token_budget
     block = F.floor((F.col("rank") - 1) / params.prompt_block_items)
-    return (sized.drop("_cjk", "_words").join(totals, list(by))
-            .withColumn("block", F.when(fits, F.lit(0)).otherwise(block).cast("bigint"))
-            .withColumn("line_no", F.when(fits, F.col("rank"))
-                        .otherwise((F.col("rank") - 1) % params.prompt_block_items + 1)))
+    planned = (sized.drop("_cjk", "_words", "score").join(totals, list(by))
+               .withColumn("block", F.when(fits, F.lit(0)).otherwise(block).cast("bigint"))
+               .withColumn("line_no", F.when(fits, F.col("rank"))
+                           .otherwise((F.col("rank") - 1) % params.prompt_block_items + 1)))
+    return items.join(planned, [*by, *tie])
 
 
 def section_prompts(planned: DataFrame, by: Sequence[str], template: str = SECTION_TEMPLATE) -> DataFrame:
@@ -143,10 +144,10 @@ def pack_by_tokens(items: DataFrame, by: Sequence[str], tie: Sequence[str] = ("i
     Each segment is reduced to how it changes the open block, those few steps
     are chained per section, and every segment is then packed on its own.
     """
-    ranked = number_rows(items, [F.col("score").desc(), *tie], by, "rank")
     keys = list(by)
-    lean = cut(ranked.select(*keys, "rank", mixed_tokens(item_line(F.lit(1))).alias("tokens"),
-                             F.floor((F.col("rank") - 1) / segment_rows).cast("bigint").alias("segment")))
+    sizes = items.select(*keys, *tie, "score", mixed_tokens(item_line(F.lit(1))).alias("tokens"))
+    ranked = cut(number_rows(sizes, [F.col("score").desc(), *tie], by, "rank").drop("score"))
+    lean = ranked.select(*keys, "rank", "tokens", F.floor((F.col("rank") - 1) / segment_rows).cast("bigint").alias("segment"))
     key_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.schema.fields if f.name in keys)
     effect = _segment_map(target)
 
@@ -193,4 +194,4 @@ def pack_by_tokens(items: DataFrame, by: Sequence[str], tie: Sequence[str] = ("i
         started = lean.join(entry, [*keys, "segment"])
     placed = (by_key(started, *keys, "segment").groupBy(*keys, "segment")
               .applyInPandas(assign, f"{key_type}, rank bigint, tokens bigint, block bigint"))
-    return ranked.join(placed, [*keys, "rank"])
+    return items.join(ranked.drop("tokens").join(placed, [*keys, "rank"]), [*keys, *tie])
