@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,7 +157,7 @@ def _span_features(span: str, tokens: list[str], before: str, after: str) -> lis
 @dataclass
 class Window:
     """Tokens of a window and its candidate segments, as flat arrays."""
-    bounds: list[tuple[int, int]]
+    bounds: Sequence         # (start, end) of every token
     place: np.ndarray        # (segments, 2): end token, length - 1
     entity: np.ndarray       # is the segment an entity
     sizes: np.ndarray        # its number of features
@@ -480,7 +481,7 @@ def _packed(text):
 
 def _unpacked(row) -> Example:
     array = lambda n, kind: np.frombuffer(bytes(row[n]), dtype=kind)      # noqa: E731
-    window = Window([(int(a), int(b)) for a, b in array("bounds", np.int32).reshape(-1, 2)], array("place", np.int32).reshape(-1, 2),
+    window = Window(array("bounds", np.int32).reshape(-1, 2), array("place", np.int32).reshape(-1, 2),
                     array("entity", bool), array("sizes", np.int32), array("features", np.uint16))
     return Example(window, array("kinds", np.int8), array("moves", np.int32).reshape(len(TYPES), -1))
 
