@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.llm.catalog import query, table
+from tidewire.llm.common import lowest_hashes
 from tidewire.runtime import cut
 
 SAMPLE = 4096            # bound of the sample that pivots are picked from
@@ -129,7 +130,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     n, m = indexed.count(), asked.count()
     schema = "query_id bigint, vec_id bigint, score double"
     shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(m / BLOCK_QUERIES))
-    sample = indexed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    hashed = indexed.withColumn("_h", F.xxhash64("vec_id")).where(F.col("_h") <= lowest_hashes(2 * SAMPLE, n))
+    sample = hashed.orderBy("_h", "vec_id").limit(SAMPLE).collect()
     points = spread_out(np.array([r["embedding"] for r in sample]), pivots)
     depth = min(depth, len(points))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.catalog import query, table
-from tidewire.llm.common import map_rows
+from tidewire.llm.common import lowest_hashes, map_rows
 
 SAMPLE_PAGES = 400
 SAMPLE_CHARS = 200_000       # longer pages are not used for training
@@ -335,8 +335,10 @@ def main_texts(pages: list[str | None], model: Model) -> list[str]:
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Model:
     """Train on a bounded sample of the pages, chosen by a hash of the page."""
-    rows = (pages.select(F.col("page_id"), F.col("html").cast("string").alias("html"))
-            .where(F.char_length("html").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("page_id"), "page_id")
+    usable = (pages.select(F.xxhash64("page_id").alias("h"), F.col("page_id"), F.col("html").cast("string").alias("html"))
+              .where(F.char_length("html").between(1, SAMPLE_CHARS)))
+    # a share of the hashes first, so that a task sends a few pages and not a sample of its own
+    rows = (usable.where(F.col("h") <= lowest_hashes(4 * sample, usable.count())).orderBy("h", "page_id")
             .limit(sample).select("html").collect())
     return train([r["html"] for r in rows])
 
