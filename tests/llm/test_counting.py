@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from test_llm import ODD, WORDS, clashing, documents, prose
 
-from tidewire.llm import groupjoin, lines, minhash, phrases, runs
+from tidewire.llm import bpe, groupjoin, lines, minhash, phrases, runs, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -238,3 +238,26 @@ def test_lines_with_clashing_names_long_texts_and_repeats(spark):
     got = {r["doc_id"]: r for r in out.collect()}
     assert out.count() == len(rows) and all(r["_bad"] == 7 and r["a.b"] == 7 for r in got.values())
     assert all("footer" not in r["text"] for r in got.values()) and got[7]["text"].endswith("\nend") and got[3]["text"].startswith("only 3\n")
+
+
+# ---- byte pairs -------------------------------------------------------------------------------------------------
+
+def test_long_words_merge_as_short_ones(monkeypatch):
+    import time
+
+    from tokenizers import Tokenizer
+
+    path, rng = words.vocabulary("word_bpe_49k.json"), random.Random(57)
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (1, 2, 30, 300, 3000) for letters in ("aab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz")]
+    texts += ["e" * 2000, "the" * 900, "x" * 257 + " end"]
+    for limit in (bpe.LONG_FRAGMENT, 0):
+        monkeypatch.setattr(bpe, "LONG_FRAGMENT", limit)
+        own = bpe.ForcedBoundaryBpe(path)
+        for t in texts:
+            assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "LONG_FRAGMENT", 256)
+    start = time.time()
+    assert bpe.ForcedBoundaryBpe(path).encode("".join(rng.choice("etaoinshrdlu") for _ in range(200_000)))
+    assert time.time() - start < 20

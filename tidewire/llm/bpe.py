@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,7 @@ from tidewire.llm.common import documents_like, map_rows
 
 MEMO_FRAGMENTS = 300_000
 NO_MERGE = (1 << 40, 0)
+LONG_FRAGMENT = 256      # characters from which a heap is faster than a scan
 
 
 class ForcedBoundaryBpe:
@@ -78,6 +80,8 @@ class ForcedBoundaryBpe:
         ids = [vocab[c] for c in fragment]
         if closing and self.end:
             ids[-1] = vocab[fragment[-1] + self.end]
+        if len(ids) > LONG_FRAGMENT:
+            return self._merge_long(ids)
         steps = [find(p, NO_MERGE) for p in zip(ids, ids[1:])]
         while steps:
             best = min(steps)
@@ -92,6 +96,26 @@ class ForcedBoundaryBpe:
                 steps[at] = find((ids[at], ids[at + 1]), NO_MERGE)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges from a heap over linked neighbours: n log n for a word without end."""
+        n, find = len(ids), self.merge.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*step, at, ids[at], ids[at + 1]) for at in range(n - 1) if (step := find((ids[at], ids[at + 1])))]
+        heapify(heap)
+        while heap:
+            _, made, at, left, right = heappop(heap)
+            nxt = after[at]
+            if ids[at] != left or nxt >= n or ids[nxt] != right:
+                continue                     # one of the two has been merged already
+            ids[at], ids[nxt], after[at] = made, -1, after[nxt]
+            if after[at] < n:
+                before[after[at]] = at
+                if step := find((made, ids[after[at]])):
+                    heappush(heap, (*step, at, made, ids[after[at]]))
+            if before[at] >= 0 and (step := find((ids[before[at]], made))):
+                heappush(heap, (*step, before[at], ids[before[at]], made))
+        return [i for i in ids if i >= 0]
+
     def _piece(self, piece: str) -> list[int]:
         cut, known, ids = self.fragments(piece), self._fragments, []
         for at, fragment in enumerate(cut):
