@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.catalog import query, table
-from tidewire.llm.common import documents_like, map_rows
+from tidewire.llm.common import all_pairs_sql, documents_like, map_rows
 from tidewire.runtime import cut
 
 WORDS = 5
@@ -372,6 +372,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-@query("op3_minhash")
+@query("op3_minhash", all_pairs_sql(WORDS, PERCENT, "doc_id, n_shingles, component_id, doc_id = component_id AS kept"))
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -291,7 +291,9 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, file_ids: int = FILE
         if doc_ids:
             yield close()
 
-    ordered = (docs.select(*documents_like()).repartitionByRange(F.col("doc_id"))
+    # a count of its own, so that adaptive execution does not merge the costliest step into a few tasks
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (docs.select(*documents_like()).repartitionByRange(parts, "doc_id", "text")
                .sortWithinPartitions("doc_id", "text"))
     return cut(ordered.mapInArrow(run, fields))
 
