@@ -4,15 +4,16 @@ Every text becomes the set of its four-word shingles (64-bit hashes); equal sets
 class. Two classes link when they share 85 % of their union.
 
 1. Prefixes. In one order of all tokens, two linked sets share a token among the first
-   n - ceil(0.85 n) + 1 of each. The order is that of the hashes, with frequent tokens last:
-   tokens that stand in more than `HOT` prefixes are found in `ROUNDS` passes and kept in a
-   bitmap of fixed size. Any order is right; this one keeps tokens that a third of all texts
-   share out of prefixes. Classes that share no token of their prefix are done.
+   p = n - ceil(0.85 n) + 1 of each, and k + 1 tokens among the first p + k. Prefixes are half
+   as long again as p, so a few tokens in common, as of a shared passage, are not enough. The
+   order is that of the hashes, with frequent tokens last: those in more than `HOT` prefixes
+   are kept in a bitmap of fixed size. Any order is right; this one keeps tokens that a third
+   of all texts share out of prefixes. Classes that share no token of their prefix are done.
 2. Groups. The other classes are numbered in the order of their smallest hashes, so that
    similar ones stand together, and every `GROUP` in a row are a group. The token-group
    matrix has a row for each (token of a member's prefix, group).
-3. A class asks the groups up to its own that share a token of its prefix and hold a set of
-   fitting size. There its overlap with the union of the group's tokens bounds that with any
+3. A class asks the groups up to its own that share enough tokens of its prefix and hold a set
+   of fitting size. There its overlap with the union of the group's tokens bounds that with any
    member; only a group whose bound reaches 0.85 n is opened, and its members are counted on
    full sets. A class links with one member of each part of a group that already hangs
    together, so a family of any size gives no list of all its pairs.
@@ -30,16 +31,18 @@ hashed whole. An empty table gives no rows. Columns other than `doc_id` and `tex
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tidewire.llm.catalog import query, table
-from tidewire.llm.common import documents_like, map_rows
+from tidewire.llm.common import all_pairs_sql, documents_like, map_rows
 from tidewire.llm.grams import Bits, collected_bits
-from tidewire.llm.minhash import components, shingle_sets
+from tidewire.llm.minhash import _Q, _mixed, components
 from tidewire.operators.numbering import number_rows
 from tidewire.runtime import cut
 
@@ -47,10 +50,8 @@ WORDS = 4
 PERCENT = 85             # least similarity, in hundredths
 GROUP = 64               # classes of a group
 HOT = 256                # prefixes that hold a token before it is frequent
-ROUNDS = 2
 BITS = 27
 PORTION = 4096           # classes that ask a group in one go
-_MINIMA = np.random.default_rng(40).integers(1, 1 << 63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _least(n: int) -> int:
@@ -58,80 +59,124 @@ def _least(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def _extra(n: int) -> int:
+    """Tokens that the prefix of a set of n holds beyond the shortest sound one."""
+    return (n - _least(n) + 1) // 2
+
+
+def _more(n: Column) -> Column:
+    """The same as a column."""
+    return F.floor((n - F.floor((PERCENT * n + 99) / 100) + 1) / 2)
+
+
+class _Words(dict):
+    """64-bit hashes of words, remembered up to a number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxh64_intdigest(word)
+        if len(self) < 400_000:
+            self[word] = value
+        return value
+
+
+_words = _Words()
+
+
+def token_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text."""
+    out: list[np.ndarray] = []
+    for start in range(0, len(texts), 500):
+        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts[start:start + 500]]
+        first = np.cumsum([0] + [len(w) for w in words])
+        word = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=first[-1])
+        with np.errstate(over="ignore"):
+            n = max(0, len(word) - WORDS + 1)
+            shingle = word[:n].copy()
+            for k in range(1, WORDS):
+                shingle = shingle * _Q + word[k:k + n]
+            shingle = _mixed(shingle)
+            for a, b in zip(first.tolist(), first[1:].tolist()):
+                if b - a >= WORDS:
+                    each = np.sort(shingle[a:b - WORDS + 1])
+                    fresh = np.ones(len(each), dtype=bool)
+                    np.not_equal(each[1:], each[:-1], out=fresh[1:])
+                    out.append(each[fresh])
+                else:
+                    whole = np.array([b - a], dtype=np.uint64)
+                    for w in word[a:b]:
+                        whole = whole * _Q + w
+                    out.append(_mixed(whole) if b > a else word[:0])
+    return out
+
+
 def _key(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
 def _prefix(tokens: np.ndarray, hot: Bits | None) -> np.ndarray:
     size = len(tokens) - _least(len(tokens)) + 1
+    size += size // 2
     if hot is None or not len(tokens):
         return tokens[:size]
     last = hot.has(tokens)
-    return np.concatenate([tokens[~last], tokens[last]])[:size]
+    return np.concatenate([tokens[~last], tokens[last]])[:size] if last.any() else tokens[:size]
 
 
 def classed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for empty sets), low (a few minima) of every row."""
+    """doc_id, n_shingles, set_key (null for empty sets), low (the smallest hashes) of every row."""
     def run(doc_id, text):
-        sets = shingle_sets(text, WORDS)
-        with np.errstate(over="ignore"):
-            low = [[int(x) for x in (s[None] * _MINIMA[:, None]).min(axis=1).view(np.int64)] if len(s) else None for s in sets]
+        sets = token_sets(text)
+        low = [s[:3].view(np.int64).tolist() if len(s) else None for s in sets]
         return {"doc_id": doc_id, "n_shingles": [len(s) for s in sets], "set_key": [_key(s) for s in sets], "low": low}
     return map_rows(docs, ["doc_id", "text"], run, "doc_id bigint, n_shingles bigint, set_key binary, low array<bigint>")
 
 
-def _hot_tokens(docs: DataFrame, before: bytes | None, hot: bytes | None) -> DataFrame:
-    """token: those in more than `HOT` prefixes by the order of `hot`; only prefixes that `hot` changed count."""
-    send = docs.sparkSession.sparkContext.broadcast((before, hot))
-
-    def run(text):
-        old, new = (Bits(b) if b is not None else None for b in send.value)
-        found = [np.zeros(0, np.uint64)]
-        for s in shingle_sets(text, WORDS):
-            tokens = _prefix(s, new)
-            found.append(tokens if new is None else np.setdiff1d(tokens, _prefix(s, old), assume_unique=True))
-        token, c = np.unique(np.concatenate(found), return_counts=True)
-        return {"token": token.view(np.int64), "c": c}
-
-    counts = map_rows(docs, ["text"], run, "token bigint, c bigint")
-    return counts.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") > HOT).select("token")
-
-
 def _bit() -> Column:
     return (F.shiftrightunsigned("token", 64 - BITS) + 1).alias("bit")
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """token, set_key of the prefix tokens that may stand in prefixes of several classes."""
-    hot, before, found = None, None, None
-    for _ in range(ROUNDS):
-        more = cut(_hot_tokens(docs, before, hot))
-        found = more if found is None else found.union(more)
-        before, hot = hot, collected_bits(found.select(_bit()), BITS)
+    """token, set_key of the prefix tokens that may stand in prefixes of several classes, for classes with enough of them."""
     context = docs.sparkSession.sparkContext
-    send = context.broadcast(hot)
 
-    def first(text):
-        order, token, key = Bits(send.value), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for s in shingle_sets(text, WORDS):
+    def plain(text):
+        token, key = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for s in token_sets(text):
             if len(s):
-                token.append(_prefix(s, order))
+                token.append(_prefix(s, None))
                 key.append(np.full(len(token[-1]), np.frombuffer(_key(s)[:8], np.int64)[0]))
         return {"token": np.concatenate(token).view(np.int64), "k": np.concatenate(key)}
 
-    seen = map_rows(docs, ["text"], first, "token bigint, k bigint").groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b"))
-    shared = context.broadcast(collected_bits(seen.where("a <> b").select(_bit()), BITS))
-
-    def second(text):
-        order, several, token, key = Bits(send.value), Bits(shared.value), [np.zeros(0, np.uint64)], []
-        for s in shingle_sets(text, WORDS):
-            if len(s):
-                t = _prefix(s, order)
-                token.append(t[several.has(t)])
-                key += [_key(s)] * len(token[-1])
+    # one count tells the frequent tokens and those of several classes
+    seen = map_rows(docs, ["text"], plain, "token bigint, k bigint").groupBy("token").agg(
+        F.count("*").alias("c"), F.min("k").alias("a"), F.max("k").alias("b"))
+    seen = cut(seen.where((F.col("c") > HOT) | (F.col("a") != F.col("b"))))
+    hot = context.broadcast(collected_bits(seen.where(F.col("c") > HOT).select(_bit()), BITS))
+
+    def moved(text):
+        """Tokens that come into a prefix because frequent ones have left it."""
+        order, token = Bits(hot.value), [np.zeros(0, np.uint64)]
+        for s in token_sets(text):
+            before = _prefix(s, None)
+            if order.has(before).any():
+                token.append(np.setdiff1d(_prefix(s, order), before, assume_unique=True))
+        return {"token": np.unique(np.concatenate(token)).view(np.int64)}
+
+    more = map_rows(docs, ["text"], moved, "token bigint")
+    shared = context.broadcast(collected_bits(seen.where("a <> b").select(_bit()).union(more.select(_bit())), BITS))
+
+    def posted(text):
+        order, several, token, key = Bits(hot.value), Bits(shared.value), [np.zeros(0, np.uint64)], []
+        for s in token_sets(text):
+            t = _prefix(s, order)
+            t = t[several.has(t)]
+            # a partner is no smaller than 0.85 n, so a class with fewer shared tokens than that one's share has none
+            if len(t) > _extra(_least(len(s))):
+                token.append(t)
+                key += [_key(s)] * len(t)
         return {"token": np.concatenate(token).view(np.int64), "set_key": key}
 
-    return map_rows(docs, ["text"], second, "token bigint, set_key binary").distinct()
+    return map_rows(docs, ["text"], posted, "token bigint, set_key binary").distinct()
 
 
 def _parts(near: np.ndarray) -> np.ndarray:
@@ -147,10 +192,9 @@ def _parts(near: np.ndarray) -> np.ndarray:
 class _Group:
     """Members of a group: their tokens as rows of a matrix over the union."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        order = np.argsort(ids)
-        sets = shingle_sets([texts[k] for k in order], WORDS)
-        self.ids = np.array(ids)[order]
+    def __init__(self, texts: dict[int, str]):
+        self.ids = np.array(sorted(texts))
+        sets = token_sets([texts[k] for k in self.ids.tolist()])
         self.sizes = np.array([len(s) for s in sets])
         self.union = np.unique(np.concatenate(sets))
         self.holds = np.zeros((len(self.union), len(sets)), dtype=np.uint8)
@@ -187,20 +231,19 @@ class _Group:
 def _opened(asked: DataFrame) -> DataFrame:
     """a, b: links found by the rows (grp, portion, member, node, text), members first in each (grp, portion)."""
     def run(batches):
-        held, group, at = ([], []), None, None
+        held, group, at = {}, None, None
         for batch in batches:
             a, b = [], []
             rows = [batch.column(c).to_pylist() for c in ("grp", "portion", "asks", "node", "text")]
-            fresh = iter(shingle_sets([t for t, asks in zip(rows[4], rows[2]) if asks], WORDS))
+            fresh = iter(token_sets([t for t, asks in zip(rows[4], rows[2]) if asks]))
             for grp, portion, asks, node, text in zip(*rows):
                 if (grp, portion) != at:
-                    at, held, group = (grp, portion), ([], []), None
+                    at, held, group = (grp, portion), {}, None
                 if not asks:
-                    held[0].append(node)
-                    held[1].append(text)
+                    held[node] = text
                     continue
                 if group is None:
-                    group = _Group(*held)
+                    group = _Group(held)
                     inside = group.inside()
                     a += [x for x, _ in inside]
                     b += [y for _, y in inside]
@@ -224,18 +267,27 @@ def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = matrix.select(F.col("token"), F.col("grp").alias("at"), "least", "most")
     fits = (F.col("at") <= F.col("grp")) & (100 * F.col("most") >= PERCENT * F.col("n")) & (
         PERCENT * F.col("least") <= 100 * F.col("n"))
-    asked = cut(rows.join(groups, "token").where(fits).select("node", "at").distinct())
-
-    keyed = docs.join(numbered.select("doc_id", "set_key", "node", "grp"), "doc_id")
-
-    def matching(set_key, node, grp, text):
-        right = [_key(s) == k for s, k in zip(shingle_sets(text, WORDS), set_key)]
-        keep = [i for i, r in enumerate(right) if r]
-        return {"node": [node[i] for i in keep], "grp": [grp[i] for i in keep], "text": [text[i] for i in keep]}
-
-    # a doc_id may have several texts and repeated rows; one row of the class's own set stays
-    texts = cut(map_rows(keyed, ["set_key", "node", "grp", "text"], matching, "node bigint, grp bigint, text string")
-                .dropDuplicates(["node"]))
+    met = rows.join(groups, "token").where(fits).groupBy("node", "at").agg(
+        F.count("*").alias("common"), F.min("least").alias("least"), F.first("n").alias("n"))
+    enough = F.least(_more(F.col("n")), _more(F.col("least"))) < F.col("common")
+    asked = cut(met.where(enough).select("node", "at"))
+
+    opened = asked.select(F.col("at").alias("grp")).distinct()
+    wanted = asked.select("node").union(numbered.join(opened, "grp").select("node")).distinct()
+    keyed = docs.join(numbered.join(wanted, "node").select("doc_id", "set_key", "node", "grp"), "doc_id")
+
+    # a doc_id may have several texts and repeated rows; a task gives out one of the class's own set
+    def matching(batches):
+        given: set[int] = set()
+        for batch in batches:
+            right = [_key(s) == k for s, k in zip(token_sets(batch.column("text").to_pylist()), batch.column("set_key").to_pylist())]
+            keep = []
+            for ok, node in zip(right, batch.column("node").to_pylist()):
+                keep.append(ok and node not in given)
+                given.update([node] if ok else ())
+            yield batch.select(["node", "grp", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    texts = cut(keyed.select("set_key", "node", "grp", "text").mapInArrow(matching, "node bigint, grp bigint, text string"))
     asking = asked.groupBy("at").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
     members = texts.join(asking, F.col("grp") == F.col("at")).select(
         "grp", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(False).alias("asks"), "node", "text")
@@ -264,29 +316,6 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def all_pairs_sql(words: int, percent: int, columns: str) -> str:
-    """DuckDB SQL of the components by an inverted list of whole shingles."""
-    return f"""
-WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-shingled AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {words}
-        THEN list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' '))
-        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM worded),
-ids AS (SELECT doc_id, hash(s) AS h, s FROM shingled),
-sizes AS (SELECT doc_id, count(*) AS n FROM ids GROUP BY doc_id),
-pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM ids a JOIN ids b ON a.h = b.h AND a.s = b.s AND a.doc_id < b.doc_id
-        GROUP BY ALL),
-links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * common >= {percent} * (p.n + q.n - common)),
-edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reach AS (SELECT doc_id AS node, doc_id AS c FROM sizes
-        UNION SELECT e.y, r.c FROM reach r JOIN edges e ON e.x = r.node WHERE r.c < e.y),
-best AS (SELECT node, min(c) AS c FROM reach GROUP BY node),
-out AS (SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(b.c, d.doc_id)::BIGINT AS component_id FROM documents d
-        LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN best b ON b.node = d.doc_id)
-SELECT {columns} FROM out
-"""
-
-
 @query("op12_groups", all_pairs_sql(WORDS, PERCENT, "doc_id, n_shingles, component_id"))
 def op12_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
