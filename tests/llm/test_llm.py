@@ -494,6 +494,23 @@ def test_field_on_held_out_variants():
 
 # ---- toxicity ---------------------------------------------------------------------------------------------------
 
+def test_toxicity_takes_long_batches_in_small_slices():
+    import tracemalloc
+
+    rng = random.Random(5)
+    texts = [prose(rng, 250) for _ in range(1200)]
+    model = toxicity.Model(np.arange(0, 1 << toxicity.BITS, 2), np.ones(1 << (toxicity.BITS - 1)), 0.0)
+    expected = np.concatenate([model.scores([t]) for t in texts[:20]])
+    tracemalloc.start()
+    scores = model.scores(texts)
+    for _, held in toxicity._slices(texts):
+        toxicity.gram_buckets(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(scores[:20], expected)
+    assert peak < 80e6
+
+
 def test_toxicity_on_held_out_texts(spark, none):
     rng = random.Random(15)
     bad = ["horrid", "vileness", "scoundrel"]

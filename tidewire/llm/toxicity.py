@@ -34,7 +34,8 @@ FEATURES = 8192
 LEAST_DOCS = 5           # a bucket has to occur in so many sample texts
 L2 = 2.0
 THRESHOLD = 0.3
-SLICE_CHARS = 2_000_000  # texts are taken together up to so many characters
+SLICE_CHARS = 250_000    # texts are taken together up to so many characters; about 130 bytes of memory each
+SLICE_ROWS = 1_000       # and turned into Python strings so many at a time
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -49,6 +50,12 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield start, held
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def gram_buckets(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of every distinct n-gram of every text; only wanted buckets if given."""
     points = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le"), dtype=np.uint32)
@@ -108,7 +115,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     def run(batches):
         seen = np.zeros((2, 1 << BITS), dtype=np.int64)
         texts = np.zeros(2, dtype=np.int64)
-        for batch in batches:
+        for batch in _small(batches):
             marks = np.array(batch.column("toxic").to_pylist(), dtype=np.int64) > 0
             for start, held in _slices(batch.column("text").to_pylist()):
                 of, bucket = gram_buckets(held)
@@ -226,7 +233,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, all columns, whose score is below the threshold."""
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             keep = model.scores(batch.column("text").to_pylist()) < threshold
             yield batch.filter(pa.array(keep))
     return docs.mapInArrow(run, docs.schema)
