@@ -140,6 +140,23 @@ def test_groups_against_all_pairs(spark, monkeypatch, group, hot, portion):
         assert groupjoin.similar_groups(docs.limit(0)).count() == 0
 
 
+def test_a_linked_family_asks_each_group_once(spark, monkeypatch):
+    rng, asks, opened = random.Random(7), [], groupjoin._opened
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(base[:at] + [f"x{k}"] + base[at + 1:]) for k in range(240) for at in [rng.randrange(150)]]
+
+    def counted(rows):
+        asks.append(rows.where("asks").count())
+        return opened(rows)
+
+    monkeypatch.setattr(groupjoin, "GROUP", 8)
+    monkeypatch.setattr(groupjoin, "HOT", 32)
+    monkeypatch.setattr(groupjoin, "_opened", counted)
+    found = groupjoin.similar_groups(documents(spark, texts)).select("component_id").distinct().collect()
+    assert [r[0] for r in found] == [0]
+    assert sum(asks) <= 2 * len(texts)
+
+
 def test_token_sets():
     rng = random.Random(53)
     texts = ODD + [prose(rng, n) for n in range(12)]

@@ -12,9 +12,13 @@ class. Two classes link when they share 85 % of their union.
 2. Groups. The other classes are numbered in the order of their smallest hashes, so that
    similar ones stand together, and every `GROUP` in a row are a group. The token-group
    matrix has a row for each (token of a member's prefix, group).
-3. A class asks the groups up to its own that share enough tokens of its prefix and hold a set
-   of fitting size. There its overlap with the union of the group's tokens bounds that with any
-   member; only a group whose bound reaches 0.85 n is opened, and its members are counted on
+3. First a class asks one group, of the first ones that hold its tokens the one with most of
+   them, and the links make components. Then components are laid out in one piece each, largest
+   first, and dealt into groups anew. A class asks the groups up to its own that share as many
+   tokens of its prefix as sets of such sizes must, hold a set of fitting size and are not all
+   of its own component; tokens of one component only are left out. So a family that hangs
+   together asks little more, nor does one whose members only fall short. There the overlap
+   with the union of the group's tokens bounds that with any member; only a group whose bound reaches 0.85 n is opened, and its members are counted on
    full sets. A class links with one member of each part of a group that already hangs
    together, so a family of any size gives no list of all its pairs.
 4. Links join classes to components, classes carry their smallest doc_id.
@@ -64,9 +68,19 @@ def _extra(n: int) -> int:
     return (n - _least(n) + 1) // 2
 
 
-def _more(n: Column) -> Column:
-    """The same as a column."""
-    return F.floor((n - F.floor((PERCENT * n + 99) / 100) + 1) / 2)
+def _needed(n: Column, least: Column, most: Column) -> Column:
+    """Tokens that the prefixes of a set of n and of any linked set of least to most tokens share, at the least.
+
+    Linked sets of n and m share at least t = 0.85 / 1.85 (n + m) tokens. Of the one whose prefix ends
+    first in the order, no more than the tokens behind the prefix are shared behind it, so the prefixes
+    share t less those. With the set of n that grows with m; with the other it falls with m.
+    """
+    share = PERCENT / (100 + PERCENT)
+    short = n - F.floor((PERCENT * n + 99) / 100) + 1
+    own = share * (n + least) - n + short + F.floor(short / 2)
+    # the prefix of m tokens has at least 0.225 m - 0.5 of them
+    other = share * (n + most) - (1 - 1.5 * (1 - PERCENT / 100)) * most - 0.5
+    return F.least(own, other) - 1e-6
 
 
 class _Words(dict):
@@ -254,27 +268,71 @@ def _opened(asked: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, "a bigint, b bigint")
 
 
+def _dealt(asked: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows for `_opened`: the members of every asked group (nodes placed in groups) and the classes that ask it."""
+    asking = asked.groupBy("at").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
+    held = placed.join(asking, F.col("grp") == F.col("at")).select("grp", "node", "portions")
+    members = texts.join(held, "node").select(
+        "grp", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(False).alias("asks"), "node", "text")
+    ask = asked.join(asking, "at").select("node", F.col("at").alias("to"), F.pmod(F.xxhash64("node"), "portions").cast("int").alias("portion"))
+    queries = texts.join(ask, "node").select(F.col("to").alias("grp"), "portion", F.lit(True).alias("asks"), "node", "text")
+    return members.union(queries).repartition("grp", "portion").sortWithinPartitions("grp", "portion", "asks")
+
+
+def _between(n: Column, least: Column, most: Column) -> Column:
+    """The same for partners in a range of sizes; a linked set has 0.85 n to n / 0.85 tokens, whatever else there is."""
+    return _needed(n, F.greatest(least, PERCENT * n / 100), F.least(most, 100 * n / PERCENT))
+
+
+def _possible(rows: DataFrame) -> DataFrame:
+    """The rows of the classes that hold as many tokens of other classes as a partner of their sizes needs."""
+    shared = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).where("c > 1")
+    held = rows.join(shared, "token").groupBy("set_key").agg(
+        F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most"), F.first("n").alias("n"))
+    kept = held.where(F.col("common") >= _between(F.col("n"), F.col("least"), F.col("most"))).select("set_key")
+    return rows.join(kept, "set_key")
+
+
+def _first_asked(rows: DataFrame) -> DataFrame:
+    """node, at: the one group that a class shares most tokens with, of the first groups that hold each of its tokens."""
+    firsts = rows.groupBy("token").agg(F.min("grp").alias("at"))
+    met = rows.join(firsts, "token").groupBy("node", "at").agg(F.count("*").alias("common"), F.first("n").alias("n"))
+    likely = F.col("common") >= _needed(F.col("n"), F.col("n"), F.col("n"))
+    return met.where(likely).groupBy("node").agg(F.max_by("at", F.struct("common", -F.col("at"))).alias("at"))
+
+
+def _rest_asked(rows: DataFrame) -> DataFrame:
+    """node, at: the groups up to a class's own that may hold a partner of another component.
+
+    rows: token, node, n, component, place, grp. Components stand in one piece each, the largest
+    first; so of the component that comes first in a token only its last group, which it may
+    share with others, matters to its own classes.
+    """
+    spans = rows.groupBy("token").agg(F.min_by("component", "place").alias("leads"), F.min("component").alias("low"),
+                                      F.max("component").alias("high")).where("low <> high").select("token", "leads")
+    several = cut(rows.join(spans, "token"))
+    matrix = several.groupBy("token", "grp").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
+    groups = matrix.withColumnRenamed("grp", "at")
+    fits = (100 * F.col("most") >= PERCENT * F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
+    others = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
+    asks = several.where("component <> leads").join(groups, "token").where(fits & others & (F.col("at") <= F.col("grp")))
+    own = several.where("component = leads").join(matrix.where("low <> high"), ["token", "grp"]).where(fits).withColumn("at", F.col("grp"))
+    both = ["node", "at", "least", "most", "n"]
+    met = asks.select(*both).union(own.select(*both)).groupBy("node", "at").agg(
+        F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most"), F.first("n").alias("n"))
+    return met.where(F.col("common") >= _between(F.col("n"), F.col("least"), F.col("most"))).select("node", "at")
+
+
 def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b of linked nodes; set_key, node of the classes that share a prefix token with another)."""
-    posted = cut(prefixes(docs))
+    sized = prefixes(docs).join(classes.select("set_key", F.col("n_shingles").alias("n")), "set_key")
+    posted = cut(_possible(cut(_possible(cut(sized)))))
     involved = classes.join(posted.select("set_key").distinct(), "set_key")
     numbered = cut(number_rows(involved, ["low", "set_key"], (), "node").withColumn(
         "grp", F.floor((F.col("node") - 1) / GROUP).cast("bigint")))
-    nodes = numbered.select("set_key", "node", "grp", F.col("n_shingles").alias("n"))
-
+    nodes = numbered.select("set_key", "node", "grp")
     rows = cut(posted.join(nodes, "set_key").select("token", "node", "grp", "n"))
-    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    groups = matrix.select(F.col("token"), F.col("grp").alias("at"), "least", "most")
-    fits = (F.col("at") <= F.col("grp")) & (100 * F.col("most") >= PERCENT * F.col("n")) & (
-        PERCENT * F.col("least") <= 100 * F.col("n"))
-    met = rows.join(groups, "token").where(fits).groupBy("node", "at").agg(
-        F.count("*").alias("common"), F.min("least").alias("least"), F.first("n").alias("n"))
-    enough = F.least(_more(F.col("n")), _more(F.col("least"))) < F.col("common")
-    asked = cut(met.where(enough).select("node", "at"))
-
-    opened = asked.select(F.col("at").alias("grp")).distinct()
-    wanted = asked.select("node").union(numbered.join(opened, "grp").select("node")).distinct()
-    keyed = docs.join(numbered.join(wanted, "node").select("doc_id", "set_key", "node", "grp"), "doc_id")
 
     # a doc_id may have several texts and repeated rows; a task gives out one of the class's own set
     def matching(batches):
@@ -285,17 +343,25 @@ def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             for ok, node in zip(right, batch.column("node").to_pylist()):
                 keep.append(ok and node not in given)
                 given.update([node] if ok else ())
-            yield batch.select(["node", "grp", "text"]).filter(pa.array(keep, pa.bool_()))
-
-    texts = cut(keyed.select("set_key", "node", "grp", "text").mapInArrow(matching, "node bigint, grp bigint, text string"))
-    asking = asked.groupBy("at").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
-    members = texts.join(asking, F.col("grp") == F.col("at")).select(
-        "grp", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(False).alias("asks"), "node", "text")
-    ask = asked.join(asking, "at").select("node", F.col("at").alias("to"), F.pmod(F.xxhash64("node"), "portions").cast("int").alias("portion"))
-    queries = texts.select("node", "text").join(ask, "node").select(
-        F.col("to").alias("grp"), "portion", F.lit(True).alias("asks"), "node", "text")
-    dealt = members.union(queries).repartition("grp", "portion").sortWithinPartitions("grp", "portion", "asks")
-    return _opened(dealt), numbered.select("set_key", "node")
+            yield batch.select(["node", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    def opened(asked: DataFrame, placed: DataFrame) -> DataFrame:
+        groups = asked.select(F.col("at").alias("grp")).distinct()
+        wanted = asked.select("node").union(placed.join(groups, "grp").select("node")).distinct()
+        keyed = docs.join(numbered.join(wanted, "node").select("doc_id", "set_key", "node"), "doc_id")
+        texts = cut(keyed.select("set_key", "node", "text").mapInArrow(matching, "node bigint, text string"))
+        return cut(_opened(_dealt(asked, placed, texts)))
+
+    # one ask a class joins most of a family; the rest is asked across components only
+    first = opened(cut(_first_asked(rows)), numbered.select("node", "grp"))
+    joined = numbered.select("node").join(components(first), "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"))
+    joined = cut(joined)
+    counted = joined.join(joined.groupBy("component").agg((-F.count("*")).alias("order")), "component")
+    placed = cut(number_rows(counted, ["order", "component", "node"], (), "place").select(
+        "node", "component", "place", F.floor((F.col("place") - 1) / GROUP).cast("bigint").alias("grp")))
+    rest = cut(_rest_asked(rows.drop("grp").join(placed, "node")))
+    return opened(rest, placed.select("node", "grp")).union(first), numbered.select("set_key", "node")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
