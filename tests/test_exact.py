@@ -215,6 +215,28 @@ def test_keyword_merge(spark):
     assert got == brute_words(words, freq) and len(got) < len(words)
 
 
+def test_keyword_merge_in_rounds(spark, monkeypatch):
+    """The sequential pass over rounds of a few words; a family of similar words makes about one pair a word."""
+    rng, made, similar_words = random.Random(8), [], keywords.similar_words
+    family = {"".join(w) for w in ([*"abcdefghijk"[:at], c, *"abcdefghijk"[at:]] for at in range(12) for c in "opqrstuvwxyz")}
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(4, 9))) for _ in range(80)} | family, key=lambda _: rng.random())
+    groups = []
+    for word in words:
+        home = next((g for g in groups if SequenceMatcher(None, g[0], word).ratio() > 0.8), None)
+        home.append(word) if home else groups.append([word])
+
+    def counted(*args):
+        found = similar_words(*args).localCheckpoint()
+        made.append(found.where("length(word_a) = 12 AND length(word_b) = 12").count())
+        return found
+
+    monkeypatch.setattr(keywords, "similar_words", counted)
+    df = spark.createDataFrame([(w, 1, (1, at)) for at, w in enumerate(words)], "word string, freq bigint, first struct<article_id:bigint,at:bigint>")
+    got = sorted((r.word, r.words) for r in keywords.merge_similar(df, first_words=8).collect())
+    assert got == sorted((max(g, key=len), len(g)) for g in groups)
+    assert sum(made) < 4 * len(family)      # 10 296 pairs of the family in one round
+
+
 @pytest.mark.parametrize("above", [0.75, 0.8, 0.9])
 def test_similar_words_of_all_lengths(spark, above):
     """Words of 1 to 40 letters, a quarter of them with a common beginning, against all pairs."""
