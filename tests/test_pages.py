@@ -75,6 +75,44 @@ def test_links(spark):
     assert [r.link for r in dynamic] == ["https://site.com/news/a", "https://site.com/news/nav", "https://site.com/news/a#x", "https://site.com/news/loose"]
 
 
+def test_memory_of_a_worker_does_not_grow_with_the_batch():
+    """Pages of one Arrow batch leave nothing behind: results go out by slices, trees go at once."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Pages:                        # keeps what is given to mapInArrow
+        schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("html", T.StringType())])
+
+        def withColumn(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    def peak(n):
+        page = "<article>" + "".join(f"<p>paragraph {i} of this long page</p>" for i in range(400)) + "</article>"
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(n)), pa.array([page] * n), pa.array([None] * n, pa.list_(pa.string()))], ["page_id", "html", "_listed"])
+        gc.collect()
+        tracemalloc.start()
+        got = 0
+        for part in pages._each_page(Pages(), None, pages._page_reader(True), pages._PAGE)(iter([batch])):
+            got += part.num_rows
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == n
+        return most
+
+    gc.disable()
+    try:
+        assert peak(200) < 1.5 * peak(60) < 10_000_000
+    finally:
+        gc.enable()
+
+
 def test_site_rules(spark):
     df = spark.createDataFrame([(1, "https://www.nvidia.com/news", None), (2, "https://x.org/a", "OpenAI.com"), (3, "https://www.x.org/feed.xml", "")],
                                "source_id int, url string, parser string")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewire.functions import html as H
 from tidewire.functions.arrays import unfold
@@ -25,35 +26,60 @@ _PAGE = T.StructType([
     T.StructField("dates", T.ArrayType(T.StringType())),
 ])
 _LINK = T.ArrayType(T.StructType([T.StructField("selector", T.IntegerType()), T.StructField("href", T.StringType())]))
+SLICE_CHARS = 1_000_000     # markup read before its results leave the worker
+
+
+def _each_page(pages: DataFrame, listed: Column, read: Callable[[str, list[str]], object], made: T.DataType) -> DataFrame:
+    """`pages` without their html, and `_made`: read(html, listed) of every page.
+
+    A worker holds the Arrow batch, one page as text and tree, and the results of a slice.
+    """
+    asked = pages.withColumn("_listed", listed)
+    kept = [f for f in pages.schema.fields if f.name != "html"]
+    names, made_type = [f.name for f in kept], to_arrow_type(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, out = 0, 0, []
+            markup, selectors = batch.column("html"), batch.column("_listed")
+            for at in range(batch.num_rows):
+                page = markup[at].as_py() or ""
+                out.append(read(page, selectors[at].as_py() or []))
+                held += len(page)
+                if held >= SLICE_CHARS or at + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(n).slice(start, len(out)) for n in names], pa.array(out, made_type)], [*names, "_made"])
+                    start, held, out = at + 1, 0, []
+
+    return asked.mapInArrow(run, T.StructType([*kept, T.StructField("_made", made)]))
 
 
 def _page_reader(dynamic: bool):
-    @F.pandas_udf(_PAGE)
-    def read(markup: pd.Series, selectors: pd.Series) -> pd.DataFrame:
-        rows = []
-        for page, extra in zip(markup, selectors):
-            try:
-                root = H.parse(page or "")
-                text, method = H.main_text(root)
-                rows.append((H.title(root, dynamic), text, method, H.canonical(root),
-                             H.date_candidates(root, dynamic, () if extra is None else list(extra))))
-            except Exception as fault:      # one bad page is a row with a reason, not the end of the job
-                rows.append((None, "", f"unreadable: {type(fault).__name__}", None, []))
-        return pd.DataFrame(rows, columns=["title", "text", "method", "canonical", "dates"])
+    def read(page: str, extra: list[str]) -> dict:
+        root = None
+        try:
+            root = H.parse(page)
+            text, method = H.main_text(root)
+            return {"title": H.title(root, dynamic), "text": text, "method": method, "canonical": H.canonical(root),
+                    "dates": H.date_candidates(root, dynamic, extra)}
+        except Exception as fault:      # one bad page is a row with a reason, not the end of the job
+            return {"title": None, "text": "", "method": f"unreadable: {type(fault).__name__}", "canonical": None, "dates": []}
+        finally:
+            if root is not None:
+                H.release(root)
     return read
 
 
-@F.pandas_udf(_LINK)
-def _links(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for markup, selectors in batches:
-        out = []
-        for page, listed in zip(markup, selectors):
-            try:
-                found = H.select_links(H.parse(page or ""), list(listed))
-            except Exception:               # the page has no links that can be read
-                found = []
-            out.append([{"selector": n, "href": h} for n, h in found])
-        yield pd.Series(out)
+def _read_links(page: str, listed: list[str]) -> list[dict]:
+    root = None
+    try:
+        root = H.parse(page)
+        return [{"selector": n, "href": h} for n, h in H.select_links(root, listed)]
+    except Exception:                   # the page has no links that can be read
+        return []
+    finally:
+        if root is not None:
+            H.release(root)
 
 
 def page_articles(pages: DataFrame, dynamic: bool = False, as_of: Column | None = None,
@@ -64,7 +90,7 @@ def page_articles(pages: DataFrame, dynamic: bool = False, as_of: Column | None
     none, a scripted page gets `as_of`.
     """
     extra = F.lit(None).cast("array<string>") if site_selectors is None else site_selectors
-    read = pages.withColumn("_p", _page_reader(dynamic)(F.col("html"), extra))
+    read = _each_page(pages, extra, _page_reader(dynamic), _PAGE).withColumnRenamed("_made", "_p")
     published = F.try_element_at(F.filter(F.transform("_p.dates", lambda d: parse_local(d)), lambda d: d.isNotNull()), F.lit(1))
     if dynamic and as_of is not None:
         published = F.coalesce(published, as_of.cast("timestamp_ntz"))
@@ -89,8 +115,8 @@ def page_links(pages: DataFrame, key: str = "page_id", rule: bool = False, limit
     """
     defaults = F.array(*[F.lit(s) for s in H.DEFAULT_LINK_SELECTORS])
     own = F.coalesce(F.col("list_selectors"), F.array().cast("array<string>")) if rule else F.array().cast("array<string>")
-    found = pages.withColumn("_own", F.size(own)).withColumn(
-        "_l", _links(F.col("html"), F.array_distinct(F.concat(own, defaults))))
+    found = _each_page(pages.withColumn("_own", F.size(own)), F.array_distinct(F.concat(own, defaults)),
+                       _read_links, _LINK).withColumnRenamed("_made", "_l")
     allow = F.col("allow") if rule else None
     domains = F.col("allowed_domains") if rule else None
     good = F.filter(
@@ -107,8 +133,9 @@ def page_links_dynamic(pages: DataFrame, selectors: list[str], key: str = "page_
     """Article links of scripted list pages: same host, all selectors."""
     listed = F.array(*[F.lit(s) for s in selectors])
     rule = F.array(*[F.lit(a) for a in allow]) if allow else None
-    urls = F.transform(_links(F.col("html"), listed), lambda x: resolve_dynamic(F.col("url"), x["href"]))
-    return _link_rows(pages, F.filter(urls, lambda u: valid_dynamic(u, F.col("url"), rule)), key, limit)
+    found = _each_page(pages, listed, _read_links, _LINK)
+    urls = F.transform("_made", lambda x: resolve_dynamic(F.col("url"), x["href"]))
+    return _link_rows(found, F.filter(urls, lambda u: valid_dynamic(u, F.col("url"), rule)), key, limit)
 
 
 def page_anchors(pages: DataFrame, key: str = "page_id", limit: int = MAX_LINKS_STATIC,
