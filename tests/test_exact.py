@@ -259,6 +259,26 @@ def test_similar_words_of_all_lengths(spark, above):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_prompts_never_return_to_the_items(spark, tmp_path):
+    """Plans read what was sorted once; the items are neither read nor shuffled again."""
+    by, path = ["region", "layer"], str(tmp_path / "items")
+    rows = [("A", "xy"[n % 2], f"i{n}", float(n % 7), 0.5, f"fact {n}", "") for n in range(90)]
+    spark.createDataFrame(rows, "region string, layer string, item_id string, score double, confidence double,"
+                                " fact string, opinion string").write.parquet(path)
+    items = spark.read.parquet(path)
+    for limit in (10, 100_000):
+        params = Params(model_limit=limit)
+        planned = prompts.plan_section_prompts(items, by, params=params)
+        assert not [f for f in planned.inputFiles() if path in f]
+        assert planned.count() == 90 and set(items.columns) <= set(planned.columns)
+        want = planned.groupBy(*by, "items", "section_tokens").agg((F.max("block") + 1).alias("prompts"))
+        plan = prompts.section_plan(items, by, params=params)
+        assert sorted(plan.select(want.columns).collect()) == sorted(want.collect())
+        assert "Sort" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    packed = prompts.pack_by_tokens(items, by, target=100, texts=False)
+    assert not [f for f in packed.inputFiles() if path in f] and packed.count() == 90
+
+
 @pytest.mark.parametrize("segment_rows", [1, 7, 500_000])
 def test_pack_by_tokens(spark, segment_rows):
     rng = random.Random(4)

@@ -66,31 +66,47 @@ def _template_text(template: str, count: Column) -> Column:
     return text
 
 
-def plan_section_prompts(items: DataFrame, by: Sequence[str], tie: Sequence[str] = ("item_id",),
-                         template: str = SECTION_TEMPLATE, params: Params = DEFAULTS) -> DataFrame:
-    """Assign every ranked item to a prompt of its section.
-
-    A section whose whole prompt fits the token budget is one prompt, any other
-    is cut in blocks of a fixed number of items. The estimate is a sum of
-    per-item counts, so no section text is built to measure it; counts alone are
-    ranked, and texts join their place at the end. `tie` is unique in a section.
-    """
+def _sizes() -> list[Column]:
     line = item_line(F.lit(1))           # the number of an item is one word, whatever it is
-    sizes = items.select(*by, *tie, "score", cjk_count(line).alias("_cjk"), word_count(F.regexp_replace(line, CJK, "")).alias("_words"))
-    sized = number_rows(sizes, [F.col("score").desc(), *tie], by, "rank")
+    return [cjk_count(line).alias("_cjk"), word_count(F.regexp_replace(line, CJK, "")).alias("_words")]
+
+
+def _totals(sized: DataFrame, by: Sequence[str], template: str) -> DataFrame:
     frame = _template_text(template, F.col("items"))
-    totals = (
+    return (
         sized.groupBy(*by).agg(F.count("*").alias("items"), F.sum("_cjk").alias("c"), F.sum("_words").alias("w"))
         .withColumn("section_tokens", (F.col("c") + cjk_count(frame) + F.floor(
             (F.col("w") + word_count(F.regexp_replace(frame, CJK, ""))) * F.lit(WORDS_TO_TOKENS))).cast("bigint"))
         .drop("c", "w"))
+
+
+def section_plan(items: DataFrame, by: Sequence[str], template: str = SECTION_TEMPLATE, params: Params = DEFAULTS) -> DataFrame:
+    """Items, tokens and number of prompts of every section; sums alone, nothing is ranked."""
+    blocks = F.ceil(F.col("items") / params.prompt_block_items)
+    return _totals(items.select(*by, *_sizes()), by, template).withColumn(
+        "prompts", F.when(F.col("section_tokens") <= params.token_budget, F.lit(1)).otherwise(blocks).cast("bigint"))
+
+
+def plan_section_prompts(items: DataFrame, by: Sequence[str], tie: Sequence[str] = ("item_id",),
+                         template: str = SECTION_TEMPLATE, params: Params = DEFAULTS,
+                         keep: Sequence[str] | None = None) -> DataFrame:
+    """Assign every ranked item to a prompt of its section.
+
+    A section whose whole prompt fits the token budget is one prompt, any other
+    is cut in blocks of a fixed number of items. The estimate is a sum of
+    per-item counts, so no section text is built to measure it. Rows are sorted
+    once with the columns to `keep` (all, when not given) and never joined back
+    to the items. `tie` is unique in a section.
+    """
+    first = [*by, *tie, "score"]
+    more = [c for c in (items.columns if keep is None else keep) if c not in first]
+    sized = number_rows(items.select(*first, *more, *_sizes()), [F.col("score").desc(), *tie], by, "rank")
     fits = F.col("section_tokens") <= params.token_budget
     block = F.floor((F.col("rank") - 1) / params.prompt_block_items)
-    planned = (sized.drop("_cjk", "_words", "score").join(totals, list(by))
-               .withColumn("block", F.when(fits, F.lit(0)).otherwise(block).cast("bigint"))
-               .withColumn("line_no", F.when(fits, F.col("rank"))
-                           .otherwise((F.col("rank") - 1) % params.prompt_block_items + 1)))
-    return items.join(planned, [*by, *tie])
+    return (sized.join(_totals(sized, by, template), list(by))
+            .withColumn("block", F.when(fits, F.lit(0)).otherwise(block).cast("bigint"))
+            .withColumn("line_no", F.when(fits, F.col("rank"))
+                        .otherwise((F.col("rank") - 1) % params.prompt_block_items + 1)).drop("_cjk", "_words"))
 
 
 def section_prompts(planned: DataFrame, by: Sequence[str], template: str = SECTION_TEMPLATE) -> DataFrame:
@@ -137,9 +153,11 @@ def _segment_map(target: int):
 
 
 def pack_by_tokens(items: DataFrame, by: Sequence[str], tie: Sequence[str] = ("item_id",),
-                   target: int = int(DEFAULTS.model_limit * 0.6), segment_rows: int = 500_000) -> DataFrame:
+                   target: int = int(DEFAULTS.model_limit * 0.6), segment_rows: int = 500_000, texts: bool = True) -> DataFrame:
     """Greedy blocks of ranked items under a token target; an oversize item is alone.
 
+    Without `texts` a row has only its keys, rank, tokens and block.
+
     The pass is sequential, so a section is cut in segments of bounded size.
     Each segment is reduced to how it changes the open block, those few steps
     are chained per section, and every segment is then packed on its own.
@@ -194,4 +212,5 @@ def pack_by_tokens(items: DataFrame, by: Sequence[str], tie: Sequence[str] = ("i
         started = lean.join(entry, [*keys, "segment"])
     placed = (by_key(started, *keys, "segment").groupBy(*keys, "segment")
               .applyInPandas(assign, f"{key_type}, rank bigint, tokens bigint, block bigint"))
-    return items.join(ranked.drop("tokens").join(placed, [*keys, "rank"]), [*keys, *tie])
+    blocks = ranked.drop("tokens").join(placed, [*keys, "rank"])
+    return items.join(blocks, [*keys, *tie]) if texts else blocks
