@@ -144,3 +144,48 @@ def test_response(spark):
     got = [(r.status, len(r["items"])) for r in parse_responses(df).orderBy("article_id").collect()]
     assert got == [("success", 1)] * 4 + [("failed", 0)] * 2
     assert values(spark, ["金融科技", "经济", "x", None], RP.stored_layer) == ["金融科技应用", "金融经济", "未知", "未知"]
+
+
+def test_simhash_memory_is_a_small_multiple_of_the_text():
+    """The bits of the grams are spread out by slices, not for a whole text or block at once."""
+    import tracemalloc
+
+    from tidewire.functions import simhash as S
+
+    text = " ".join(f"word{i % 977} {i * 7919 % 4001}" for i in range(200_000))
+    S.hash_texts(["warm up the tables"])
+    tracemalloc.start()
+    got = S.hash_texts([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == S._hash_wide("".join(c for c in text.lower() if c.isalnum() or c == "_"))
+    assert peak < 80 * len(text), peak / len(text)
+
+
+def test_simhash_of_many_and_of_wide_texts_equals_the_plain_count():
+    from tidewire.functions import simhash as S
+
+    texts = ["a", "abc", "abcd" * 300, "", None, "😀ж𠀀𠀁𠀂𠀃" * 90, "xyz_ é" * 70, "  ", "Σας İ"] * 40
+    plain = {t: 0 if not t else int(S._hash_wide("".join(c for c in t.lower() if c.isalnum() or c == "_").ljust(S.GRAM, "\0"))[0])
+             for t in texts}
+    assert S.hash_texts(texts).tolist() == [plain[t] for t in texts]
+
+
+def test_small_scopes_are_not_banded(spark):
+    """Pairs are the same whatever the bucket size; a scope below it makes no row per band."""
+    import random
+
+    from tidewire.operators.similar import near_pairs
+
+    draw = random.Random(5)
+    base = [draw.getrandbits(63) for _ in range(6)]
+    rows = [(s, i * 10 + s, base[i % 6] ^ (1 << draw.randrange(63)) ^ (1 << draw.randrange(63))) for s in range(3) for i in range(8 * (s + 1))]
+    df = spark.createDataFrame(rows, "s int, o long, h long").dropDuplicates(["s", "h"])
+    kept = df.collect()
+    want = sorted((a.s, a.o, b.o) for a in kept for b in kept
+                  if a.s == b.s and a.o < b.o and bin((a.h ^ b.h) & (1 << 64) - 1).count("1") <= 3)
+    assert want
+    for size in (2, 10, 20, 512):
+        got = sorted((r.s, r.a, r.b) for r in near_pairs(df, "h", "o", scope=["s"], bucket_rows=size).collect())
+        assert got == want, size
+    assert "explode" not in near_pairs(df, "h", "o", scope=["s"])._jdf.queryExecution().optimizedPlan().toString()
