@@ -171,6 +171,17 @@ def test_simhash_of_many_and_of_wide_texts_equals_the_plain_count():
     assert S.hash_texts(texts).tolist() == [plain[t] for t in texts]
 
 
+def test_answers_are_parsed_once(spark):
+    """A filter on what an answer holds must not repeat its parsing."""
+    from tidewire.operators.responses import article_keywords, parse_responses
+
+    rows = spark.createDataFrame([(1, 0, '{"items":[],"keywords":["a"]}'), (2, 0, "no"), (3, 1, '{"keywords":["b"]}')],
+                                 "article_id long, chunk_index int, content string")
+    found = article_keywords(parse_responses(rows))
+    assert [(r.article_id, r.keywords) for r in found.collect()] == [(1, ["a"])]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_small_scopes_are_not_banded(spark):
     """Pairs are the same whatever the bucket size; a scope below it makes no row per band."""
     import random

@@ -11,8 +11,14 @@ from tidewire.params import DEFAULT_MODELS, DEFAULT_PROVIDER
 
 
 def parse_responses(responses: DataFrame, content: str = "content") -> DataFrame:
-    """One row per chunk: items, keywords, status and error."""
-    parsed = responses.withColumn("_r", parse_response(F.col(content)))
+    """One row per chunk: items, keywords, status and error.
+
+    An answer is read and parsed once, whatever is asked of the result: the optimiser
+    moves no later filter below an explode, where it would repeat the whole expression.
+    """
+    read = responses.withColumn("_c", F.explode_outer(F.array(content))).withColumn(
+        "_r", F.explode_outer(F.array(parse_response(F.col("_c")))))
+    parsed = read.drop("_c")
     bad = F.col("_r").isNull() | F.col("_r._corrupt_record").isNotNull()
     return (parsed
             .withColumn("status", F.when(bad, "failed").otherwise("success"))
