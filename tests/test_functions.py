@@ -171,6 +171,14 @@ def test_simhash_of_many_and_of_wide_texts_equals_the_plain_count():
     assert S.hash_texts(texts).tolist() == [plain[t] for t in texts]
 
 
+def test_stored_references_are_hashed_once(spark):
+    from tidewire.plans import ingest_queries as Q
+
+    rows = Q.known_references(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
+
+
 def test_answers_are_parsed_once(spark):
     """A filter on what an answer holds must not repeat its parsing."""
     from tidewire.operators.responses import article_keywords, parse_responses

@@ -108,10 +108,16 @@ REFERENCES_SQL = GRAMS_SQL + """, refs AS (SELECT d.doc_id, CASE WHEN d.doc_id %
 
 
 def _references(spark, d):
-    """Stored articles of which some have no address and some no hash yet."""
-    hashed = F.when((F.col("doc_id") % 2 == 0) & (F.col("text") != ""), simhash64(F.col("text")))
-    return V.read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.concat(
-        F.lit("https://news.example.com/"), F.expr("doc_id DIV 2"))).alias("url"), hashed.alias("simhash"))
+    """Stored articles of which some have no address and some no hash yet.
+
+    Only bodies that have a hash go to the worker; no filter on the hash moves below the explode, where it would
+    hash every body once more, in a second worker.
+    """
+    has = (F.col("doc_id") % 2 == 0) & (F.col("text") != "")
+    hashed = V.read(spark, d, "documents").select("doc_id", has.alias("_has"), simhash64(F.when(has, F.col("text"))).alias("_h"))
+    return hashed.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.concat(
+        F.lit("https://news.example.com/"), F.expr("doc_id DIV 2"))).alias("url"),
+        F.explode_outer(F.array(F.when(F.col("_has"), F.col("_h")))).alias("simhash"))
 
 
 @query("known_references", f"WITH {REFERENCES_SQL} SELECT doc_id, url, simhash FROM refs WHERE url IS NOT NULL OR simhash IS NOT NULL")
