@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.functions.arrays import unfold
 from tidewire.runtime import cut
 
 GRAM = 3
-SLOTS = 1 << 16          # bits of the filter of wanted pieces
+SLOT_BITS = 16           # the filter of wanted pieces has 1 << SLOT_BITS bits
+ABSENT = (1 << 21) - 1   # stands for a character that a piece lacks; no code point is as large
+MIX = np.uint64(0x9E3779B97F4A7C15)
+BLOCK_CHARS = 400_000    # texts are searched in blocks of about this size
+SLICE_TEXTS = 64         # texts of a batch that are Python strings at once
 SALTS = 16               # portions of the texts that meet one piece
 
 
@@ -20,7 +27,7 @@ def _pattern_pieces(pattern: Column) -> Column:
 
 
 def _text_pieces(text: Column) -> Column:
-    """Distinct pieces of one to GRAM characters, in one pass over the text.
+    """Distinct pieces of one to GRAM characters in built-in functions, to compare `_text_keys` with.
 
     The padding lets a piece begin at the last character; shorter pieces are the
     beginnings of the distinct long ones.
@@ -30,28 +37,96 @@ def _text_pieces(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(long, lambda x: F.array(*[F.left(x, F.lit(n)) for n in range(1, GRAM + 1)]))))
 
 
-def _slot(piece: Column) -> Column:
-    return F.pmod(F.xxhash64(piece), F.lit(SLOTS)).cast("int")
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, each followed by one ABSENT, and where the texts begin."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    codes = np.frombuffer((" ".join(texts) + " " * GRAM).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    ends = np.cumsum(sizes)
+    codes[ends - 1] = ABSENT
+    codes[ends[-1]:] = ABSENT
+    return codes, ends - sizes
 
 
-def _bit_set(pieces: DataFrame) -> list[int]:
-    """SLOTS bits as longs, whatever the number of pieces."""
-    slot = _slot(F.col("gram"))
-    words = pieces.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
-    known = {r["word"]: r["bits"] for r in words.collect()}       # at most SLOTS / 64 rows
-    return [known.get(k, 0) for k in range(SLOTS // 64)]
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys * MIX) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _posted(texts: DataFrame, key: str, pieces: DataFrame) -> DataFrame:
-    """(key, gram) of the pieces of every text that may be among `pieces`."""
-    bits = F.lit(_bit_set(pieces)).cast("array<bigint>")
+def _text_keys(texts: list[str], wanted: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys of the pieces of one to GRAM characters of each text that `wanted` may hold.
+
+    A key is the code points of a piece, ABSENT for each that it lacks.
+    """
+    codes, starts = _codes(texts)
+    n = len(codes) - GRAM
+    at, keys = [], []
+    for size in range(1, GRAM + 1):
+        key = np.full(n, (1 << 21 * (GRAM - size)) - 1, dtype=np.uint64)
+        for k in range(size):
+            key |= codes[k:n + k] << np.uint64(21 * (GRAM - 1 - k))
+        hit = np.flatnonzero(wanted[_slots(key)])
+        for k in range(size):       # no piece reaches beyond its text
+            hit = hit[codes[hit + k] != ABSENT]
+        at.append(hit)
+        keys.append(key[hit])
+    place, keys = np.searchsorted(starts, np.concatenate(at), side="right") - 1, np.concatenate(keys).view(np.int64)
+    order = np.lexsort((keys, place))
+    place, keys = place[order], keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (place[1:] != place[:-1]) | (keys[1:] != keys[:-1])
+    place, keys = place[new], keys[new]
+    return np.split(keys, np.searchsorted(place, np.arange(1, len(texts))))
+
+
+def piece_key(piece: str) -> int:
+    """The key of one piece."""
+    key = 0
+    for code in [*map(ord, piece), *[ABSENT] * (GRAM - len(piece))]:
+        key = key << 21 | code
+    return key
+
+
+@F.arrow_udf(T.LongType())
+def _piece_key(pieces: pa.Array) -> pa.Array:
+    return pa.array([piece_key(p) for p in pieces.to_pylist()], pa.int64())
+
+
+@F.arrow_udf(T.ShortType())
+def _slot(keys: pa.Array) -> pa.Array:
+    return pa.array((_slots(keys.to_numpy(zero_copy_only=False).view(np.uint64)) - (1 << SLOT_BITS - 1)).astype(np.int16))
+
+
+def _wanted_keys(wanted: np.ndarray):
+    """Expression of the wanted keys in a text."""
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def keys(texts: pa.Array) -> pa.Array:
+        found: list[np.ndarray] = []
+        block, size = [], 0
+        for at in range(0, len(texts), SLICE_TEXTS):
+            for text in texts.slice(at, SLICE_TEXTS).to_pylist():
+                block.append(text)
+                size += len(text) + 1
+                if size >= BLOCK_CHARS:
+                    found += _text_keys(block, wanted)
+                    block, size = [], 0
+        if block:
+            found += _text_keys(block, wanted)
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+
+    return keys
+
+
+def _bit_set(pieces: DataFrame) -> np.ndarray:
+    """One truth value a slot, whatever the number of pieces."""
+    wanted = np.zeros(1 << SLOT_BITS, dtype=bool)
+    slots = pieces.select(_slot(F.col("gram")).alias("slot")).distinct().collect()     # at most 1 << SLOT_BITS rows
+    wanted[[r["slot"] + (1 << SLOT_BITS - 1) for r in slots]] = True
+    return wanted
 
-    def may_be_wanted(piece: Column) -> Column:
-        slot = _slot(piece)
-        return F.getbit(F.get(bits, F.shiftright(slot, 6)), slot.bitwiseAND(63)) == 1
 
-    return unfold(texts, [key], F.filter(_text_pieces(F.col("_t")), may_be_wanted), "_at", "gram").drop("_at")
+def _posted(texts: DataFrame, key: str, pieces: DataFrame) -> DataFrame:
+    """(key, gram) of the pieces of every text that may be among `pieces`."""
+    return unfold(texts, [key], _wanted_keys(_bit_set(pieces))(F.col("_t")), "_at", "gram").drop("_at")
 
 
 def rule_hits(articles: DataFrame, rules: DataFrame, key: str, field: str) -> DataFrame:
@@ -59,14 +134,16 @@ def rule_hits(articles: DataFrame, rules: DataFrame, key: str, field: str) -> Da
 
     A text that holds a pattern holds each of its pieces of GRAM characters. Texts are
     read twice: the first pass only counts the pieces that patterns have, the second
-    gives out the rarest piece of each pattern, and what that finds is checked. A bit
-    set of fixed size keeps other pieces from becoming rows. Texts meet a piece in
+    gives out the rarest piece of each pattern, and what that finds is checked. Pieces
+    are whole numbers, found in arrays of code points; a bit set of fixed size keeps
+    other pieces from becoming rows. Texts meet a piece in
     portions, so a common piece whose pattern has no other is not one group. One path
     for any number of rules and any length of pattern and text.
     """
     live = rules.where("is_enabled AND pattern <> ''").withColumn("pattern", F.lower("pattern")).withColumn(
         "priority", F.coalesce("priority", F.lit(0)))
-    wanted = cut(live.select("pattern").distinct().select("pattern", F.explode(_pattern_pieces(F.col("pattern"))).alias("gram")))
+    pieces = live.select("pattern").distinct().select("pattern", F.explode(_pattern_pieces(F.col("pattern"))).alias("gram"))
+    wanted = cut(pieces.withColumn("gram", _piece_key(F.col("gram"))))
     texts = articles.select(key, F.lower(F.coalesce(F.col(field), F.lit(""))).alias("_t"))
     uses = _posted(texts, key, wanted).groupBy("gram").agg(F.count("*").alias("uses"))
     complete = wanted.join(uses, "gram", "left").groupBy("pattern").agg(
