@@ -226,3 +226,16 @@ def test_rule_pieces_in_arrays_equal_a_plain_count(spark):
     rule = spark.createDataFrame([(1, "abç", True, 1)], "rule_id int, pattern string, is_enabled boolean, priority int")
     plan = R.rule_hits(df, rule, "k", "t")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_daily_job_parses_no_answer_of_other_articles(spark):
+    from tidewire.params import DEFAULTS
+    from tidewire.plans import daily
+
+    item = '{"fact":"A fact that is long enough to be stored as an item","region":"国内","layer":"金融科技","confidence":0.9}'
+    answers = spark.createDataFrame([(k, 0, '{"items":[' + item + ']}') for k in range(4)], "article_id bigint, chunk_index int, content string")
+    ready = spark.sql("SELECT CAST(2 AS BIGINT) AS seq, timestamp'2024-01-01' AS published_at, CAST(1 AS BIGINT) AS source_id")
+    found = daily._extracted(answers, ready, False, DEFAULTS)
+    assert [r.item_id for r in found.collect()] == ["2-0-0"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" in plan[:plan.index("LeftSemi")]

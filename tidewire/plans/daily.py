@@ -16,7 +16,8 @@ from tidewire.sources.tables import replace_partitions
 
 def _extracted(answers: DataFrame, ready: DataFrame, merge: bool, params: Params) -> DataFrame:
     """Stored items of the articles in `ready` (seq, published_at, source_id), with item_id."""
-    parsed = responses.parse_responses(answers)
+    wanted = answers.join(ready.select(F.col("seq").alias("article_id")), "article_id", "left_semi")     # no other is parsed
+    parsed = responses.parse_responses(wanted)
     found = responses.response_items(parsed).join(
         ready.select(F.col("seq").alias("article_id"), "published_at", "source_id"), "article_id")
     if merge:
