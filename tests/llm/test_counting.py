@@ -157,6 +157,43 @@ def test_a_linked_family_asks_each_group_once(spark, monkeypatch):
     assert sum(asks) <= 2 * len(texts)
 
 
+def test_groups_with_crowded_tokens_against_all_pairs(spark, monkeypatch):
+    for name, value in (("GROUP", 3), ("HOT", 5), ("CROWD", 2)):
+        monkeypatch.setattr(groupjoin, name, value)
+    rng = random.Random(58)
+    texts = [t for n in (9, 40, 100, 200) for t in family(rng, prose(rng, n), 14, max(1, n // 18))]
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r) for r in groupjoin.similar_groups(documents(spark, texts)).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted(plain_groups(rows, 4, 85))
+
+
+def most_rows_of_joins(spark, run):
+    """The most rows that any join gives out while `run` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    counts = [0]
+    for number in range(before, store.executionsCount()):
+        done = store.executionsList().apply(number).executionId()
+        values, nodes = store.executionMetrics(done), store.planGraph(done).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            for metric in map(node.metrics().apply, range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    counts.append(int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return max(counts)
+
+
+def test_an_unlinked_family_is_not_paired_class_by_class(spark):
+    """A token in the prefixes of 600 unlinked classes: no join gives rows by the square of the classes."""
+    rows = spark.range(600).selectExpr(
+        "id AS node", "150L AS n", "id AS component", "id + 1 AS place", "id div 64 AS grp", "explode(sequence(1L, 24L)) AS token")
+    asked = []
+    most = most_rows_of_joins(spark, lambda: asked.extend(groupjoin._rest_asked(rows.select("token", "node", "n", "component", "place", "grp")).collect()))
+    assert {tuple(r) for r in asked} == {(node, at) for node in range(600) for at in range(node // 64 + 1)}
+    assert 600 * 24 <= most <= 2 * 600 * 24
+
+
 def test_token_sets():
     rng = random.Random(53)
     texts = ODD + [prose(rng, n) for n in range(12)]

@@ -17,7 +17,9 @@ class. Two classes link when they share 85 % of their union.
    first, and dealt into groups anew. A class asks the groups up to its own that share as many
    tokens of its prefix as sets of such sizes must, hold a set of fitting size and are not all
    of its own component; tokens of one component only are left out. So a family that hangs
-   together asks little more, nor does one whose members only fall short. There the overlap
+   together asks little more. Tokens of more than `CROWD` prefixes are counted from group to
+   group, and a class asks where those and its own other tokens may be enough; so a family
+   whose members only fall short is paired by groups, not class by class. There the overlap
    with the union of the group's tokens bounds that with any member; only a group whose bound reaches 0.85 n is opened, and its members are counted on
    full sets. A class links with one member of each part of a group that already hangs
    together, so a family of any size gives no list of all its pairs.
@@ -56,6 +58,7 @@ GROUP = 64               # classes of a group
 HOT = 256                # prefixes that hold a token before it is frequent
 BITS = 27
 PORTION = 4096           # classes that ask a group in one go
+CROWD = 32               # prefixes that hold a token before its classes are not looked up one by one
 
 
 def _least(n: int) -> int:
@@ -306,22 +309,47 @@ def _rest_asked(rows: DataFrame) -> DataFrame:
 
     rows: token, node, n, component, place, grp. Components stand in one piece each, the largest
     first; so of the component that comes first in a token only its last group, which it may
-    share with others, matters to its own classes.
+    share with others, matters to its own classes. A token of up to `CROWD` rows is looked up
+    class by class. A crowded one only says which groups it joins: a class shares with a group at
+    most the crowded tokens it holds, and at most those that its own group shares with that one.
     """
-    spans = rows.groupBy("token").agg(F.min_by("component", "place").alias("leads"), F.min("component").alias("low"),
-                                      F.max("component").alias("high")).where("low <> high").select("token", "leads")
+    spans = rows.groupBy("token").agg(
+        F.min_by("component", "place").alias("leads"), F.min("component").alias("low"), F.max("component").alias("high"),
+        (F.count("*") > CROWD).alias("crowded")).where("low <> high").select("token", "leads", "crowded")
     several = cut(rows.join(spans, "token"))
-    matrix = several.groupBy("token", "grp").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
-    groups = matrix.withColumnRenamed("grp", "at")
+    asks = F.col("component") != F.col("leads")
+    matrix = cut(several.groupBy("token", "grp", "crowded").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"),
+        *[f(F.when(asks, F.col(c))).alias(name) for f, c, name in (
+            (F.min, "n", "from_least"), (F.max, "n", "from_most"), (F.min, "component", "from_low"), (F.max, "component", "from_high"))]))
+    at = [F.col("grp").alias("at"), "token", "least", "most", "low", "high"]
     fits = (100 * F.col("most") >= PERCENT * F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
     others = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
-    asks = several.where("component <> leads").join(groups, "token").where(fits & others & (F.col("at") <= F.col("grp")))
-    own = several.where("component = leads").join(matrix.where("low <> high"), ["token", "grp"]).where(fits).withColumn("at", F.col("grp"))
+    before = F.col("at") <= F.col("grp")
+    few = several.where(asks & ~F.col("crowded")).join(matrix.where("NOT crowded").select(*at), "token").where(fits & others & before)
+    own = several.where(~asks).join(matrix.where("low <> high").drop("crowded"), ["token", "grp"]).where(fits).withColumn("at", F.col("grp"))
     both = ["node", "at", "least", "most", "n"]
-    met = asks.select(*both).union(own.select(*both)).groupBy("node", "at").agg(
+    met = few.select(*both).union(own.select(*both)).groupBy("node", "at").agg(
         F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most"), F.first("n").alias("n"))
-    return met.where(F.col("common") >= _between(F.col("n"), F.col("least"), F.col("most"))).select("node", "at")
+
+    crowds = matrix.where("crowded")
+    fit = (100 * F.col("most") >= PERCENT * F.col("from_least")) & (PERCENT * F.col("least") <= 100 * F.col("from_most"))
+    alike = (F.col("from_low") == F.col("from_high")) & (F.col("low") == F.col("high")) & (F.col("low") == F.col("from_low"))
+    joined = (crowds.where("from_low IS NOT NULL").select("token", "grp", "from_least", "from_most", "from_low", "from_high")
+              .join(crowds.select(*at), "token").where(fit & ~alike & before))
+    shared = cut(joined.groupBy("grp", "at").agg(
+        F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.min("low").alias("low"), F.max("high").alias("high")))
+    held = several.where(asks & F.col("crowded")).groupBy("node", "grp").agg(
+        F.count("*").alias("held"), F.first("n").alias("n"), F.first("component").alias("component"))
+    by_crowds = held.join(shared, "grp").where(
+        fits & others & (F.least("held", "shared") >= _between(F.col("n"), F.col("least"), F.col("most")))).select("node", "at")
+    more = shared.select("grp", "at", "shared", F.col("least").alias("s_least"), F.col("most").alias("s_most"))
+    counted = met.join(held.select("node", "grp", "held"), "node", "left").join(more, ["grp", "at"], "left")
+    common = F.col("common") + F.when(F.col("shared").isNull(), 0).otherwise(F.least("held", "shared"))
+    by_all = counted.where(common >= _between(
+        F.col("n"), F.least("least", "s_least"), F.greatest("most", "s_most"))).select("node", "at")
+    return by_crowds.union(by_all).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
