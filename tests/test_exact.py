@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.simhash import hash_texts, simhash64
 from tidewire.functions.text import normalize_fact
-from tidewire.operators import admin, chunking, dedup, delivery, facts, keywords, prompts, queue, routes, rules
+from tidewire.operators import admin, chunking, dedup, delivery, facts, keywords, numbering, prompts, queue, routes, rules
 from tidewire.operators.numbering import carried, in_ranges, number_rows
 from tidewire.operators.similar import dropped_by_leaders, near_pairs
 from tidewire.params import Params
+from tidewire.plans import catalog
+from tidewire.runtime import cut
 
 
 def near(a, b):
@@ -471,3 +473,11 @@ def test_history_reads_only_buckets_of_known_keys(spark, tmp_path, monkeypatch):
     assert touched == [[bucket], [], [bucket]]
     files = got.where(F.col("bucket").isin(touched[0]) & (F.col("batch_id") != 1)).select(F.input_file_name().alias("f")).distinct()
     assert all(f"bucket={bucket}/" in r.f for r in files.collect()) and files.count() < len(got.inputFiles()) / 10
+
+
+def test_prompt_lines_are_ranked_without_their_texts(spark, monkeypatch):
+    catalog.load()
+    moved = []
+    monkeypatch.setattr(numbering, "cut", lambda df: moved.append(set(df.columns)) or cut(df))
+    assert catalog.QUERIES["prompt_lines"](spark, "/root/testdata/sf0.001").count()
+    assert moved and not any(columns & {"item_id", "fact", "opinion"} for columns in moved)

@@ -34,9 +34,9 @@ def report_items(items: DataFrame, articles: DataFrame, sources: DataFrame, para
         ready = ready.drop("source_id")
     weight = F.col("weight") if "weight" in sources.columns else F.lit(1.0)
     named = sources.select("source_id", "source_name", F.coalesce(weight, F.lit(1.0)).alias("source_weight"))
-    return (wanted.join(ready, "article_id").join(named, "source_id")
-            .withColumn("finance_relevance", F.coalesce("finance_relevance", F.lit(1.0)))
-            .withColumn("opinion", F.coalesce("opinion", F.lit(""))))
+    found = (wanted.join(ready, "article_id").join(named, "source_id")
+             .withColumn("finance_relevance", F.coalesce("finance_relevance", F.lit(1.0))))
+    return found.withColumn("opinion", F.coalesce("opinion", F.lit(""))) if "opinion" in items.columns else found
 
 
 def with_score(items: DataFrame, as_of: Column) -> DataFrame:
@@ -59,7 +59,7 @@ def top_n(items: DataFrame, n: int = DEFAULTS.report_topn, period: Sequence[str]
     return items.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
 
 
-def section_ranks(items: DataFrame, period: Sequence[str] = (), tie: Sequence[str] = ("item_id",)) -> DataFrame:
+def section_ranks(items: DataFrame, period: Sequence[str] = (), tie: Sequence[str | Column] = ("item_id",)) -> DataFrame:
     """Full ranking of every section, without gathering a section in one task."""
     return number_rows(items, [F.col("score").desc(), *tie], [*period, *SECTION], "rank")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,22 +53,35 @@ ARTICLES_SQL = """articles AS (
   FROM orders)"""
 
 
-def items(spark, d):
+ITEM_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+
+
+def item_texts() -> dict[str, Column]:
+    """The texts of an item, all made of its `ITEM_KEYS`."""
+    return {"item_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+            "fact": F.concat_ws(" ", F.lit("Order"), "l_orderkey", F.lit("moved part"), "l_partkey",
+                                F.lit("by supplier"), "l_suppkey"),
+            "opinion": F.expr("CASE WHEN l_returnflag = 'R' THEN concat('returned, line ', l_linenumber) ELSE '' END")}
+
+
+def item_rows(spark, d):
+    """Items with their keys in place of their texts, for plans that move every row."""
     region = (read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
               .join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
               .select("s_suppkey", "r_name"))
     layer = F.element_at(F.array(*[F.lit(x) for x in LAYERS]), (F.col("l_partkey") % 5 + 1).cast("int"))
     return (read(spark, d, "lineitem").join(region, F.col("l_suppkey") == F.col("s_suppkey"))
-            .select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item_id"),
-                    F.col("l_orderkey").alias("article_id"), F.col("l_suppkey").alias("source_id"),
-                    F.concat_ws(" ", F.lit("Order"), "l_orderkey", F.lit("moved part"), "l_partkey",
-                                F.lit("by supplier"), "l_suppkey").alias("fact"),
-                    F.expr("CASE WHEN l_returnflag = 'R' THEN concat('returned, line ', l_linenumber) ELSE '' END").alias("opinion"),
+            .select(*ITEM_KEYS, F.col("l_orderkey").alias("article_id"), F.col("l_suppkey").alias("source_id"),
                     F.col("r_name").alias("region"), layer.alias("layer"),
                     (1 - 5 * F.col("l_discount")).alias("confidence"),
                     (1 - 5 * F.col("l_tax")).alias("finance_relevance")))
 
 
+def items(spark, d):
+    return item_rows(spark, d).withColumns(item_texts()).select(
+        "item_id", "article_id", "source_id", "fact", "opinion", "region", "layer", "confidence", "finance_relevance")
+
+
 ITEMS_SQL = """items AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS item_id,
          l_orderkey AS article_id, l_suppkey AS source_id,
