@@ -61,6 +61,35 @@ def test_canonical_and_text(spark):
     assert H.main_text(H.parse(""))[1] == "none"
 
 
+def test_references_without_semicolon(spark):
+    """Titles are cut anywhere, also within a reference: `&amp` is then an &, any other name stays as written."""
+    for written, title in [("key = &quot", "key = &quot"), ("a &lt", "a &lt"), ("a &amp", "a &"), ("&quotx; &amp;quot &notit;", "&quotx; &quot &notit;"),
+                           ("&amp;amp &ampx", "&amp &x"), ("&lt;b&gt; &quot;c&quot; &amp; &eacute;", '<b> "c" & é')]:
+        assert read(spark, page("", f"<h1>{written}</h1>" + BODY)).title == title
+    text = read(spark, page("<title>t</title><link rel='canonical' href='https://site.com/c?a=1&amp;b=2&lt'>",
+                            "<article><p>One &amp two &copy three &quot; four &#169 five.</p>" + BODY[9:]))
+    assert text.content_text.startswith('One &amp two &copy three " four © five.') and text.canonical_url == "https://site.com/c?a=1&b=2<"
+    ld = "<title>t</title><script type='application/ld+json'>{\"name\": \"a &quot b\", \"datePublished\": \"2025-03-01T00:00:00Z\"}</script>"
+    assert read(spark, page(ld)).published_at == datetime(2025, 3, 1, 8)
+
+
+def test_references_same_as_sql(spark, tmp_path):
+    from harness import compare
+    import duckdb
+
+    from tidewire.plans import catalog
+
+    catalog.load()
+    titles = ["token = &quot", "a &lt", "a &amp", "&amp;amp", "&quot;a&quot; &amp b", "a &quo", "AT&T &am", "&ampx &gt;"]
+    # the text of each page is around the 100 characters that it needs
+    markup = [f"<html><article><h1>{t}</h1><p>{'w' * (98 - len(t) + more)}</p></article></html>" for t in titles for more in range(8)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [(i, f"https://site.com/{i}", m) for i, m in enumerate(markup)])
+    con.execute(f"COPY pages TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
+    assert compare(spark, con, "page_article", catalog.QUERIES["page_article"], catalog.ORACLES["page_article"], str(tmp_path)) is None
+
+
 def test_links(spark):
     listing = ("<h2><a href='/news/a'>a</a></h2><div class='post'><a href='http://site.com/blog/b/'>b</a><a href='/news/a#x'>again</a></div>"
                "<h3><a href='/about'>x</a></h3><a href='/news/loose'>l</a><article><a href='https://else.com/news/c'>c</a></article>")
