@@ -261,6 +261,26 @@ def test_similar_words_of_all_lengths(spark, above):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_few_words_meet_that_are_not_similar(spark, monkeypatch):
+    """Words of 10 and 14 letters of a common alphabet: letters are compared as they meet, and parts are longer than two letters."""
+    rng, met, by_key = random.Random(14), [], keywords.by_key
+    words = sorted({"".join(rng.choice("etanoisrhl") for _ in range(n)) for n in [10, 14] * 300}, key=lambda _: rng.random())
+    words += [w[:5] + "x" + w[5:] for w in words[:20]]
+    monkeypatch.setattr(keywords, "by_key", lambda df, *k: (met.append(df) if df.columns == ["a", "b"] else None) or by_key(df, *k))
+    found = keywords.similar_words(spark.createDataFrame(list(enumerate(words)), "place bigint, word string")).count()
+    assert found >= 20 and met[0].count() < 100 * found
+
+
+def test_matching_blocks_are_those_of_the_library():
+    rng = random.Random(21)
+    for _ in range(5000):
+        letters = rng.choice(["ab", "abcde", "abcdefghijklé"])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(0, 45))) for _ in range(2))
+        if rng.random() < 0.7:
+            b = a[:rng.randint(0, 9)] + b[:3] + a[rng.randint(0, 9):]
+        assert keywords._ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
 def test_prompts_never_return_to_the_items(spark, tmp_path):
     """Plans read what was sorted once; the items are neither read nor shuffled again."""
     by, path = ["region", "layer"], str(tmp_path / "items")
