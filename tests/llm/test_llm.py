@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -117,6 +119,33 @@ def test_token_file_round_trip_and_damage():
         token_files.read_file(b"else")
 
 
+def test_token_file_shapes(monkeypatch):
+    """Lopsided, repeating and random ids, one id alone, all 65 536, blocks in several runs of lanes; damage is always told."""
+    monkeypatch.setattr(token_files, "LANES", 7)
+    rng = np.random.default_rng(5)
+    shapes = [rng.zipf(1.3, 3000) % 49152, np.tile(rng.integers(0, 49152, 37), 60), np.full(2500, 65535), rng.permutation(65536),
+              np.where(rng.random(4000) < 0.999, 7, rng.integers(0, 65536, 4000)), np.array([5])]
+    for ids in [[i.astype(np.uint32)] for i in shapes] + [[i.astype(np.uint32) for i in shapes], [np.zeros(0, dtype=np.uint32)], []]:
+        content = token_files.write_file(list(range(len(ids))), ids, block_ids=700)
+        names, back = token_files.read_file(content)
+        assert names == list(range(len(ids))) and all(a.tolist() == b.tolist() for a, b in zip(back, ids, strict=True))
+    content = token_files.write_file([0], [shapes[0].astype(np.uint32)], block_ids=700)
+    coded = sum(b[1] for b in struct.iter_unpack("<III", content[41:41 + 12 * 5]))
+    for at in range(len(content) - coded, len(content) - 60, 211):
+        with pytest.raises(ValueError, match="damaged"):
+            token_files.read_file(content[:at] + bytes([content[at] ^ 90]) + content[at + 1:])
+    with pytest.raises(ValueError, match="wider"):
+        token_files.write_file([0], [np.array([65536], dtype=np.uint32)])
+
+
+def test_token_files_code_whole_ids():
+    """A million ids each way took some 15 CPU seconds by nibbles."""
+    ids = (np.random.default_rng(6).zipf(1.2, 1_000_000) % 49152).astype(np.uint32)
+    began = time.process_time()
+    _, back = token_files.read_file(token_files.write_file([1], [ids]))
+    assert (back[0] == ids).all() and time.process_time() - began < 7
+
+
 @pytest.mark.parametrize("window", [64, 1024])
 def test_packing(spark, window):
     rng = random.Random(4)

@@ -1,17 +1,20 @@
-"""Token files: ids of documents, coded by an adaptive context-mixing range coder.
+"""Token files: ids of documents, coded by context mixing and a range coder, whole ids at a time.
 
-An id is coded as four nibbles, most significant first. For each nibble three
-models predict its sixteen values from counts: order 0 (the nibbles so far), order 1
-(also the id before) and order 2 (also the two ids before). Their predictions are
-mixed with weights chosen by how much the higher orders have seen, and the weights
-follow each model's success. The mixture drives a carry-less range coder. Blocks of a
-fixed number of ids start from fresh models, so any block decodes on its own; each
-has a checksum of its ids. The blocks of a file run side by side, one numpy lane each.
+Three models predict the next id: order 2 names the id that it expects after the last two
+ids, order 1 the one after the last id, both from a table of guesses with a confidence of 0 to 3
+that follows the block; order 0 gives every id its share of the file. The prediction is their
+mixture: the weights of the two guesses are chosen by their confidences and by whether they
+agree, and fitted to the success of the models in the file. The mixture drives a carry-less
+range coder that gives up 16 bits at a time. Blocks of a fixed number of ids start from empty guesses, so
+any block decodes on its own with the head of its file; each has a checksum of its ids. The
+blocks of a file run side by side, one numpy lane each.
 
 File format (little endian):
-  magic "TKF1", u32 documents, u32 blocks, u64 ids
+  magic "TKF2", u32 documents, u32 blocks, u64 ids, u32 bytes of the head
   per document: u8 has a doc_id, i64 doc_id, u64 ids
   per block:    u32 ids, u32 bytes, u32 crc32 of the ids as u32
+  the head, packed by zlib, low bytes before high bytes: u16 weights of order 2, then of order 1,
+  in 4096ths, for each of 32 contexts; the distinct ids as u16 steps; their shares in 65536ths, less one, as u16
   the coded blocks, one after the other
 Files are kept as rows of a table (part, file, content), because only Spark can write
 to every store; a file holds whole documents, and (part, file) order is doc_id order.
@@ -38,223 +41,267 @@ from tidewire.llm.catalog import query, table
 from tidewire.llm.common import documents_like
 from tidewire.runtime import cut
 
-MAGIC = b"TKF1"
+MAGIC = b"TKF2"
 END_ID = 1
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 22       # a file is closed once it holds so many ids
-LANES = 1024             # blocks that run side by side; bounds the memory of the models
+LANES = 1024             # blocks that run side by side; bounds the memory of the guesses
 
 _SLOT_BITS = 12
-_NODES = (0, 1, 17, 273)         # first order-0 row of each nibble place
-_ROWS0 = 4369
-_STEP = 24                       # added to a count when its nibble occurs
-_TOTAL_BITS = 15
-_TOTAL = 1 << _TOTAL_BITS
-_TOP, _BOTTOM, _MASK = 1 << 24, 1 << 16, (1 << 32) - 1
-_RATE = np.float32(0.05)
+_CONTEXTS = 32           # confidence of order 2, of order 1, and whether they agree
+_MIX_BITS, _SHARE_BITS = 12, 16
+_WORD, _TOP, _BOTTOM, _MASK = 46, 1 << 46, 1 << 30, (1 << 62) - 1
 
 
-class _Lanes:
-    """Models and mixing weights of blocks that run side by side. Encoder and decoder share every step.
+def _slots(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Places of the guesses of order 2 and order 1 in a block's tables, which follow each other."""
+    mask = (1 << _SLOT_BITS) - 1
+    return np.stack([((last * 69069 + before * 1664525 + 331) >> 7) & mask, ((last * 40503 >> 5) & mask) + mask + 1])
+
 
-    Arrays over (value, lane) keep the lanes contiguous, so sums over the sixteen values
-    are plain vector additions.
-    """
+class _Lanes:
+    """Guesses of blocks that run side by side: id * 4 + confidence. Encoder and decoder share every step."""
 
     def __init__(self, lanes: int):
-        sizes = (_ROWS0, 1 << _SLOT_BITS, 1 << _SLOT_BITS)
-        self.counts = [np.zeros(lanes * rows * 16, dtype=np.uint8) for rows in sizes]
-        self.totals = [np.zeros(lanes * rows, dtype=np.int32) for rows in sizes]
-        self.first = [np.arange(lanes, dtype=np.int64) * rows for rows in sizes]
-        self.weights = [np.full(lanes * 16, w, dtype=np.float32) for w in (0.2, 0.3, 0.5)]
-        self.set_of = np.arange(lanes, dtype=np.int64) * 16
-        self.lane = np.arange(lanes)
-        self.ramp = np.arange(1, 17, dtype=np.float32)[:, None]
-
-    def predict(self, n: int, node: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Cumulative frequencies (17, n) of the next nibble of the first n lanes."""
-        mask = (1 << _SLOT_BITS) - 1
-        one = (last * 40503 + node * 2654435 + 977) >> 5
-        two = (last * 69069 + before * 1664525 + node * 22695477 + 331) >> 7
-        self.rows = [self.first[0][:n] + node, self.first[1][:n] + (one & mask), self.first[2][:n] + (two & mask)]
-        self.p = []
-        seen = [total[rows] for total, rows in zip(self.totals, self.rows)]
-        self.chosen = (self.set_of[:n] + (seen[1] > 0) + (seen[1] > _STEP) + (seen[1] > 4 * _STEP)
-                       + 4 * ((seen[2] > 0).astype(np.int64) + (seen[2] > _STEP) + (seen[2] > 4 * _STEP)))
-        self.w = [w[self.chosen] for w in self.weights]
-        mix = None
-        for counts, rows, total, w in zip(self.counts, self.rows, seen, self.w):
-            p = counts.reshape(-1, 16)[rows].T.astype(np.float32, order="C")
-            p += np.float32(0.4)
-            p *= w / (total.astype(np.float32) + np.float32(6.4))
-            self.p.append(p)                # already weighted
-            mix = p.copy() if mix is None else np.add(mix, p, out=mix)
-        self.mix = mix
-        level = np.add.accumulate(mix, axis=0)
-        level *= np.float32(_TOTAL - 16)
-        cumulative = np.empty((17, n), dtype=np.int32)
-        cumulative[0] = 0
-        np.add(np.floor(level, out=level), self.ramp, out=level)
-        cumulative[1:] = level
-        cumulative[16] = _TOTAL
-        return cumulative
-
-    def learn(self, n: int, nibble: np.ndarray) -> None:
-        lane = self.lane[:n]
-        got = _RATE / self.mix[nibble, lane]
-        for weights, w, p, counts, totals, rows in zip(
-                self.weights, self.w, self.p, self.counts, self.totals, self.rows):
-            weights[self.chosen] = w * (np.float32(1) - _RATE) + p[nibble, lane] * got
-            at = rows * 16 + nibble
-            full = np.flatnonzero(counts[at] >= 255 - _STEP)
-            if len(full):
-                table = counts.reshape(-1, 16)
-                halved = table[rows[full]] >> 1
-                table[rows[full]] = halved
-                totals[rows[full]] = halved.sum(axis=1)
-            counts[at] += _STEP
-            totals[rows] += _STEP
-
-
-def _node(place: int, prefix: np.ndarray) -> np.ndarray:
-    return prefix + _NODES[place]
-
-
-def _shifts(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes that can give up their top byte; cuts the span where it must."""
-    settled = (low ^ (low + span)) < _TOP
-    short = ~settled & (span < _BOTTOM)
-    span[short] = -low[short] & (_BOTTOM - 1)
-    return settled | short
-
-
-def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
-    """Code blocks of ids below 65536; at most LANES of them run together."""
-    out: list[bytes] = [b""] * len(blocks)
-    for at in range(0, len(blocks), LANES):
-        part = sorted(range(at, min(at + LANES, len(blocks))), key=lambda i: -len(blocks[i]))
-        for i, code in zip(part, _encode_lanes([blocks[i] for i in part])):
+        self.guesses = np.zeros(lanes << (_SLOT_BITS + 1), dtype=np.int32)
+        self.first = np.arange(lanes, dtype=np.int64) << (_SLOT_BITS + 1)
+
+    def seen(self, slots: np.ndarray) -> np.ndarray:
+        """Guesses of order 2 and order 1 (2, n) of the first n lanes."""
+        self.at = slots + self.first[:slots.shape[1]]
+        self.now = self.guesses.take(self.at)
+        return self.now
+
+    def learn(self, ids: np.ndarray) -> None:
+        """A right guess gains confidence, a wrong one loses it or is replaced."""
+        now, fresh = self.now, ids << 2
+        self.guesses[self.at] = np.where((now ^ fresh) < 4, np.minimum(now + 1, fresh + 3), np.where((now & 3) > 0, now - 1, fresh))
+
+
+def _context(seen: np.ndarray) -> np.ndarray:
+    sure = seen & 3
+    return (sure[0] << 2) + sure[1] + (((seen[0] ^ seen[1]) < 4) << 4)
+
+
+class _Head:
+    """What a file says of all its blocks: weights by context and shares of its ids."""
+
+    def __init__(self, weights: np.ndarray, ids: np.ndarray, shares: np.ndarray):
+        self.weights, self.ids, self.shares = weights.astype(np.int64), ids.astype(np.int64), shares.astype(np.int64)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, counts: np.ndarray, hits: np.ndarray) -> _Head:
+        """From the uses of each id and, by context, how often order 2, order 1 and neither was right."""
+        if len(ids) and ids[-1] > 0xFFFF:
+            raise ValueError("ids of 65536 and more need a wider code")
+        shares = counts * ((1 << _SHARE_BITS) - len(ids)) // max(1, counts.sum()) + 1
+        if len(ids):
+            shares[np.argmax(shares)] += (1 << _SHARE_BITS) - shares.sum()
+        total = (1 << _MIX_BITS) - 64        # order 0 keeps a little everywhere
+        weights = hits[:2] * total // np.maximum(1, hits.sum(axis=0))
+        return cls(np.maximum(weights, hits[:2] > 0), ids, shares)
+
+    def intervals(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and share of each id, and at last of no id: the whole range, where a guess was right."""
+        whole = 1 << _SHARE_BITS
+        return np.append(np.cumsum(self.shares) - self.shares, 0), np.append(self.shares, whole)
+
+    def to_bytes(self) -> bytes:
+        numbers = np.concatenate([self.weights.ravel(), np.diff(self.ids, prepend=0), self.shares - 1]).astype("<u2")
+        return zlib.compress(numbers.view(np.uint8).reshape(-1, 2).T.tobytes())
+
+    @classmethod
+    def read(cls, packed: bytes) -> _Head:
+        try:
+            numbers = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(2, -1).T.astype(np.int64) @ [1, 256]
+        except zlib.error as fault:
+            raise ValueError("the head of the file is damaged") from fault
+        deltas, shares = numbers[2 * _CONTEXTS:].reshape(2, -1)
+        return cls(numbers[:2 * _CONTEXTS].reshape(2, -1), np.cumsum(deltas), shares + 1)
+
+
+def _ready(low: np.ndarray, span: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+    """Lanes (of those given) that can give up their top 16 bits; cuts the span where it must."""
+    lo, sp = (low, span) if among is None else (low[among], span[among])
+    settled = (lo ^ (lo + sp)) < _TOP
+    short = np.flatnonzero((sp < _BOTTOM) & ~settled)
+    if len(short):
+        settled[short] = True
+        lanes = short if among is None else among[short]
+        span[lanes] = -low[lanes] & (_BOTTOM - 1)
+    found = np.flatnonzero(settled)
+    return found if among is None else among[found]
+
+
+def _by_length(lengths: Sequence[int]) -> list[np.ndarray]:
+    """Numbers of at most LANES blocks that run together, longest first, so that the lanes still running are the first ones."""
+    return [at + np.argsort(-np.array(lengths[at:at + LANES]), kind="stable") for at in range(0, len(lengths), LANES)]
+
+
+def _running(lengths: np.ndarray) -> np.ndarray:
+    return np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")
+
+
+def _side_by_side(blocks: Sequence[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(blocks[i]) for i in order])
+    ids = np.zeros((lengths[0], len(order)), dtype=np.int64)
+    for lane, i in enumerate(order):
+        ids[:lengths[lane], lane] = blocks[i]
+    return ids, lengths
+
+
+def encode_blocks(blocks: Sequence[np.ndarray]) -> tuple[_Head, list[bytes]]:
+    """Code blocks of ids below 65536."""
+    everything = np.concatenate([np.zeros(0, dtype=np.uint32), *blocks])
+    distinct, counts = np.unique(everything, return_counts=True)
+    hits, runs = np.zeros((3, _CONTEXTS), dtype=np.int64), []
+    for order in _by_length([len(b) for b in blocks]):
+        ids, lengths = _side_by_side(blocks, order)
+        model, running = _Lanes(len(order)), _running(lengths)
+        last = np.vstack([np.zeros((1, len(order)), dtype=np.int64), ids])
+        kinds, contexts = np.zeros(ids.shape, dtype=np.uint8), np.zeros(ids.shape, dtype=np.uint8)
+        for at in range(0, len(ids), 64):
+            here = range(at, min(at + 64, len(ids)))
+            seen, now = np.zeros((2, len(here), len(order)), dtype=np.int32), ids[here].astype(np.int32)
+            slots = _slots(last[here], last[[max(0, t - 1) for t in here]])
+            for t, n in enumerate(running[here].tolist()):
+                seen[:, t, :n] = model.seen(slots[:, t, :n])
+                model.learn(now[t, :n])
+            two, one = (seen >> 2) == now
+            kinds[at:at + 64], contexts[at:at + 64] = np.where(two, 0, np.where(one, 1, 2)), _context(seen)
+        used = np.arange(len(order)) < running[:, None]
+        hits += np.bincount(kinds[used].astype(np.int64) * _CONTEXTS + contexts[used], minlength=3 * _CONTEXTS).reshape(3, -1)
+        runs.append((order, ids, running, kinds, contexts))
+    head, out = _Head.of(distinct.astype(np.int64), counts, hits), [b""] * len(blocks)
+    place = np.zeros(1 << 16, dtype=np.int64)
+    place[head.ids] = np.arange(len(head.ids))
+    for order, ids, running, kinds, contexts in runs:
+        for i, code in zip(order, _encode_lanes(head, place, ids, running, kinds, contexts)):
             out[i] = code
-    return out
-
-
-def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
-    """Blocks by falling length, so that the lanes still running are the first ones."""
-    lanes, longest = len(blocks), len(blocks[0])
-    ids = np.zeros((longest, lanes), dtype=np.int64)
-    for lane, block in enumerate(blocks):
-        ids[:len(block), lane] = block
-    if ids.max(initial=0) > 0xFFFF:
-        raise ValueError("ids of 65536 and more need a wider code")
-    running = np.searchsorted(-np.array([len(b) for b in blocks]), -np.arange(longest), side="left")
-    model, low, span = _Lanes(lanes), np.zeros(lanes, dtype=np.int64), np.full(lanes, _MASK, dtype=np.int64)
-    code, filled = np.zeros((lanes, 8 * longest + 16), dtype=np.uint8), np.zeros(lanes, dtype=np.int64)
-    last, before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-    for t in range(longest):
-        n = int(running[t])
-        prefix, lo, sp = np.zeros(n, dtype=np.int64), low[:n], span[:n]
-        lane = np.arange(n)
-        for place in range(4):
-            nibble = (ids[t, :n] >> (12 - 4 * place)) & 15
-            cumulative = model.predict(n, _node(place, prefix), last[:n], before[:n])
-            start, end = cumulative[nibble, lane].astype(np.int64), cumulative[nibble + 1, lane]
-            unit = sp >> _TOTAL_BITS
-            lo += unit * start
-            lo &= _MASK
-            sp[:] = unit * (end - start)
-            while (ready := _shifts(lo, sp)).any():
-                at = np.flatnonzero(ready)
-                code[at, filled[at]] = lo[at] >> 24
-                filled[at] += 1
-                lo[at] = (lo[at] << 8) & _MASK
-                sp[at] = (sp[at] << 8) & _MASK
-            model.learn(n, nibble)
-            prefix = prefix * 16 + nibble
-        before[:n] = last[:n]
-        last[:n] = ids[t, :n]
-    made = []
-    for lane in range(lanes):
-        tail = [(int(low[lane]) >> s) & 255 for s in (24, 16, 8, 0)]
-        made.append(code[lane, :filled[lane]].tobytes() + bytes(tail))
-    return made
-
-
-def decode_blocks(codes: Sequence[bytes], lengths: Sequence[int]) -> list[np.ndarray]:
+    return head, out
+
+
+def _encode_lanes(head: _Head, place: np.ndarray, ids: np.ndarray, running: np.ndarray, kinds: np.ndarray,
+                  contexts: np.ndarray) -> list[bytes]:
+    lanes = ids.shape[1]
+    low, span = np.zeros(lanes, dtype=np.int64), np.full(lanes, _MASK, dtype=np.int64)
+    code, filled = np.zeros((lanes, 4 * len(ids) + 8), dtype="<u2"), np.zeros(lanes, dtype=np.int64)
+    starts, shares = head.intervals()
+    # bounds of the three kinds by context
+    edges = np.concatenate([np.zeros((1, _CONTEXTS), dtype=np.int64), np.cumsum(head.weights, axis=0),
+                            np.full((1, _CONTEXTS), 1 << _MIX_BITS)]).ravel()
+    for t, n in enumerate(running.tolist()):
+        lo, sp, kind = low[:n], span[:n], kinds[t, :n]
+        at = kind * np.int64(_CONTEXTS) + contexts[t, :n]
+        unit = sp >> _MIX_BITS
+        start = edges.take(at)
+        lo += unit * start
+        sp[:] = unit * (edges.take(at + _CONTEXTS) - start)
+        which = np.where(kind == 2, place.take(ids[t, :n]), len(head.ids))
+        unit = sp >> _SHARE_BITS
+        lo += unit * starts.take(which)
+        sp[:] = unit * shares.take(which)
+        ready = _ready(lo, sp)
+        while len(ready):
+            top = lo[ready]
+            code[ready, filled[ready]] = top >> _WORD
+            filled[ready] += 1
+            lo[ready] = (top << 16) & _MASK
+            sp[ready] = (sp[ready] << 16) & _MASK
+            ready = _ready(lo, sp, ready)
+    tail = np.stack([(low >> shift) & 0xFFFF for shift in (46, 30, 14)] + [(low << 2) & 0xFFFF], axis=1).astype("<u2")
+    return [code[lane, :filled[lane]].tobytes() + tail[lane].tobytes() for lane in range(lanes)]
+
+
+def decode_blocks(head: _Head, codes: Sequence[bytes], lengths: Sequence[int]) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(codes)
-    for at in range(0, len(codes), LANES):
-        part = sorted(range(at, min(at + LANES, len(codes))), key=lambda i: -lengths[i])
-        for i, ids in zip(part, _decode_lanes([codes[i] for i in part], [lengths[i] for i in part])):
+    id_at = np.repeat(np.arange(len(head.ids)), head.shares)
+    for order in _by_length(lengths):
+        for i, ids in zip(order, _decode_lanes(head, id_at, [codes[i] for i in order], np.array([lengths[i] for i in order]))):
             out[i] = ids
     return out
 
 
-def _decode_lanes(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    lanes, longest = len(codes), lengths[0]
-    width = max(len(c) for c in codes) + 8
-    code = np.zeros((lanes, width), dtype=np.uint8)
+def _decode_lanes(head: _Head, id_at: np.ndarray, codes: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
+    lanes, running = len(codes), _running(lengths)
+    width = max(len(c) for c in codes) // 2 + 8
+    code = np.zeros((lanes, width), dtype="<u2")
     for lane, c in enumerate(codes):
-        code[lane, :len(c)] = np.frombuffer(c, dtype=np.uint8)
-    ids = np.zeros((longest, lanes), dtype=np.int64)
-    running = np.searchsorted(-np.array(lengths), -np.arange(longest), side="left")
+        code[lane, :len(c) // 2] = np.frombuffer(c, dtype="<u2", count=len(c) // 2)
+    ids = np.zeros((len(running), lanes), dtype=np.int64)
     model, low, span = _Lanes(lanes), np.zeros(lanes, dtype=np.int64), np.full(lanes, _MASK, dtype=np.int64)
-    value = np.zeros(lanes, dtype=np.int64)
-    for k in range(4):
-        value = (value << 8) | code[:, k]
+    begin = code[:, :4].astype(np.int64)
+    value = (begin[:, 0] << 46) | (begin[:, 1] << 30) | (begin[:, 2] << 14) | (begin[:, 3] >> 2)
+    # a word of the code fills 16 bits of a value of 62, so two bits of it wait for the next one
     read = np.full(lanes, 4, dtype=np.int64)
-    last, before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-    for t in range(longest):
-        n = int(running[t])
-        prefix, lo, sp = np.zeros(n, dtype=np.int64), low[:n], span[:n]
-        lane = np.arange(n)
-        for place in range(4):
-            cumulative = model.predict(n, _node(place, prefix), last[:n], before[:n])
-            unit = sp >> _TOTAL_BITS
-            target = np.minimum(((value[:n] - lo) & _MASK) // unit, _TOTAL - 1).astype(np.int32)
-            nibble = np.add.reduce(cumulative[1:16] <= target, axis=0, dtype=np.uint8).astype(np.int64)
-            start, end = cumulative[nibble, lane].astype(np.int64), cumulative[nibble + 1, lane]
-            lo += unit * start
-            lo &= _MASK
-            sp[:] = unit * (end - start)
-            while (ready := _shifts(lo, sp)).any():
-                at = np.flatnonzero(ready)
-                value[at] = ((value[at] << 8) & _MASK) | code[at, np.minimum(read[at], width - 1)]
-                read[at] += 1
-                lo[at] = (lo[at] << 8) & _MASK
-                sp[at] = (sp[at] << 8) & _MASK
-            model.learn(n, nibble)
-            prefix = prefix * 16 + nibble
-        before[:n] = last[:n]
-        last[:n] = prefix
-        ids[t, :n] = prefix
-    return [ids[:n, lane].astype(np.uint32) for lane, n in enumerate(lengths)]
+    waiting = begin[:, 3] & 3
+    (starts, shares), id_of = head.intervals(), np.append(head.ids, 0)
+    ends = (starts + shares)[:-1]
+    first, both = head.weights[0], head.weights.sum(axis=0)
+    last = before = np.zeros(lanes, dtype=np.int64)
+    for t, n in enumerate(running.tolist()):
+        lo, sp, val = low[:n], span[:n], value[:n]
+        seen = model.seen(_slots(last[:n], before[:n]))
+        (two, one), context = seen.astype(np.int64) >> 2, _context(seen)
+        unit = sp >> _MIX_BITS
+        past, w, v = val - lo, unit * first.take(context), unit * both.take(context)
+        is_two, rest = past < w, past >= v
+        start = np.where(is_two, 0, np.where(rest, v, w))
+        lo += start
+        sp[:] = np.where(is_two, w, np.where(rest, unit << _MIX_BITS, v)) - start
+        past -= start
+        unit = sp >> _SHARE_BITS
+        # a quotient of floats may be one off where the id changes
+        which = id_at.take((past / unit).astype(np.int64), mode="clip")
+        which -= past < unit * starts.take(which)
+        which += past >= unit * ends.take(which, mode="clip")
+        which = np.where(rest, which, len(head.ids))
+        now = np.where(rest, id_of.take(which, mode="clip"), np.where(is_two, two, one))
+        lo += unit * starts.take(which, mode="clip")
+        sp[:] = unit * shares.take(which, mode="clip")
+        ready = _ready(lo, sp)
+        while len(ready):
+            word = code.take(ready * width + np.minimum(read.take(ready), width - 1)).astype(np.int64)
+            val[ready] = ((val[ready] << 16) & _MASK) | (waiting[ready] << 14) | (word >> 2)
+            waiting[ready] = word & 3
+            read[ready] += 1
+            lo[ready] = (lo[ready] << 16) & _MASK
+            sp[ready] = (sp[ready] << 16) & _MASK
+            ready = _ready(lo, sp, ready)
+        model.learn(now.astype(np.int32))
+        ids[t, :n] = now
+        before, last = last[:n], now
+    return [ids[:n, lane].astype(np.uint32) for lane, n in enumerate(lengths.tolist())]
 
 
 def write_file(doc_ids: Sequence[int | None], ids: Sequence[np.ndarray], block_ids: int = BLOCK_IDS) -> bytes:
     """One file of whole documents."""
     stream = np.concatenate([np.zeros(0, dtype="<u4"), *ids]).astype("<u4")
     blocks = [stream[i:i + block_ids] for i in range(0, len(stream), block_ids)]
-    codes = encode_blocks(blocks)
-    head = [MAGIC, struct.pack("<IIQ", len(doc_ids), len(blocks), len(stream))]
+    mixture, codes = encode_blocks(blocks)
+    packed = mixture.to_bytes()
+    head = [MAGIC, struct.pack("<IIQI", len(doc_ids), len(blocks), len(stream), len(packed))]
     head += [struct.pack("<BqQ", d is not None, d or 0, len(i)) for d, i in zip(doc_ids, ids)]
     head += [struct.pack("<III", len(b), len(c), zlib.crc32(b.tobytes())) for b, c in zip(blocks, codes)]
-    return b"".join(head + codes)
+    return b"".join([*head, packed, *codes])
 
 
 def read_file(content: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     """(doc_ids, ids of each); raises ValueError where a block's checksum does not hold."""
     if content[:4] != MAGIC:
         raise ValueError("not a token file")
-    docs, count, total = struct.unpack_from("<IIQ", content, 4)
-    at = 20
+    docs, count, total, packed = struct.unpack_from("<IIQI", content, 4)
+    at = 24
     entries = list(struct.iter_unpack("<BqQ", content[at:at + 17 * docs]))
     at += 17 * docs
     heads = list(struct.iter_unpack("<III", content[at:at + 12 * count]))
     at += 12 * count
-    codes = []
+    mixture, codes = _Head.read(content[at:at + packed]), []
+    at += packed
     for _, size, _ in heads:
         codes.append(content[at:at + size])
         at += size
-    blocks = decode_blocks(codes, [h[0] for h in heads])
+    blocks = decode_blocks(mixture, codes, [h[0] for h in heads])
     for number, (block, (_, _, crc)) in enumerate(zip(blocks, heads)):
         if zlib.crc32(block.astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {number} is damaged")
