@@ -129,6 +129,10 @@ def test_token_file_shapes(monkeypatch):
         content = token_files.write_file(list(range(len(ids))), ids, block_ids=700)
         names, back = token_files.read_file(content)
         assert names == list(range(len(ids))) and all(a.tolist() == b.tolist() for a, b in zip(back, ids, strict=True))
+    blocks = [shapes[0][i:i + 300].astype(np.uint32) for i in range(0, 3000, 300)]
+    mixture, codes = token_files.encode_blocks(blocks)
+    for block, code in zip(blocks, codes):      # any block decodes on its own
+        assert token_files.decode_blocks(mixture, [code], [len(block)])[0].tolist() == block.tolist()
     content = token_files.write_file([0], [shapes[0].astype(np.uint32)], block_ids=700)
     coded = sum(b[1] for b in struct.iter_unpack("<III", content[41:41 + 12 * 5]))
     for at in range(len(content) - coded, len(content) - 60, 211):

@@ -56,7 +56,16 @@ _WORD, _TOP, _BOTTOM, _MASK = 46, 1 << 46, 1 << 30, (1 << 62) - 1
 def _slots(last: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Places of the guesses of order 2 and order 1 in a block's tables, which follow each other."""
     mask = (1 << _SLOT_BITS) - 1
-    return np.stack([((last * 69069 + before * 1664525 + 331) >> 7) & mask, ((last * 40503 >> 5) & mask) + mask + 1])
+    slots = np.empty((2, *last.shape), dtype=np.int64)
+    two, one = slots
+    np.multiply(before, 1664525, out=two)
+    two += np.multiply(last, 69069, out=one)
+    two >>= 7
+    np.multiply(last, 40503, out=one)
+    one >>= 5
+    slots &= mask
+    one += mask + 1
+    return slots
 
 
 class _Lanes:
@@ -75,12 +84,17 @@ class _Lanes:
     def learn(self, ids: np.ndarray) -> None:
         """A right guess gains confidence, a wrong one loses it or is replaced."""
         now, fresh = self.now, ids << 2
-        self.guesses[self.at] = np.where((now ^ fresh) < 4, np.minimum(now + 1, fresh + 3), np.where((now & 3) > 0, now - 1, fresh))
+        made, right = now - 1, (now ^ fresh) < 4
+        np.copyto(made, fresh, where=(now & 3) == 0)
+        np.copyto(made, np.minimum(now + 1, fresh + 3), where=right)
+        self.guesses[self.at] = made
 
 
 def _context(seen: np.ndarray) -> np.ndarray:
     sure = seen & 3
-    return (sure[0] << 2) + sure[1] + (((seen[0] ^ seen[1]) < 4) << 4)
+    context = sure[0] << 2
+    context += sure[1]
+    return np.add(context, 16, out=context, where=(seen[0] ^ seen[1]) < 4)
 
 
 class _Head:
@@ -120,17 +134,20 @@ class _Head:
         return cls(numbers[:2 * _CONTEXTS].reshape(2, -1), np.cumsum(deltas), shares + 1)
 
 
-def _ready(low: np.ndarray, span: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
-    """Lanes (of those given) that can give up their top 16 bits; cuts the span where it must."""
-    lo, sp = (low, span) if among is None else (low[among], span[among])
-    settled = (lo ^ (lo + sp)) < _TOP
-    short = np.flatnonzero((sp < _BOTTOM) & ~settled)
-    if len(short):
-        settled[short] = True
-        lanes = short if among is None else among[short]
-        span[lanes] = -low[lanes] & (_BOTTOM - 1)
-    found = np.flatnonzero(settled)
-    return found if among is None else among[found]
+def _settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Lanes whose top 16 bits will not change any more."""
+    return np.flatnonzero((low ^ (low + span)) < _TOP)
+
+
+def _short(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Lanes whose span is too small for the next id; it is cut where the top 16 bits could still change."""
+    short = span < _BOTTOM
+    if not short.any():
+        return np.zeros(0, dtype=np.int64)
+    lanes = np.flatnonzero(short)
+    open_ = lanes[(low[lanes] ^ (low[lanes] + span[lanes])) >= _TOP]
+    span[open_] = -low[open_] & (_BOTTOM - 1)
+    return lanes
 
 
 def _by_length(lengths: Sequence[int]) -> list[np.ndarray]:
@@ -201,14 +218,16 @@ def _encode_lanes(head: _Head, place: np.ndarray, ids: np.ndarray, running: np.n
         unit = sp >> _SHARE_BITS
         lo += unit * starts.take(which)
         sp[:] = unit * shares.take(which)
-        ready = _ready(lo, sp)
-        while len(ready):
+        ready = _settled(lo, sp)
+        while True:
             top = lo[ready]
             code[ready, filled[ready]] = top >> _WORD
             filled[ready] += 1
             lo[ready] = (top << 16) & _MASK
             sp[ready] = (sp[ready] << 16) & _MASK
-            ready = _ready(lo, sp, ready)
+            ready = _short(lo, sp)
+            if not len(ready):
+                break
     tail = np.stack([(low >> shift) & 0xFFFF for shift in (46, 30, 14)] + [(low << 2) & 0xFFFF], axis=1).astype("<u2")
     return [code[lane, :filled[lane]].tobytes() + tail[lane].tobytes() for lane in range(lanes)]
 
@@ -259,15 +278,17 @@ def _decode_lanes(head: _Head, id_at: np.ndarray, codes: list[bytes], lengths: n
         now = np.where(rest, id_of.take(which, mode="clip"), np.where(is_two, two, one))
         lo += unit * starts.take(which, mode="clip")
         sp[:] = unit * shares.take(which, mode="clip")
-        ready = _ready(lo, sp)
-        while len(ready):
+        ready = _settled(lo, sp)
+        while True:
             word = code.take(ready * width + np.minimum(read.take(ready), width - 1)).astype(np.int64)
             val[ready] = ((val[ready] << 16) & _MASK) | (waiting[ready] << 14) | (word >> 2)
             waiting[ready] = word & 3
             read[ready] += 1
             lo[ready] = (lo[ready] << 16) & _MASK
             sp[ready] = (sp[ready] << 16) & _MASK
-            ready = _ready(lo, sp, ready)
+            ready = _short(lo, sp)
+            if not len(ready):
+                break
         model.learn(now.astype(np.int32))
         ids[t, :n] = now
         before, last = last[:n], now
